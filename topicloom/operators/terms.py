@@ -59,8 +59,8 @@ def topic_terms(df: DataFrame, low: int = 1, high: int = 1, keys: tuple[str, ...
 
 
 def ctfidf(counts: DataFrame, seeds: DataFrame | None = None, multiplier: float = 1.0,
-           reduce_frequent_words: bool = False) -> DataFrame:
-    """(topic, term, weight): tf(t, c) · ln(1 + A / f(t)).
+           reduce_frequent_words: bool = False, with_idf: bool = False) -> DataFrame:
+    """(topic, term, weight[, idf]): tf(t, c) · ln(1 + A / f(t)).
 
     tf is the share of the term in its topic, f its count over all topics and A
     the mean number of words per topic.  ``seeds`` is a table with column ``term``.
@@ -78,7 +78,7 @@ def ctfidf(counts: DataFrame, seeds: DataFrame | None = None, multiplier: float
         boosted = seeds.select("term").distinct().withColumn("_m", F.lit(float(multiplier)))
         joined = joined.join(boosted, "term", "left")
         idf = idf * F.coalesce("_m", F.lit(1.0))
-    return joined.select("topic", "term", (tf * idf).alias("weight"))
+    return joined.select("topic", "term", (tf * idf).alias("weight"), *([idf.alias("idf")] if with_idf else []))
 
 
 def top_terms(weights: DataFrame, k: int = 10, digits: int = 10) -> DataFrame:

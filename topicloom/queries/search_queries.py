@@ -137,7 +137,7 @@ def retrieved(spark, sf, k=15):
     asked = B.table(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
     queries = C.encode(asked, vocabulary, stored=True).select(F.col("doc_id").alias("query_id"), "embedding")
     hits = materialise(H.knn(queries, found, k), "hits")
-    texts = docs.select(F.col("doc_id").alias("item_id"), "text").join(F.broadcast(hits), "item_id")  # k rows per question
+    texts = lookup_join(docs.select(F.col("doc_id").alias("item_id"), "text"), hits, ["item_id"], stored=True)
     return texts.join(asked.select(F.col("doc_id").alias("query_id"), F.col("text").alias("query_text")), "query_id")
 
 
@@ -284,12 +284,13 @@ ORACLES = {
         f"hw AS (SELECT query_id, item_id, distance, list_distinct({B.words_sql('query_text')}) AS q, {B.words_sql('text')} AS t FROM ht)",
         "sz AS (SELECT query_id, count(*) AS hits, avg(len(t)) AS mean_len FROM hw GROUP BY 1)",
         "mt AS (SELECT query_id, item_id, len(t) AS len, unnest(list_filter(t, lambda w: list_contains(q, w))) AS term FROM hw)",
-        "tf AS (SELECT query_id, item_id, len, term, count(*) AS tf FROM mt GROUP BY ALL)",
-        "df AS (SELECT *, count(*) OVER (PARTITION BY query_id, term) AS df FROM tf)",
-        """sc AS (SELECT query_id, item_id, round(sum(ln(1 + (hits - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / mean_len))), 6) AS s
+        "tf AS (SELECT query_id, item_id, len, term, count(*) AS n_tf FROM mt GROUP BY query_id, item_id, len, term)",
+        "df AS (SELECT *, count(*) OVER (PARTITION BY query_id, term) AS n_df FROM tf)",
+        """sc AS (SELECT query_id, item_id, round(sum(ln(1 + (sz.hits - n_df + 0.5) / (n_df + 0.5)) * n_tf * 2.5 / (n_tf + 1.5 * (0.25 + 0.75 * len / mean_len))), 6) AS s
           FROM df JOIN sz USING (query_id) GROUP BY 1, 2)""",
-        body="""SELECT h.query_id, (row_number() OVER (PARTITION BY h.query_id ORDER BY s DESC, h.distance, h.item_id))::INT AS rank, h.item_id,
-        round(s, 4) AS rerank_score FROM ht h JOIN sc ON h.query_id = sc.query_id AND h.item_id = sc.item_id WHERE s >= 0.5 QUALIFY rank <= 5"""),
+        body="""SELECT query_id, r::INT AS rank, item_id, rerank_score FROM (SELECT h.query_id, h.item_id, round(s, 4) AS rerank_score,
+        row_number() OVER (PARTITION BY h.query_id ORDER BY s DESC, h.distance, h.item_id) AS r
+        FROM ht h JOIN sc ON h.query_id = sc.query_id AND h.item_id = sc.item_id WHERE s >= 0.5) WHERE r <= 5"""),
     "build_context": B.with_sql(INFO, FULL_HITS, TOPIC_HITS,
         """ln AS (SELECT query_id, string_agg('[Doc ' || rank || '] [from Topic ' || topic || ']: ' ||
           CASE WHEN length(text) > 300 THEN substring(text, 1, 300) || '...' ELSE text END, chr(10) ORDER BY rank) AS body
