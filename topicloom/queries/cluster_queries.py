@@ -214,9 +214,9 @@ ORACLES = {
     "kmeans_seeded_1step": B.with_sql(VEC, CENTERS, CEN_ARR,
         f"""ch AS (SELECT cl.topic, item_id FROM cl CROSS JOIN v WHERE cl.topic < 4
           QUALIFY row_number() OVER (PARTITION BY cl.topic ORDER BY round({dot_sql('x', 'c')}, 10) DESC, item_id) = 1)""",
-        """pd AS (SELECT item_id, (row_number() OVER (ORDER BY md5(item_id || '|42')) + 3)::INT AS topic FROM v
-          WHERE item_id NOT IN (SELECT item_id FROM ch) QUALIFY topic < 8)""",
-        "st AS (SELECT p.topic, v.x AS c FROM (SELECT topic, item_id FROM ch UNION ALL SELECT topic, item_id FROM pd) p JOIN v ON p.item_id = v.item_id)",
+        """pd AS (SELECT item_id, (row_number() OVER (ORDER BY md5(item_id || '|42')) + 3)::INT AS nth FROM v
+          WHERE item_id NOT IN (SELECT item_id FROM ch) QUALIFY nth < 8)""",
+        "st AS (SELECT p.topic, v.x AS c FROM (SELECT topic, item_id FROM ch UNION ALL SELECT nth, item_id FROM pd) p JOIN v ON p.item_id = v.item_id)",
         f"""az AS (SELECT v.item_id, v.x, st.topic AS t FROM v CROSS JOIN st
           QUALIFY row_number() OVER (PARTITION BY v.item_id ORDER BY round({l2_sql('x', 'c')}, 10), st.topic) = 1)""",
         "dd AS (SELECT t, generate_subscripts(x, 1) - 1 AS dim, unnest(x) AS e FROM az)",

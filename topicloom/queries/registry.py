@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ["text_queries", "analytics_queries", "term_queries", "search_queries", "cluster_queries"]
+_MODULES = [
+    "text_queries", "analytics_queries", "term_queries", "search_queries", "cluster_queries", "job_queries", "io_queries",
+]
 
 
 def _gather(attribute: str) -> dict:
