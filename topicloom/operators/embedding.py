@@ -26,22 +26,27 @@ def _hash_slot(term: Column, seed: int, dim: int) -> tuple[Column, Column]:
     return slot, sign
 
 
-def fit_encoder(docs: DataFrame, dim: int = 64, seed: int = 42, stop_words: list[str] = ()) -> DataFrame:
-    """(term, idf, slot, sign): the encoder's vocabulary.  Smooth idf over the given documents."""
-    per_document = document_terms(docs, stop_words=list(stop_words), min_chars=1)
+def fit_encoder(docs: DataFrame, dim: int = 64, seed: int = 42, stop_words: list[str] = (),
+                counts: DataFrame | None = None) -> DataFrame:
+    """(term, idf, slot, sign, hot): the encoder's vocabulary.  Smooth idf over the given documents."""
+    if counts is None:
+        counts = document_terms(docs, stop_words=list(stop_words), min_chars=1)
     total = docs.count()
     slot, sign = _hash_slot(F.col("term"), seed, dim)
     return (
-        per_document.groupBy("term").agg(F.count("*").alias("df"))
-        .select("term", (F.log(F.lit(1.0 + total) / (1 + F.col("df"))) + 1).alias("idf"), slot.alias("slot"), sign.alias("sign"))
+        counts.groupBy("term").agg(F.count("*").alias("df"))
+        .select("term", (F.log(F.lit(1.0 + total) / (1 + F.col("df"))) + 1).alias("idf"), slot.alias("slot"), sign.alias("sign"),
+                (F.col("df") > 0.01 * total).alias("hot"))
     )
 
 
-def encode(docs: DataFrame, vocabulary: DataFrame, dim: int = 64, stop_words: list[str] = (), stored: bool = False) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: DataFrame, dim: int = 64, stop_words: list[str] = (), stored: bool = False,
+           counts: DataFrame | None = None) -> DataFrame:
     """(doc_id, embedding): unit vectors; a text without known words has a zero vector."""
-    counts = document_terms(docs, stop_words=list(stop_words), min_chars=1)
-    weighted = lookup_join(counts, vocabulary, ["term"], stored=stored)
-    slots = weighted.groupBy("doc_id", "slot").agg(F.sum(F.col("n") * F.col("idf") * F.col("sign")).alias("x"))
+    if counts is None:
+        counts = document_terms(docs, stop_words=list(stop_words), min_chars=1)
+    weighted = lookup_join(counts, vocabulary, ["term"], stored=stored, hot=F.col("hot"))
+    slots = weighted.repartition("doc_id").groupBy("doc_id", "slot").agg(F.sum(F.col("n") * F.col("idf") * F.col("sign")).alias("x"))
     rows = slots.groupBy("doc_id").agg(
         F.map_from_entries(F.collect_list(F.struct("slot", "x"))).alias("m"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
     value = lambda i: F.coalesce(F.try_divide(F.try_element_at("m", i), F.col("norm")), F.lit(0.0))
@@ -52,8 +57,10 @@ def encode(docs: DataFrame, vocabulary: DataFrame, dim: int = 64, stop_words: li
 
 
 def embed(docs: DataFrame, dim: int = 64, seed: int = 42) -> DataFrame:
-    vocabulary = materialise(fit_encoder(docs, dim, seed), "vocabulary")
-    return encode(docs, vocabulary, dim, stored=True)
+    """(doc_id, embedding) of all documents; their words are counted once."""
+    counts = materialise(document_terms(docs, stop_words=[], min_chars=1), "doc-terms")
+    vocabulary = materialise(fit_encoder(docs, dim, seed, counts=counts), "vocabulary")
+    return encode(docs, vocabulary, dim, stored=True, counts=counts)
 
 
 def embed_with_model(docs: DataFrame, load: Callable[[], Callable[[list[str]], np.ndarray]], dim: int) -> DataFrame:

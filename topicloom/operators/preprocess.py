@@ -21,7 +21,8 @@ def text_column(df: DataFrame, name: str = "text") -> Column:
 def clean_documents(df: DataFrame, max_length: int = 5000, min_length: int = 10) -> DataFrame:
     """(doc_id, text): the survivors of cleaning."""
     cleaned = T.clean_text(text_column(df), max_length, min_length)
-    return df.select("doc_id", cleaned.alias("text")).where(F.col("text").isNotNull())
+    # explode instead of a filter: a filter would be pushed down and clean every text twice
+    return df.select("doc_id", F.explode(F.filter(F.array(cleaned), lambda t: t.isNotNull())).alias("text"))
 
 
 def preprocess_stats(df: DataFrame, max_length: int = 5000, min_length: int = 10) -> DataFrame:
@@ -92,11 +93,11 @@ def chunk_documents(df: DataFrame, size: int = 512, overlap: int = 128) -> DataF
     longer one is cut every ``size - overlap`` tokens and carries token offsets.
     """
     tokens = F.filter(F.split(F.col("text"), WHITESPACE), lambda w: w != "")
-    sized = df.select("doc_id", "text", tokens.alias("tokens")).where(F.size("tokens") > 0)
+    sized = df.select("doc_id", "text", tokens.alias("tokens"))
     n = F.size("tokens")
     long = n > size
-    starts = F.when(long, F.sequence(F.lit(0), n - overlap - 1, F.lit(size - overlap))).otherwise(
-        F.array(F.lit(0)))
+    starts = F.when(long, F.sequence(F.lit(0), n - overlap - 1, F.lit(size - overlap))).when(
+        n > 0, F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
     chunks = sized.select("doc_id", "text", "tokens", F.posexplode(starts).alias("chunk_no", "start"))
     end = F.least(F.col("start") + size, n)
     return chunks.select(

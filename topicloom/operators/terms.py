@@ -10,13 +10,26 @@ from topicloom.functions import text as T
 from topicloom.plans.execution import lookup_join, materialise, top_k
 
 
-def document_terms(df: DataFrame, low: int = 1, high: int = 1, keys: tuple[str, ...] = ("doc_id",),
+def exploded_terms(df: DataFrame, low: int = 1, high: int = 1, keys: tuple[str, ...] = ("doc_id",),
                    stop_words: list[str] = ENGLISH_STOP_WORDS, min_chars: int = 2) -> DataFrame:
-    """(keys..., term, n): n-grams of each document after stop words are dropped."""
+    """(keys..., term): one row per n-gram occurrence, stop words dropped first."""
     tokens = T.without(T.word_tokens(F.col("text")), stop_words, min_chars)
-    prepared = df.select(*keys, tokens.alias("tokens"))
-    grams = prepared.select(*keys, F.explode(T.ngrams(F.col("tokens"), low, high)).alias("term"))
-    return grams.groupBy(*keys, "term").agg(F.count("*").alias("n"))
+    if (low, high) == (1, 1):
+        return df.select(*keys, F.explode(tokens).alias("term"))
+    return df.select(*keys, tokens.alias("tokens")).select(*keys, F.explode(T.ngrams(F.col("tokens"), low, high)).alias("term"))
+
+
+def by_document(df: DataFrame) -> DataFrame:
+    """Shuffle the texts once by document, so that counts per document need no shuffle of all their terms."""
+    return df.repartition("doc_id")
+
+
+def document_terms(df: DataFrame, low: int = 1, high: int = 1, keys: tuple[str, ...] = ("doc_id",),
+                   stop_words: list[str] = ENGLISH_STOP_WORDS, min_chars: int = 2) -> DataFrame:
+    """(keys..., term, n): n-gram counts per document, or per topic, after stop words are dropped."""
+    if "doc_id" in keys:
+        df = by_document(df.select(*keys, "text"))
+    return exploded_terms(df, low, high, keys, stop_words, min_chars).groupBy(*keys, "term").agg(F.count("*").alias("n"))
 
 
 def count_terms(df: DataFrame, low: int = 1, high: int = 1, min_df: int = 1, max_df: float = 1.0,
@@ -33,23 +46,33 @@ def count_terms(df: DataFrame, low: int = 1, high: int = 1, min_df: int = 1, max
 
 
 def top_phrases(df: DataFrame, low: int, high: int, k: int, min_df: int = 2, max_features: int = 5000,
-                stop_words: list[str] = ENGLISH_STOP_WORDS) -> DataFrame:
+                stop_words: list[str] = ENGLISH_STOP_WORDS, words_apart: bool = False) -> DataFrame:
     """(topic, rank, term, score): the terms of each topic with the largest summed TF-IDF.
 
-    Smooth idf inside the topic, each document's vector has length one; all topics in one job.
+    Smooth idf inside the topic, each document's vector has length one; all topics in
+    one job.  With ``words_apart`` single words and longer phrases are scored and
+    ranked apart, told by a column ``phrase``.  Texts are read twice: once for the
+    vocabulary, once for the scores of its terms only, which is cheaper than keeping
+    every n-gram of every document.
     """
-    pairs = materialise(document_terms(df, low, high, keys=("topic", "doc_id"), stop_words=stop_words), "doc-terms")
-    sizes = df.groupBy("topic").agg(F.count("*").alias("docs"))
+    is_phrase = F.contains("term", F.lit(" ")) if words_apart else F.lit(False)
+    group, keys = ["topic", "phrase"], ("topic", "doc_id")
+    sizes = materialise(df.groupBy("topic").agg(F.count("*").alias("docs")), "topic-sizes")
+    pairs = document_terms(df, low, high, keys=keys, stop_words=stop_words)
     vocabulary = pairs.groupBy("topic", "term").agg(F.count("*").alias("df"), F.sum("n").alias("total"))
-    vocabulary = vocabulary.where(F.col("df") >= min_df)
-    vocabulary = top_k(vocabulary, ["topic"], [F.col("total").desc(), F.col("term")], max_features).drop("rank")
-    idf = lookup_join(vocabulary, sizes, ["topic"]).select(
-        "topic", "term", (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1).alias("idf"))
-    weighted = lookup_join(pairs, idf, ["topic", "term"]).withColumn("w", F.col("n") * F.col("idf"))
-    per_document = Window.partitionBy("topic", "doc_id")
+    vocabulary = vocabulary.where(F.col("df") >= min_df).withColumn("phrase", is_phrase)
+    vocabulary = top_k(vocabulary, group, [F.col("total").desc(), F.col("term")], max_features).drop("rank")
+    idf = materialise(lookup_join(vocabulary, sizes, ["topic"], stored=True).select(
+        "topic", "term", (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1).alias("idf"),
+        (F.col("df") > 0.01 * F.col("docs")).alias("hot")), "idf")
+    grams = exploded_terms(by_document(df.select(*keys, "text")), low, high, keys, stop_words)
+    known = lookup_join(grams, idf, ["topic", "term"], stored=True, hot=F.col("hot"))
+    weighted = known.groupBy(*keys, "term").agg((F.count("*") * F.first("idf")).alias("w")).withColumn("phrase", is_phrase)
+    per_document = Window.partitionBy(*keys, "phrase")
     scored = weighted.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(per_document)))
-    summed = scored.groupBy("topic", "term").agg(F.round(F.sum("w"), 9).alias("score"))
-    return top_k(summed, ["topic"], [F.col("score").desc(), F.col("term").desc()], k)
+    summed = scored.groupBy(*group, "term").agg(F.round(F.sum("w"), 9).alias("score"))
+    best = top_k(summed, group, [F.col("score").desc(), F.col("term").desc()], k)
+    return best if words_apart else best.drop("phrase")
 
 
 def topic_terms(df: DataFrame, low: int = 1, high: int = 1, keys: tuple[str, ...] = ("topic",),

@@ -49,21 +49,29 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(cores, *keys) if keys else df.repartition(cores)
 
 
-def lookup_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner",
-                max_rows: int = BROADCAST_ROWS, salts: int = 16, stored: bool = False) -> DataFrame:
+def lookup_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", max_rows: int = BROADCAST_ROWS,
+                salts: int = 16, stored: bool = False, hot: Column | None = None) -> DataFrame:
     """Join a row-sized table to a lookup table.
 
     The lookup side is stored and counted.  Up to ``max_rows`` it is broadcast, so
-    the row-sized side is not shuffled; beyond that both sides are spread over
-    ``salts`` parts of each key so that a key with a third of all rows is shared
-    by many tasks.
+    the row-sized side is not shuffled.  Beyond that it is a shuffle join in which
+    a key with a third of all rows is shared by ``salts`` tasks: every key is
+    salted, or only the lookup rows for which ``hot`` holds when those are few.
     """
     table = small if stored else materialise(small, "lookup")
     if table.limit(max_rows + 1).count() <= max_rows:
         return big.join(F.broadcast(table), on, how)
-    salted_small = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted_big = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int"))
-    return salted_big.join(salted_small, [*on, "_salt"], how).drop("_salt")
+    part = F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int")
+    parts = F.sequence(F.lit(0), F.lit(salts - 1))
+    if hot is not None:
+        hot_keys = table.where(hot).select(*on).distinct().withColumn("_hot", F.lit(True))
+        if hot_keys.limit(max_rows + 1).count() <= max_rows:
+            marked = big.join(F.broadcast(hot_keys), on, "left")
+            salted_big = marked.withColumn("_salt", F.when(F.col("_hot"), part).otherwise(0)).drop("_hot")
+            salted_small = table.withColumn("_salt", F.explode(F.when(hot, parts).otherwise(F.array(F.lit(0)))))
+            return salted_big.join(salted_small, [*on, "_salt"], how).drop("_salt")
+    salted_small = table.withColumn("_salt", F.explode(parts))
+    return big.withColumn("_salt", part).join(salted_small, [*on, "_salt"], how).drop("_salt")
 
 
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, out: str = "rank",

@@ -19,7 +19,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def documents(spark, sf) -> DataFrame:
     """Documents for text-heavy work, one partition per core when the file is small."""
-    return spread(table(spark, sf, "documents").select("doc_id", "text"))
+    return spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
 
 
 def vectors(spark, sf) -> DataFrame:
