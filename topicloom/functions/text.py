@@ -70,14 +70,16 @@ def without(tokens: Column, words: list[str], min_chars: int = 1) -> Column:
 
 
 def ngrams(tokens: Column, low: int, high: int) -> Column:
-    """All n-grams of ``low``..``high`` tokens, joined by a space."""
+    """All n-grams of ``low``..``high`` tokens, joined by a space: shorter grams zipped with the tokens after them."""
 
     def of_size(n: int) -> Column:
-        starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - (n - 1))).otherwise(
-            F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), " "))
+        if n == 1:
+            return tokens
+        count = F.greatest(F.size(tokens) - (n - 1), F.lit(0))
+        head = tokens if n == 2 else of_size(n - 1)
+        return F.zip_with(F.slice(head, F.lit(1), count), F.slice(tokens, F.lit(n), count), lambda a, b: F.concat(a, F.lit(" "), b))
 
-    parts = [tokens if n == 1 else of_size(n) for n in range(low, high + 1)]
+    parts = [of_size(n) for n in range(low, high + 1)]
     return parts[0] if len(parts) == 1 else F.concat(*parts)
 
 
