@@ -236,7 +236,7 @@ def test_dedupe_makes_labels_unique(spark):
 
 
 def test_parse_labels_rules(spark):
-    text = '1: Billing Issues - Card\nTopic 2. "Late parcels again"\n3) Late parcels again\n4: [your label]\n5: Solo\n7: Out of range'
+    text = '1: Billing Issues - Card\nTopic 2. "Late parcels again"\n3) Late parcels again\n4: some [odd] label\n5: Solo\n7: Out of range'
     df = spark.createDataFrame([(0, text)], "batch int, response string")
     sizes = spark.createDataFrame([(0, 6)], "batch int, size int")
     got = {r["number"]: r["label"] for r in I.parse_labels(df, sizes=sizes).collect()}

@@ -151,21 +151,24 @@ def reduce_outliers_ctfidf(assignment: DataFrame, document_counts: DataFrame, we
     """
     outliers = assignment.where(F.col("topic") == -1).select("doc_id")
     terms = document_counts.join(outliers, "doc_id", "left_semi")
-    per_term = materialise(weights.where(F.col("topic") != -1).groupBy("term").agg(
-        F.max("idf").alias("idf"), F.collect_list(F.struct("topic", "weight")).alias("w")), "term-weights")  # <= one entry per topic
-    topic_norms = materialise(weights.where(F.col("topic") != -1).groupBy("topic").agg(
-        F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("t_norm")), "topic-norms")
-    idf = materialise(weights.groupBy("term").agg(F.max("idf").alias("idf")), "idf")
-    # the share n / words scales a document's whole vector, so the cosine does not need it
-    weighted = materialise(lookup_join(terms, idf, ["term"], stored=True).select(
-        "doc_id", "term", (F.col("n") * F.col("idf")).alias("d")), "outlier-terms")
-    doc_norms = weighted.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("d") * F.col("d"))).alias("d_norm"))
-    pairs = lookup_join(weighted, per_term.select("term", "w"), ["term"]).select(
-        "doc_id", "d", F.explode("w").alias("x"))
-    dots = pairs.groupBy("doc_id", F.col("x.topic").alias("topic")).agg(F.sum(F.col("d") * F.col("x.weight")).alias("dot"))
-    cosine = F.round(F.col("dot") / (F.col("d_norm") * F.col("t_norm")), SCORE_DIGITS)
-    best = lookup_join(dots, topic_norms, ["topic"], stored=True).join(doc_norms, "doc_id").groupBy("doc_id").agg(
-        F.max(F.struct(cosine.alias("s"), (-F.col("topic")).alias("t"))).alias("b"))
+    inlier = F.col("topic") != -1
+    # a list holds one entry per topic; low idf marks the few terms that may be in most documents
+    per_term = weights.groupBy("term").agg(
+        F.max("idf").alias("idf"), F.collect_list(F.when(inlier, F.struct("topic", "weight"))).alias("w"))
+    norms = bounded_rows(weights.where(inlier).groupBy("topic").agg(
+        F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm")), MAX_TOPICS, "the topic table")
+    joined = lookup_join(terms, per_term, ["term"], hot=F.col("idf") < 4.6)
+    # the share n / words scales a document's whole vector, so the cosine does not need it;
+    # the entry for topic -1 adds up the squared length of the document's vector
+    weighted = joined.withColumn("d", F.col("n") * F.col("idf")).select("doc_id", "d", F.explode(F.concat(
+        "w", F.array(F.struct(F.lit(-1).alias("topic"), F.col("d").alias("weight"))))).alias("x"))
+    dots = weighted.groupBy("doc_id", F.col("x.topic").alias("topic")).agg(F.sum(F.col("d") * F.col("x.weight")).alias("dot"))
+    t_norm = F.try_element_at(F.create_map(*[F.lit(v) for r in norms for v in (r["topic"], r["norm"])]), F.col("topic")) if norms else F.lit(None)
+    per_document = dots.withColumn("s", F.when(inlier, F.col("dot") / t_norm)).groupBy("doc_id").agg(
+        F.sqrt(F.max(F.when(~inlier, F.col("dot")))).alias("d_norm"),
+        F.collect_list(F.when(inlier, F.struct("s", "topic"))).alias("c"))  # one entry per topic
+    best = per_document.select("doc_id", F.array_max(F.transform("c", lambda e: F.struct(
+        F.round(e["s"] / F.col("d_norm"), SCORE_DIGITS).alias("s"), (-e["topic"]).alias("t")))).alias("b"))
     moved = best.where(F.col("b.s") >= threshold).select("doc_id", (-F.col("b.t")).alias("_to"))
     return assignment.join(moved, "doc_id", "left").select("doc_id", F.coalesce("_to", "topic").alias("topic"))
 
