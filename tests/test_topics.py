@@ -174,6 +174,23 @@ def test_density_finds_blobs_on_both_graph_paths(spark):
     assert min(sizes) >= 15
 
 
+def test_sentiment_first_keeps_groups_apart(spark):
+    data = blobs(2, 40, 0)
+    mood = ["positive", "negative"]
+    rated = [(i, mood[i % 2]) for i, _, _ in data] + [(900 + i, "neutral") for i in range(4)]
+    rows = [(i, v) for i, v, _ in data] + [(900 + i, data[i][1]) for i in range(4)]
+    found = R.sentiment_first(spark.createDataFrame(rows, "doc_id bigint, embedding array<float>"),
+                              spark.createDataFrame(rated, "doc_id bigint, sentiment string"), 20)
+    topics = {r["doc_id"]: r["topic"] for r in found.collect()}
+    by_mood = {m: {topics[i] for i, x in rated if x == m} - {-1} for m in ("positive", "negative", "neutral")}
+    assert max(by_mood["positive"]) < min(by_mood["negative"]) <= max(by_mood["negative"]) < min(by_mood["neutral"])
+    every = sorted(set().union(*by_mood.values()))
+    assert every == list(range(len(every)))
+    for g in (0, 1):  # one blob of one mood is one topic
+        own = [topics[i] for i, _, t in data if t == g and i % 2 == 0]
+        assert max(own.count(x) for x in set(own)) >= 16
+
+
 def test_components_large_and_small_graph(spark, rows):
     edges = spark.createDataFrame([(1, 2), (2, 3), (9, 10), (10, 11), (11, 12), (20, 21), (3, 30)], "a bigint, b bigint")
     assert rows(N.components(edges)) == rows(N.components(edges, small_graph=0))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topicloom.operators import clustering as D
@@ -12,7 +12,6 @@ from topicloom.operators import density as N
 from topicloom.operators import embedding as C
 from topicloom.operators import keywords as K
 from topicloom.operators import labels as L
-from topicloom.operators import model_jobs as I
 from topicloom.operators import preprocess as P
 from topicloom.operators import search as H
 from topicloom.plans.execution import lookup_join, materialise
@@ -56,14 +55,20 @@ def sentiment_first(vectors: DataFrame, rated: DataFrame, min_size: int = 10) ->
     The minimum size is halved twice, and never below two.  Groups of fewer than ten
     documents use k-means with at most three clusters.
     """
-    tagged = materialise(vectors.join(rated.select("doc_id", "sentiment"), "doc_id"), "rated")
+    tagged = materialise(vectors.select("doc_id", "embedding").join(rated.select("doc_id", "sentiment"), "doc_id"), "rated")
     size = max(2, max(2, min_size // 2) // 2)
+    counts = {r["sentiment"]: r["count"] for r in tagged.groupBy("sentiment").count().collect()}  # three rows
     parts = []
-    for name, n in [(r["sentiment"], r["count"]) for r in tagged.groupBy("sentiment").count().collect()]:  # three rows
-        own = tagged.where(F.col("sentiment") == name).select("doc_id", "embedding")
-        found = N.density_cluster(own, size) if n >= 10 else D.kmeans(own, max(1, min(n // 2, 3)))
+    large = [name for name, n in counts.items() if n >= 10]
+    if large:
+        own = tagged.where(F.col("sentiment").isin(large))
+        found = N.density_cluster(own, size, group="sentiment")
         refined = D.refine_topics(materialise(own.join(found, "doc_id"), "group-topics"))
-        parts.append(refined.withColumn("group", F.lit(name)))
+        parts.append(refined.join(own.select("doc_id", F.col("sentiment").alias("group")), "doc_id"))
+    for name, n in counts.items():
+        if n < 10:
+            own = tagged.where(F.col("sentiment") == name).select("doc_id", "embedding")
+            parts.append(D.kmeans(own, max(1, min(n // 2, 3))).withColumn("group", F.lit(name)))
     grouped = parts[0]
     for part in parts[1:]:
         grouped = grouped.unionByName(part)
