@@ -214,6 +214,15 @@ def test_knn_ties_small_tables_and_empty_topic(spark, rows):
     assert rows(H.knn(queries, items, 10, in_topic=True), "query_id", "rank", "item_id") == [(1, 1, 3), (1, 2, 5), (1, 3, 4)]
 
 
+def test_joined_queries_equal_sent_queries(spark, rows):
+    data = blobs(3, 15, 5)
+    items = vectors(spark, data).withColumnRenamed("doc_id", "item_id")
+    queries = items.select(F.col("item_id").alias("query_id"), "embedding", F.when(F.col("item_id") % 2 == 0, F.col("topic")).alias("topic_filter"))
+    for options in ({}, {"exclude_self": True}, {"in_topic": True}):
+        sent = rows(H.knn(queries, items, 4, **options), "query_id", "rank", "item_id")
+        assert rows(H.knn(queries, items, 4, many=3, **options), "query_id", "rank", "item_id") == sent
+
+
 def test_many_copies_of_one_vector(spark):
     data = [(i, [1.0, 0.0]) for i in range(300)] + [(1000, [0.0, 1.0])]
     items = spark.createDataFrame(data, "item_id bigint, embedding array<float>")

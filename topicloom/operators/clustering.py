@@ -52,7 +52,7 @@ def seed_centers(vectors: DataFrame, seeds: DataFrame, k: int, seed: int = 42) -
     n = chosen.count()
     draw = F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), F.lit(str(seed))))
     padding = (
-        usable.select("doc_id").join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_anti")  # at most k rows
+        lookup_join(usable.select("doc_id"), chosen.select("doc_id"), ["doc_id"], "left_anti", stored=True)
         .orderBy(draw).limit(max(k - n, 0)).withColumn("_d", draw)
         .select((F.row_number().over(Window.orderBy("_d")) + (n - 1)).alias("topic"), "doc_id")
     )

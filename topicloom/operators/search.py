@@ -25,6 +25,7 @@ ROWS_AT_ONCE = 1024        # item rows scored in one matrix product
 EXACT_LIMIT = 50_000       # items above this number get an index
 MAX_CELLS = 4096
 MAX_PROBES = 32
+MANY_QUERIES = 65_536      # queries sent out in blocks; beyond it they are joined
 HITS = "query_id bigint, item_id bigint, score double"
 
 
@@ -99,12 +100,25 @@ def _ranked(hits: DataFrame, k: int, metric: str) -> DataFrame:
 
 
 def knn(queries: DataFrame, items: DataFrame, k: int, metric: str = "l2", exclude_self: bool = False,
-        in_topic: bool = False) -> DataFrame:
+        in_topic: bool = False, many: int = MANY_QUERIES) -> DataFrame:
     """Exact k nearest items: (query_id, rank, item_id, distance | similarity).
 
     ``queries`` is (query_id, embedding[, topic_filter]); with ``in_topic`` a query
     with a filter sees items of that topic only, so an empty topic gives no rows.
+    Up to ``many`` queries are sent to the items in blocks; a larger table is joined
+    with the items block by block and never passes through the driver.
     """
+    if queries.limit(many + 1).count() > many:
+        wanted = queries.select("query_id", "embedding", F.lit(0).alias("cell"))
+        index = items.withColumn("cell", F.lit(0))
+        if in_topic:
+            index = items.withColumn("cell", F.coalesce("topic", F.lit(NO_TOPIC)))
+            cells = materialise(index.select("cell").distinct(), "cells")
+            free = queries.where(F.col("topic_filter").isNull()).select("query_id", "embedding")
+            wanted = queries.where(F.col("topic_filter").isNotNull()).select(
+                "query_id", "embedding", F.col("topic_filter").alias("cell")).unionByName(
+                free.join(F.broadcast(cells) if cells.count() <= MAX_CELLS else cells))  # each free query asks in every topic
+        return _ranked(_block_join(wanted, index, k, metric, exclude_self, 2048), k, metric)
     parts = []
     for block in _query_blocks(queries, ["topic_filter"] if in_topic else []):
         ids = np.array([r["query_id"] for r in block], dtype="int64")
@@ -182,6 +196,11 @@ def knn_join(queries: DataFrame, index: DataFrame, centers: DataFrame, k: int, p
     holds more than one block of items and one of queries, however full a cell is.
     """
     wanted = probes_of(queries, centers, probes).join(queries.select("query_id", "embedding"), "query_id")
+    return _ranked(_block_join(wanted, index, k, metric, exclude_self, block), k, metric)
+
+
+def _block_join(wanted: DataFrame, index: DataFrame, k: int, metric: str, exclude_self: bool, block: int) -> DataFrame:
+    """Hits of (query_id, embedding, cell) on items of the same cell, each block pair in one small group."""
     wanted = materialise(wanted, "probed")
     per_cell = index.groupBy("cell").agg(F.count("*").alias("n_items"))
     per_probe = wanted.groupBy("cell").agg(F.count("*").alias("n_queries"))
@@ -207,8 +226,7 @@ def knn_join(queries: DataFrame, index: DataFrame, centers: DataFrame, k: int, p
         return pd.DataFrame({"query_id": ids[q], "item_id": item_at, "score": value_at})
 
     groups = ["cell", "ib", "qb"]
-    hits = left.groupBy(*groups).cogroup(right.groupBy(*groups)).applyInPandas(run, HITS)
-    return _ranked(hits, k, metric)
+    return left.groupBy(*groups).cogroup(right.groupBy(*groups)).applyInPandas(run, HITS)
 
 
 def neighbours(items: DataFrame, k: int, metric: str = "l2") -> DataFrame:
