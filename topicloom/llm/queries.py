@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topicloom.llm.common import table
+from topicloom.llm.pii import find_spans
 from topicloom.llm.quality import line_quality
 from topicloom.llm.sharding import shard_by_bytes
 
@@ -16,6 +17,10 @@ def op2_line_quality(spark: SparkSession, sf: str) -> DataFrame:
     return line_quality(table(spark, sf, "documents")).drop("clean_text")
 
 
+def op3_personal_data(spark: SparkSession, sf: str) -> DataFrame:
+    return find_spans(table(spark, sf, "documents"))
+
+
 def op7_byte_shards(spark: SparkSession, sf: str) -> DataFrame:
     shards = shard_by_bytes(table(spark, sf, "documents"), SHARDS)
     return shards.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
@@ -43,6 +48,7 @@ FROM cut"""
 
 QUERIES = {
     "op2_line_quality": op2_line_quality,
+    "op3_personal_data": op3_personal_data,
     "op7_byte_shards": op7_byte_shards,
 }
 ORACLES = {
