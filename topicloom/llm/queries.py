@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicloom.llm.common import table
+from topicloom.llm.common import held_out, table
+from topicloom.llm.language import identify, train_filter
 from topicloom.llm.pii import find_spans
 from topicloom.llm.quality import line_quality
 from topicloom.llm.sharding import shard_by_bytes
@@ -13,6 +14,13 @@ from topicloom.llm.sharding import shard_by_bytes
 SHARDS = 40
 
 
+def op1_language_filters(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    model = train_filter(docs.where(~held_out(3, 1)))
+    found = identify(docs, model)
+    return found.select("doc_id", held_out(3, 1).alias("held_out"), "lang_pred", "score", "n_trigrams")
+
+
 def op2_line_quality(spark: SparkSession, sf: str) -> DataFrame:
     return line_quality(table(spark, sf, "documents")).drop("clean_text")
 
@@ -47,6 +55,7 @@ SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'bytes' A
 FROM cut"""
 
 QUERIES = {
+    "op1_language_filters": op1_language_filters,
     "op2_line_quality": op2_line_quality,
     "op3_personal_data": op3_personal_data,
     "op7_byte_shards": op7_byte_shards,
