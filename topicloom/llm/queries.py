@@ -10,6 +10,7 @@ from topicloom.llm.language import identify, train_filter
 from topicloom.llm.pii import find_spans
 from topicloom.llm.quality import line_quality
 from topicloom.llm.sharding import shard_by_bytes
+from topicloom.llm.simhash import classes
 
 SHARDS = 40
 
@@ -29,6 +30,10 @@ def op3_personal_data(spark: SparkSession, sf: str) -> DataFrame:
     return find_spans(table(spark, sf, "documents"))
 
 
+def op6_simhash_pivots(spark: SparkSession, sf: str) -> DataFrame:
+    return classes(table(spark, sf, "documents"), shingle_words=3, max_bits=3)
+
+
 def op7_byte_shards(spark: SparkSession, sf: str) -> DataFrame:
     shards = shard_by_bytes(table(spark, sf, "documents"), SHARDS)
     return shards.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
@@ -58,6 +63,7 @@ QUERIES = {
     "op1_language_filters": op1_language_filters,
     "op2_line_quality": op2_line_quality,
     "op3_personal_data": op3_personal_data,
+    "op6_simhash_pivots": op6_simhash_pivots,
     "op7_byte_shards": op7_byte_shards,
 }
 ORACLES = {
