@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from topicloom.llm.common import held_out, table
 from topicloom.llm.language import identify, train_filter
+from topicloom.llm.nn_descent import near_duplicates
 from topicloom.llm.pii import find_spans
 from topicloom.llm.quality import line_quality
 from topicloom.llm.sharding import shard_by_bytes
@@ -40,6 +41,10 @@ def op7_byte_shards(spark: SparkSession, sf: str) -> DataFrame:
                          F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op10_nn_descent(spark: SparkSession, sf: str) -> DataFrame:
+    return near_duplicates(table(spark, sf, "embeddings"))
+
+
 # CRC-32 of a text: the usual table of 256 remainders, then one step for each byte.
 CRC_SQL = """
 rem AS (SELECT list(v ORDER BY i) AS tab FROM (
@@ -65,6 +70,7 @@ QUERIES = {
     "op3_personal_data": op3_personal_data,
     "op6_simhash_pivots": op6_simhash_pivots,
     "op7_byte_shards": op7_byte_shards,
+    "op10_nn_descent": op10_nn_descent,
 }
 ORACLES = {
     "op7_byte_shards": OP7_SQL,
