@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from topicloom.llm.chat import format_chats
 from topicloom.llm.common import held_out, table
 from topicloom.llm.language import identify, train_filter
 from topicloom.llm.nn_descent import near_duplicates
+from topicloom.llm.packing import pack
 from topicloom.llm.pii import find_spans
 from topicloom.llm.quality import line_quality
 from topicloom.llm.sharding import shard_by_bytes
@@ -31,6 +33,10 @@ def op3_personal_data(spark: SparkSession, sf: str) -> DataFrame:
     return find_spans(table(spark, sf, "documents"))
 
 
+def op5_length_buckets(spark: SparkSession, sf: str) -> DataFrame:
+    return pack(table(spark, sf, "documents"), buckets=16, token_budget=16_384)
+
+
 def op6_simhash_pivots(spark: SparkSession, sf: str) -> DataFrame:
     return classes(table(spark, sf, "documents"), shingle_words=3, max_bits=3)
 
@@ -41,6 +47,29 @@ def op7_byte_shards(spark: SparkSession, sf: str) -> DataFrame:
                          F.lit(None).cast("int").alias("grown_shard"))
 
 
+def tool_messages(conversations: DataFrame) -> DataFrame:
+    """Conversations as tool use: a user's turn is a call of ``reply``, the assistant's next turn its result.
+
+    The call carries the prompt, its number of words (prompts under five words carry none) and the call two turns before.
+    """
+    name = lambda turn: F.concat(F.lit("c"), "conv_id", F.lit("-"), turn)
+    words = F.regexp_count("text", F.lit(r"\S+"))
+    arguments = F.struct(
+        F.when(F.col("turn") >= 2, name(F.col("turn") - 2)).alias("after"), F.col("text").alias("prompt"), F.when(words >= 5, words).alias("words"))
+    calls = F.to_json(F.array(F.struct(arguments.alias("arguments"), name(F.col("turn")).alias("id"), F.lit("reply").alias("name"))))
+    user, assistant = F.col("role") == "user", F.col("role") == "assistant"
+    return conversations.select(
+        "conv_id", "turn", F.when(user, "assistant").when(assistant, "tool").otherwise(F.col("role")).alias("role"),
+        F.when(~user, F.col("text")).alias("content"), F.when(user, calls).alias("tool_calls"),
+        F.when(assistant, name(F.col("turn") - 1)).alias("tool_call_id"))
+
+
+def op9_tool_links(spark: SparkSession, sf: str) -> DataFrame:
+    tools = spark.createDataFrame([("reply", "prompt", "string", True), ("reply", "words", "integer", True), ("reply", "after", "string", False)],
+                                  "tool string, field string, type string, required boolean")
+    return format_chats(tool_messages(table(spark, sf, "conversations")), tools)
+
+
 def op10_nn_descent(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates(table(spark, sf, "embeddings"))
 
@@ -68,8 +97,10 @@ QUERIES = {
     "op1_language_filters": op1_language_filters,
     "op2_line_quality": op2_line_quality,
     "op3_personal_data": op3_personal_data,
+    "op5_length_buckets": op5_length_buckets,
     "op6_simhash_pivots": op6_simhash_pivots,
     "op7_byte_shards": op7_byte_shards,
+    "op9_tool_links": op9_tool_links,
     "op10_nn_descent": op10_nn_descent,
 }
 ORACLES = {
