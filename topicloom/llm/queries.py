@@ -11,6 +11,7 @@ from topicloom.llm.language import identify, train_filter
 from topicloom.llm.nn_descent import near_duplicates
 from topicloom.llm.packing import pack
 from topicloom.llm.pii import find_spans
+from topicloom.llm.pitman_yor import score, train
 from topicloom.llm.quality import line_quality
 from topicloom.llm.sharding import shard_by_bytes
 from topicloom.llm.simhash import classes
@@ -47,6 +48,12 @@ def op7_byte_shards(spark: SparkSession, sf: str) -> DataFrame:
                          F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_pitman_yor(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    model = train(docs.where(~held_out(7, 2)))
+    return score(docs, model).withColumn("held_out", held_out(7, 2))
+
+
 def tool_messages(conversations: DataFrame) -> DataFrame:
     """Conversations as tool use: a user's turn is a call of ``reply``, the assistant's next turn its result.
 
@@ -100,6 +107,7 @@ QUERIES = {
     "op5_length_buckets": op5_length_buckets,
     "op6_simhash_pivots": op6_simhash_pivots,
     "op7_byte_shards": op7_byte_shards,
+    "op8_pitman_yor": op8_pitman_yor,
     "op9_tool_links": op9_tool_links,
     "op10_nn_descent": op10_nn_descent,
 }
