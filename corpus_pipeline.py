@@ -7,6 +7,7 @@ plan of the documents that are left.  ``run`` stores what each stage returns and
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from topicloom.llm.common import materialise, table
 from topicloom.llm.language import keep_identified, train_filter
@@ -16,9 +17,14 @@ from topicloom.llm.quality import clean_documents
 from topicloom.llm.simhash import drop_near_duplicates
 
 
+def _counted(docs: DataFrame) -> DataFrame:
+    """``n_chars`` follows the text."""
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Failing lines go, and documents that lose too much or fail the base rules."""
-    return clean_documents(docs)
+    return _counted(clean_documents(docs))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +39,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Entities are masked, terms that reveal them generalised or removed."""
-    return sanitise(docs)
+    return _counted(sanitise(docs))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

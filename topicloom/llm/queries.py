@@ -10,6 +10,7 @@ from topicloom.llm.common import held_out, table
 from topicloom.llm.language import identify, train_filter
 from topicloom.llm.nn_descent import near_duplicates
 from topicloom.llm.packing import pack
+from topicloom.llm.pieces import encode_documents, load_pieces
 from topicloom.llm.pii import find_spans
 from topicloom.llm.pitman_yor import score, train
 from topicloom.llm.quality import line_quality
@@ -17,6 +18,7 @@ from topicloom.llm.sharding import shard_by_bytes
 from topicloom.llm.simhash import classes
 
 SHARDS = 40
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def op1_language_filters(spark: SparkSession, sf: str) -> DataFrame:
@@ -34,6 +36,10 @@ def op3_personal_data(spark: SparkSession, sf: str) -> DataFrame:
     return find_spans(table(spark, sf, "documents"))
 
 
+def op4_piece_lattice(spark: SparkSession, sf: str, model_file: str = PIECES) -> DataFrame:
+    return encode_documents(table(spark, sf, "documents"), load_pieces(model_file))
+
+
 def op5_length_buckets(spark: SparkSession, sf: str) -> DataFrame:
     return pack(table(spark, sf, "documents"), buckets=16, token_budget=16_384)
 
@@ -104,6 +110,7 @@ QUERIES = {
     "op1_language_filters": op1_language_filters,
     "op2_line_quality": op2_line_quality,
     "op3_personal_data": op3_personal_data,
+    "op4_piece_lattice": op4_piece_lattice,
     "op5_length_buckets": op5_length_buckets,
     "op6_simhash_pivots": op6_simhash_pivots,
     "op7_byte_shards": op7_byte_shards,
