@@ -9,6 +9,7 @@ from topicloom.llm.chat import format_chats
 from topicloom.llm.common import held_out, table
 from topicloom.llm.language import identify, train_filter
 from topicloom.llm.nn_descent import near_duplicates
+from topicloom.llm.oracles import OP2_SQL, OP7_SQL, OP9_SQL, OP10_SQL
 from topicloom.llm.packing import pack
 from topicloom.llm.pieces import encode_documents, load_pieces
 from topicloom.llm.pii import find_spans
@@ -84,27 +85,8 @@ def op9_tool_links(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op10_nn_descent(spark: SparkSession, sf: str) -> DataFrame:
-    return near_duplicates(table(spark, sf, "embeddings"))
-
-
-# CRC-32 of a text: the usual table of 256 remainders, then one step for each byte.
-CRC_SQL = """
-rem AS (SELECT list(v ORDER BY i) AS tab FROM (
-  SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS v
-  FROM (SELECT unnest(range(256)) AS i))),
-crc AS (SELECT doc_id, text, xor(4294967295, list_reduce(
-    list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT),
-    lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]), 4294967295::BIGINT)) AS text_crc32
-  FROM documents, rem)"""
-OP7_SQL = f"""
-WITH {CRC_SQL},
-sized AS (SELECT doc_id, strlen(coalesce(text, '')) + 16 AS size, text_crc32 FROM crc),
-run AS (SELECT *, sum(size) OVER (ORDER BY text_crc32, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) - size AS start,
-    sum(size) OVER () AS total, row_number() OVER (ORDER BY text_crc32, doc_id NULLS FIRST, size) AS row_no FROM sized),
-cut AS (SELECT *, ((start * {SHARDS}) // total)::INTEGER AS shard FROM run)
-SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'bytes' AS law, shard,
-  (row_no - min(row_no) OVER (PARTITION BY shard))::BIGINT AS slot, NULL::INTEGER AS grown_shard
-FROM cut"""
+    return near_duplicates(table(spark, sf, "embeddings")).drop("audit_recall")
+
 
 QUERIES = {
     "op1_language_filters": op1_language_filters,
@@ -119,5 +101,8 @@ QUERIES = {
     "op10_nn_descent": op10_nn_descent,
 }
 ORACLES = {
+    "op2_line_quality": OP2_SQL,
     "op7_byte_shards": OP7_SQL,
+    "op9_tool_links": OP9_SQL,
+    "op10_nn_descent": OP10_SQL,
 }
