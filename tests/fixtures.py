@@ -4,15 +4,15 @@ from __future__ import annotations
 
 import numpy as np
 
-# Topic vocabularies of the generated documents, and their noise words.
 TOPIC_WORDS = [
-    "customer service support help response staff".split(),
-    "delivery shipping package arrive fast slow".split(),
-    "product quality material broken defect good".split(),
-    "price expensive cheap value money cost".split(),
-    "website app online order checkout payment".split(),
+    "glacier summit ridge avalanche rope crampon icefall basecamp".split(),
+    "violin cello sonata tempo chord rehearsal".split(),
+    "sourdough yeast oven crust flour knead proofing".split(),
+    "orbit thruster telescope nebula probe".split(),
+    "loom weave yarn indigo spindle warp felt".split(),
+    "lagoon reef tide kelp anemone heron".split(),
 ]
-NOISE = "the and is was very really".split()
+NOISE = "a then some about yet".split()
 
 
 def documents(n: int, topics: int = 5, seed: int = 7) -> list[tuple[int, str, int]]:

@@ -191,6 +191,63 @@ def test_sentiment_first_keeps_groups_apart(spark):
         assert max(own.count(x) for x in set(own)) >= 16
 
 
+def test_grouped_density_equals_one_run_per_group(spark):
+    small = blobs(3, 40, 25)
+    large = [(10_000 + i, [50 * x for x in v], g) for i, v, g in blobs(3, 30, 15, seed=5)]
+    rows = [(i, v, "small") for i, v, _ in small] + [(i, v, "large") for i, v, _ in large]
+    df = spark.createDataFrame(rows, "doc_id bigint, embedding array<float>, kind string")
+
+    def parts(found):
+        topics = {}
+        for r in found.collect():
+            topics.setdefault(r["topic"], set()).add(r["doc_id"])
+        outliers = topics.pop(-1, set())
+        return {frozenset(x) for x in topics.values()}, outliers
+
+    together, outside = parts(N.density_cluster(df, 12, levels=6, group="kind"))
+    one, out_one = parts(N.density_cluster(df.where("kind = 'small'"), 12, levels=6))
+    two, out_two = parts(N.density_cluster(df.where("kind = 'large'"), 12, levels=6, small_graph=0))
+    assert together == one | two and outside == out_one | out_two and len(one) == 3
+
+
+def test_density_takes_very_large_ids(spark):
+    shift = 2 ** 62
+    data = [(shift + i, v, g) for i, v, g in blobs(2, 30, 5)]
+    found = {r["doc_id"]: r["topic"] for r in N.density_cluster(vectors(spark, data), 12, levels=5).collect()}
+    assert len(found) == len(data) and len({t for t in found.values() if t != -1}) == 2
+
+
+def test_keywords_count_every_document_of_a_topic(spark):
+    """The winning word first appears in document 400 of 500; ids are near 2^62."""
+    from topicloom.operators import keywords as K
+    rows = [(2 ** 62 + i, f"plain{i} " + ("late late late late late late" if i >= 400 else f"other{i % 7}"), 0) for i in range(500)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, topic int")
+    assert K.topic_keywords(df).first()["keywords"].split(", ")[0] == "late"
+
+
+def test_labels_are_unique_at_last(spark):
+    from topicloom.operators import labels as L
+    df = spark.createDataFrame([(t, "Same - Label - Here", "same, label", ["same"]) for t in range(12)],
+                               "topic int, human_label string, keywords string, phrases12 array<string>")
+    got = [r["human_label"].lower().strip() for r in L.dedupe_labels(df, rounds=1).collect()]
+    assert len(set(got)) == 12
+
+
+def test_variants_with_many_phrasings(spark):
+    from topicloom.operators import search as H
+    items = spark.createDataFrame([(i, [float(i), 0.0]) for i in range(6)], "item_id bigint, embedding array<float>")
+    asked = spark.createDataFrame([(1, 1000, [0.0, 0.0]), (2, 0, [5.0, 0.0])], "query_id bigint, variant int, embedding array<float>")
+    got = {(r["query_id"], r["item_id"]) for r in H.search_variants(asked, items, 3).collect()}
+    assert got == {(1, 0), (1, 1), (1, 2), (2, 5), (2, 4), (2, 3)}
+
+
+def test_pairs_with_an_empty_table(spark):
+    from topicloom.operators.similarity import score_pairs
+    df = spark.createDataFrame([(1, [1.0, 0.0])], "doc_id bigint, embedding array<float>")
+    none = spark.createDataFrame([], "topic bigint, centroid array<float>")
+    assert score_pairs(df, "embedding", none, "topic", "centroid").count() == 0
+
+
 def test_components_large_and_small_graph(spark, rows):
     edges = spark.createDataFrame([(1, 2), (2, 3), (9, 10), (10, 11), (11, 12), (20, 21), (3, 30)], "a bigint, b bigint")
     assert rows(N.components(edges)) == rows(N.components(edges, small_graph=0))

@@ -22,7 +22,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def clean_text(text: Column, max_length: int = 5000, min_length: int = 10) -> Column:
+def clean_text(text: Column, max_length: int | None = None, min_length: int = 10) -> Column:
     """Cleaned text, or null when nothing usable is left.  The order of the steps matters."""
 
     def unmask(squeezed: Column) -> Column:
@@ -37,6 +37,8 @@ def clean_text(text: Column, max_length: int = 5000, min_length: int = 10) -> Co
         return F.when(F.length(squeezed) >= min_length, plain)
 
     def shorten(plain: Column) -> Column:
+        if max_length is None:
+            return F.trim(plain)
         cut = F.substring(plain, 1, max_length)
         from_end = F.instr(F.reverse(cut), ".")
         last_period = max_length - from_end

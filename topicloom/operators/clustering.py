@@ -295,7 +295,7 @@ def split_topic(docs: DataFrame, vectors: DataFrame, topic: int, k: int, seed: i
         return docs.sparkSession.createDataFrame([], "part int, count bigint, keywords string, percent double")
     parts = materialise(kmeans(own.select("doc_id", "embedding"), k, seed), "parts")
     tagged = docs.select("doc_id", "text").join(parts, "doc_id")
-    ranked = topic_keyword_list(tagged, max_docs=50, top_n=5, min_chars=4, stop_words=SPLIT_COMMON_WORDS)
+    ranked = topic_keyword_list(tagged, top_n=5, min_chars=4, stop_words=SPLIT_COMMON_WORDS)
     words = joined(ranked, "topic", "token", ", ", "keywords")
     counts = parts.groupBy("topic").agg(F.count("*").alias("count"))
     share = F.round(100.0 * F.col("count") / F.sum("count").over(Window.partitionBy()), 1)  # k rows

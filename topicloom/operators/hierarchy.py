@@ -83,13 +83,13 @@ def topic_map(centers: DataFrame, info: DataFrame, label_chars: int = 30) -> Dat
         info.select("topic", "count", F.substring("human_label", 1, label_chars).alias("label")), "topic")
 
 
-def document_map(vectors: DataFrame, assignment: DataFrame, info: DataFrame, n: int = 5000, seed: int = 42) -> DataFrame:
-    """(doc_id, x, y, topic, label) for at most n documents, the same ones in every run."""
+def document_map(vectors: DataFrame, assignment: DataFrame, info: DataFrame, n: int | None = None, seed: int = 42) -> DataFrame:
+    """(doc_id, x, y, topic, label) for all documents, or for a sample of n, the same ones in every run."""
     from topicloom.operators.analytics import document_map_sample
     from topicloom.operators.embedding import reduce_dims
 
     points = reduce_dims(vectors, 2)
-    chosen = materialise(document_map_sample(assignment, n, seed), "map-sample")
+    chosen = materialise(assignment if n is None else document_map_sample(assignment, n, seed), "map-sample")
     placed = lookup_join(points.select("doc_id", "reduced"), chosen, ["doc_id"], stored=True)
     label = F.when(F.col("topic") == -1, "Outliers").otherwise(
         F.coalesce("human_label", F.concat(F.lit("Topic "), F.col("topic").cast("string"))))

@@ -17,20 +17,20 @@ def joined(ranked: DataFrame, key: str, column: str, separator: str, out: str) -
     return ranked.groupBy(key).agg(F.array_join(F.transform(pairs, lambda p: p[column]), separator).alias(out))
 
 
-def topic_keyword_list(df: DataFrame, max_docs: int | None = 200, top_n: int = 10, min_chars: int = 3,
+def topic_keyword_list(df: DataFrame, max_docs: int | None = None, top_n: int = 10, min_chars: int = 3,
                        stop_words: list[str] = COMMON_WORDS, extra: list[str] = ()) -> DataFrame:
-    """(topic, rank, token, n): the most frequent words of each topic's first documents.
+    """(topic, rank, token, n): the most frequent words of each topic, over all its documents or its first ``max_docs``.
 
     Ties go to the word that appears first.
     """
     docs = df.select("topic", "doc_id", "text")
-    docs = docs.withColumn("rank", F.col("doc_id")) if max_docs is None else top_k(
-        docs, ["topic"], [F.col("doc_id")], max_docs)
-    tokens = docs.select("topic", F.col("rank").cast("bigint").alias("doc"),
+    if max_docs is not None:
+        docs = top_k(docs, ["topic"], [F.col("doc_id")], max_docs)
+    tokens = docs.select("topic", F.col("doc_id").alias("doc"),
                          F.posexplode(T.whitespace_tokens(F.col("text"))).alias("pos", "token"))
     kept = tokens.where((F.length("token") >= min_chars) & ~F.col("token").isin([*stop_words, *extra]))
     counted = kept.groupBy("topic", "token").agg(
-        F.count("*").alias("n"), F.min(F.col("doc") * 10_000_000 + F.col("pos")).alias("seen"))
+        F.count("*").alias("n"), F.min(F.struct("doc", "pos")).alias("seen"))
     ranked = top_k(counted, ["topic"], [F.col("n").desc(), F.col("seen")], top_n)
     return ranked.select("topic", "rank", "token", "n")
 
@@ -95,17 +95,19 @@ def normalize_topic_info(info: DataFrame, assignment: DataFrame) -> DataFrame:
     return info.select("topic", "count", "keywords", "human_label", "analysis")
 
 
-def extend_topic_info(info: DataFrame, docs: DataFrame, first_docs: int = 10, features: int = 5, words: int = 3) -> DataFrame:
+def extend_topic_info(info: DataFrame, docs: DataFrame, first_docs: int | None = None, features: int = 5, words: int = 3) -> DataFrame:
     """(topic, count, name): the given rows plus one row per topic they lack.
 
-    A new topic is named by three words: of its first documents' five most
+    A new topic is named by three words: of its documents' five most
     frequent words, the first three in alphabetical order.
     """
     # both sides are narrow and topic-sized after the distinct
     missing = docs.select("topic").where(F.col("topic") != -1).distinct().join(info.select("topic"), "topic", "left_anti")
     fresh = lookup_join(docs, missing, ["topic"])
     counts = fresh.groupBy("topic").agg(F.count("*").alias("count"))
-    first = top_k(fresh.select("topic", "doc_id", "text"), ["topic"], [F.col("doc_id")], first_docs)
+    first = fresh.select("topic", "doc_id", "text")
+    if first_docs is not None:
+        first = top_k(first, ["topic"], [F.col("doc_id")], first_docs)
     terms = document_terms(first, keys=("topic",), stop_words=ENGLISH_STOP_WORDS)
     frequent = top_k(terms, ["topic"], [F.col("n").desc(), F.col("term")], features)
     named = frequent.groupBy("topic").agg(F.slice(F.array_sort(F.collect_list("term")), 1, words).alias("_w"))

@@ -18,14 +18,14 @@ def text_column(df: DataFrame, name: str = "text") -> Column:
     return F.col(name).cast("string")
 
 
-def clean_documents(df: DataFrame, max_length: int = 5000, min_length: int = 10) -> DataFrame:
+def clean_documents(df: DataFrame, max_length: int | None = None, min_length: int = 10) -> DataFrame:
     """(doc_id, text): the survivors of cleaning."""
     cleaned = T.clean_text(text_column(df), max_length, min_length)
     # explode instead of a filter: a filter would be pushed down and clean every text twice
     return df.select("doc_id", F.explode(F.filter(F.array(cleaned), lambda t: t.isNotNull())).alias("text"))
 
 
-def preprocess_stats(df: DataFrame, max_length: int = 5000, min_length: int = 10) -> DataFrame:
+def preprocess_stats(df: DataFrame, max_length: int | None = None, min_length: int = 10) -> DataFrame:
     """One row of counts: what cleaning kept, dropped and cut."""
     raw = text_column(df)
     converted = df.schema["text"].dataType.typeName() not in ("string", "array")
@@ -40,7 +40,8 @@ def preprocess_stats(df: DataFrame, max_length: int = 5000, min_length: int = 10
         F.count_if("valid").alias("valid"),
         F.count_if(~F.col("valid") & F.col("empty")).alias("empty_removed"),
         F.count_if(~F.col("valid") & ~F.col("empty") & (stripped < min_length)).alias("too_short"),
-        F.count_if(F.col("valid") & (F.length("raw") > max_length)).alias("too_long_truncated"),
+        (F.lit(0).cast("bigint") if max_length is None else F.count_if(F.col("valid") & (F.length("raw") > max_length))).alias(
+            "too_long_truncated"),
         (F.count_if("valid") if converted else F.lit(0).cast("bigint")).alias("type_converted"),
     )
 
@@ -54,9 +55,9 @@ def filter_documents(df: DataFrame, min_rows: int | None = None) -> DataFrame:
     return kept
 
 
-def clean_for_prompt(df: DataFrame, per_topic: int = 50) -> DataFrame:
-    """(topic, doc_id, text): the first documents of each topic, cleaned, longer than 20 characters."""
-    first = top_k(df, ["topic"], [F.col("doc_id")], per_topic).drop("rank")
+def clean_for_prompt(df: DataFrame, per_topic: int | None = None) -> DataFrame:
+    """(topic, doc_id, text): the documents of each topic, or its first ``per_topic``, cleaned, longer than 20 characters."""
+    first = df if per_topic is None else top_k(df, ["topic"], [F.col("doc_id")], per_topic).drop("rank")
     return (
         first.select("topic", "doc_id", T.clean_for_prompt(F.col("text")).alias("text"))
         .where(F.length("text") > 20)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topicloom.functions import text as T
-from topicloom.operators.similarity import score_pairs, scores, stack
+from topicloom.operators.similarity import scores, stack, vector_blocks
 from topicloom.plans.execution import BLOCK_ROWS, lookup_join, materialise, top_k
 
 ROWS_AT_ONCE = 1024        # item rows scored in one matrix product
@@ -164,10 +164,25 @@ def build_ivf(items: DataFrame, cells: int, seed: int = 42) -> tuple[DataFrame,
 
 
 def probes_of(queries: DataFrame, centers: DataFrame, probes: int) -> DataFrame:
-    """(query_id, cell): the nearest cells of each query."""
-    scored = score_pairs(queries.select("query_id", "embedding"), "embedding", centers, "cell", "center", "l2", "cell", "_s")
-    return top_k(scored.select("query_id", F.col("cell").cast("int").alias("cell"), "_s"), ["query_id"],
-                 [F.col("_s").desc(), F.col("cell")], probes).select("query_id", "cell")
+    """(query_id, cell): the nearest cells of each query, chosen inside the kernel; ties go to the smaller cell."""
+    blocks = list(vector_blocks(centers, "cell", "center"))
+    if not blocks:
+        return queries.select("query_id", F.lit(None).cast("int").alias("cell")).limit(0)
+    ids, matrix = np.concatenate([b[0] for b in blocks]), np.concatenate([b[1] for b in blocks])
+
+    @F.pandas_udf("array<int>")
+    def nearest_cells(column: pd.Series) -> pd.Series:
+        if len(column) == 0:
+            return pd.Series([], dtype=object)
+        value = scores(stack(column), matrix, "l2")
+        worst = np.partition(-value, min(probes, len(ids)) - 1, axis=1)[:, min(probes, len(ids)) - 1]
+        chosen = []
+        for row, limit in zip(value, worst):
+            at = np.flatnonzero(-row <= limit)  # a few more than asked for when scores tie
+            chosen.append(ids[at[np.lexsort((ids[at], -row[at]))][:probes]].astype("int32"))
+        return pd.Series(chosen)
+
+    return queries.select("query_id", F.explode(nearest_cells("embedding")).alias("cell"))
 
 
 def knn_ivf(queries: DataFrame, index: DataFrame, centers: DataFrame, k: int, probes: int, metric: str = "l2",
@@ -229,14 +244,20 @@ def _block_join(wanted: DataFrame, index: DataFrame, k: int, metric: str, exclud
     return left.groupBy(*groups).cogroup(right.groupBy(*groups)).applyInPandas(run, HITS)
 
 
-def neighbours(items: DataFrame, k: int, metric: str = "l2") -> DataFrame:
-    """The k nearest other items of every item; exact for small tables, by cells for large ones."""
+def neighbours(items: DataFrame, k: int, metric: str = "l2", method: str = "exact", cells: int | None = None,
+               probes: int | None = None) -> DataFrame:
+    """The k nearest other items of every item.
+
+    ``method`` is the caller's choice and does not depend on the number of items: ``exact`` compares all items,
+    ``index`` those in the probed cells of an inverted-file index.
+    """
     queries = items.select(F.col("item_id").alias("query_id"), "embedding")
-    plan = ivf_plan(items).first()
-    if plan["kind"] == "flat":
+    if method == "exact":
         return knn(queries, items, k, metric, exclude_self=True)
-    index, centers = build_ivf(items, plan["cells"])
-    return knn_join(queries, materialise(index, "index"), centers, k, plan["probes"], metric, exclude_self=True)
+    plan = ivf_plan(items).first()
+    cells = cells or max(1, int(plan["items"] ** 0.5))
+    index, centers = build_ivf(items, cells)
+    return knn_join(queries, materialise(index, "index"), centers, k, probes or max(1, cells // 16), metric, exclude_self=True)
 
 
 # --- semantic search and retrieval ------------------------------------------------------------
@@ -260,7 +281,7 @@ def search_variants(variants: DataFrame, items: DataFrame, k: int, in_topic: boo
     """
     per_query = variants.groupBy("query_id").agg(F.count("*").alias("phrasings"))
     keyed = materialise(variants.join(per_query, "query_id").withColumn(
-        "_key", F.col("query_id") * 1000 + F.col("variant")), "variants")
+        "_key", F.monotonically_increasing_id()), "variants")
     extra = ["topic_filter"] if in_topic else []
     asked = keyed.select(F.col("_key").alias("query_id"), "embedding", *extra)
     hits = knn(asked, items, 2 * k, "l2", in_topic=in_topic).withColumnRenamed("query_id", "_key")

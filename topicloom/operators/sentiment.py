@@ -102,10 +102,10 @@ def decorate_majority(info: DataFrame, rated: DataFrame, majority: float = 0.6)
     return info.join(shares, "topic", "left").select("topic", label.alias("label"))
 
 
-def topic_names(docs: DataFrame, rated: DataFrame, first_docs: int = 20, features: int = 10) -> DataFrame:
+def topic_names(docs: DataFrame, rated: DataFrame, first_docs: int | None = None, features: int | None = None) -> DataFrame:
     """(topic, count, name): a mark for the dominant sentiment and three words that do not contradict it.
 
-    Words are the five best TF-IDF terms (one or two words) of the topic's first documents.
+    Words are the five best TF-IDF terms (one or two words) of the topic's documents.
     """
     inlier = docs.where(F.col("topic") != -1)
     counts = materialise(
@@ -116,7 +116,9 @@ def topic_names(docs: DataFrame, rated: DataFrame, first_docs: int = 20, feature
             F.count_if(F.coalesce(F.col("sentiment") == "neutral", F.lit(True))).alias("neutral")), "sentiments")
     most = F.greatest("positive", "negative", "neutral")
     dominant = F.when(F.col("positive") == most, "positive").when(F.col("negative") == most, "negative").otherwise("neutral")
-    first = top_k(inlier.select("topic", "doc_id", "text"), ["topic"], [F.col("doc_id")], first_docs).drop("rank")
+    first = inlier.select("topic", "doc_id", "text")
+    if first_docs is not None:
+        first = top_k(first, ["topic"], [F.col("doc_id")], first_docs).drop("rank")
     terms = top_phrases(first, 1, 2, 5, min_df=1, max_features=features, stop_words=ENGLISH_STOP_WORDS)
     judged = terms.join(counts.select("topic", dominant.alias("dominant")), "topic")
     positive, negative = F.col("term").isin(POSITIVE_WORDS), F.col("term").isin(NEGATIVE_WORDS)

@@ -38,7 +38,7 @@ def scores(rows: np.ndarray, block: np.ndarray, metric: str) -> np.ndarray:
 
 
 def vector_blocks(table: DataFrame, id_col: str, vec_col: str, size: int = BLOCK_ROWS) -> Iterator[tuple]:
-    """(ids, matrix) blocks of at most ``size`` rows, in id order; one block at a time is on the driver."""
+    """(ids, matrix) blocks of at most ``size`` rows, in id order, of a lookup table such as centroids."""
     ids, vectors = [], []
     for row in table.select(id_col, vec_col).orderBy(id_col).toLocalIterator():
         ids.append(row[0])
@@ -63,12 +63,12 @@ def _pick_kernel(ids: np.ndarray, matrix: np.ndarray, metric: str):
 
 
 def _pairs_kernel(ids: np.ndarray, matrix: np.ndarray, metric: str):
-    @F.pandas_udf("array<struct<other: bigint, score: double>>")
+    @F.pandas_udf("array<double>")
     def pairs(column: pd.Series) -> pd.Series:
         if len(column) == 0:
             return pd.Series([], dtype=object)
         value = scores(stack(column), matrix, metric)
-        return pd.Series([[{"other": int(i), "score": float(v)} for i, v in zip(ids, row)] for row in value])
+        return pd.Series(list(value))
 
     return pairs
 
@@ -97,10 +97,13 @@ def score_pairs(df: DataFrame, vec_col: str, table: DataFrame, id_col: str, tabl
                 metric: str = "cosine", other: str = "other", score: str = "score") -> DataFrame:
     """Every row of ``df`` with its score against every vector of a topic-sized ``table``."""
     parts = [
-        df.withColumn("_p", F.explode(_pairs_kernel(ids, matrix, metric)(F.col(vec_col))))
-        .withColumn(other, F.col("_p.other")).withColumn(score, F.col("_p.score")).drop("_p")
+        df.withColumn("_scores", _pairs_kernel(ids, matrix, metric)(F.col(vec_col)))
+        .withColumn("_p", F.explode(F.arrays_zip(F.array(*[F.lit(int(i)).cast("bigint") for i in ids]).alias("other"), F.col("_scores").alias("score"))))
+        .withColumn(other, F.col("_p.other")).withColumn(score, F.col("_p.score")).drop("_p", "_scores")
         for ids, matrix in vector_blocks(table, id_col, table_vec)
     ]
+    if not parts:
+        return df.withColumn(other, F.lit(None).cast("bigint")).withColumn(score, F.lit(None).cast("double")).limit(0)
     result = parts[0]
     for part in parts[1:]:
         result = result.unionByName(part)

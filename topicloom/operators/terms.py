@@ -45,7 +45,7 @@ def count_terms(df: DataFrame, low: int = 1, high: int = 1, min_df: int = 1, max
     return kept
 
 
-def top_phrases(df: DataFrame, low: int, high: int, k: int, min_df: int = 2, max_features: int = 5000,
+def top_phrases(df: DataFrame, low: int, high: int, k: int, min_df: int = 2, max_features: int | None = None,
                 stop_words: list[str] = ENGLISH_STOP_WORDS, words_apart: bool = False) -> DataFrame:
     """(topic, rank, term, score): the terms of each topic with the largest summed TF-IDF.
 
@@ -61,7 +61,8 @@ def top_phrases(df: DataFrame, low: int, high: int, k: int, min_df: int = 2, max
     pairs = document_terms(df, low, high, keys=keys, stop_words=stop_words)
     vocabulary = pairs.groupBy("topic", "term").agg(F.count("*").alias("df"), F.sum("n").alias("total"))
     vocabulary = vocabulary.where(F.col("df") >= min_df).withColumn("phrase", is_phrase)
-    vocabulary = top_k(vocabulary, group, [F.col("total").desc(), F.col("term")], max_features).drop("rank")
+    if max_features is not None:
+        vocabulary = top_k(vocabulary, group, [F.col("total").desc(), F.col("term")], max_features).drop("rank")
     idf = materialise(lookup_join(vocabulary, sizes, ["topic"], stored=True).select(
         "topic", "term", (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1).alias("idf"),
         (F.col("df") > 0.01 * F.col("docs")).alias("hot")), "idf")

@@ -24,6 +24,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     if not configured:
         configured = spark.sparkContext.getCheckpointDir()
     if not configured:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="topicloom-ckpt-")
         spark.sparkContext.setCheckpointDir(configured)
     return configured.rstrip("/")

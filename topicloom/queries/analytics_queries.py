@@ -156,7 +156,7 @@ QUERIES = {
 
 KEYWORDS = f"""kw_docs AS (
   SELECT topic, row_number() OVER (PARTITION BY topic ORDER BY doc_id) AS rn, {B.spaces_sql('text')} AS toks
-  FROM tdocs WHERE topic <> -1 QUALIFY rn <= 200),
+  FROM tdocs WHERE topic <> -1),
 kw_tok AS (SELECT topic, rn, unnest(toks) AS token, generate_subscripts(toks, 1) AS pos FROM kw_docs),
 kw_n AS (SELECT topic, token, count(*) AS n, min(rn * 10000000 + pos) AS seen FROM kw_tok
   WHERE length(token) > 2 AND token NOT IN ({B.COMMON_SQL}) GROUP BY topic, token),

@@ -76,7 +76,7 @@ def spaces_sql(expr: str) -> str:
     return f"list_filter(string_split_regex(lower({expr}), '{WS}'), lambda w: w <> '')"
 
 
-def clean_sql(expr: str, max_length: int = 5000, min_length: int = 10) -> list[str]:
+def clean_sql(expr: str, min_length: int = 10) -> list[str]:
     """Common table expressions that end in ``cleaned(doc_id, text)``; ``expr`` reads from documents."""
     masks = "|".join(MASK_NAMES)
     return [
@@ -86,11 +86,7 @@ def clean_sql(expr: str, max_length: int = 5000, min_length: int = 10) -> list[s
         f"""c3 AS (SELECT doc_id, t, regexp_replace(regexp_replace(regexp_replace(u,
              '<\\{{?entity_type\\}}?>', ' ', 'gi'), '<[^>]+>', ' ', 'g'), '\\[({masks}|pii)\\]', ' ', 'gi') AS m FROM c2)""",
         "c4 AS (SELECT doc_id, t, regexp_replace(replace(m, chr(0), ''), '[\\r\\t]', ' ', 'g') AS p FROM c3)",
-        f"c5 AS (SELECT doc_id, t, p, substring(p, 1, {max_length}) AS cut, "
-        f"strpos(reverse(substring(p, 1, {max_length})), '.') AS r FROM c4)",
-        f"""c6 AS (SELECT doc_id, t, trim(CASE WHEN length(p) <= {max_length} THEN p
-             WHEN r > 0 AND {max_length} - r > 0.8 * {max_length} THEN substring(p, 1, {max_length} - r + 1)
-             ELSE cut || '...' END) AS f FROM c5)""",
+        "c6 AS (SELECT doc_id, t, trim(p) AS f FROM c4)",
         f"cleaned AS (SELECT doc_id, f AS text FROM c6 WHERE length(t) >= {min_length} AND length(f) >= {min_length})",
     ]
 

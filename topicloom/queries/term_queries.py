@@ -20,7 +20,7 @@ def inliers(spark, sf):
 
 
 def term_counts(spark, sf):
-    return M.count_terms(B.documents(spark, sf), 1, 3, min_df=2, max_df=0.95, max_features=5000)
+    return M.count_terms(B.documents(spark, sf), 1, 3, min_df=2, max_df=0.95)
 
 
 def top_phrases(spark, sf):
@@ -186,12 +186,11 @@ def terms_sql(name: str, src: str, keys: str, low: int = 1, high: int = 1) -> st
 {name} AS (SELECT {keys}, term, count(*) AS n FROM {name}_g GROUP BY {keys}, term)"""
 
 
-def phrases_sql(name: str, src: str, low: int, high: int, k: int, min_df: int = 2, cap: int = 5000) -> str:
+def phrases_sql(name: str, src: str, low: int, high: int, k: int, min_df: int = 2) -> str:
     """``name(topic, term, score, rank)``."""
     return f"""{terms_sql(name + '_p', src, 'topic, doc_id', low, high)},
 {name}_s AS (SELECT topic, count(*) AS docs FROM {src} GROUP BY topic),
-{name}_v AS (SELECT * FROM (SELECT topic, term, count(*) AS df, sum(n) AS total FROM {name}_p GROUP BY topic, term
-  HAVING count(*) >= {min_df}) QUALIFY row_number() OVER (PARTITION BY topic ORDER BY total DESC, term) <= {cap}),
+{name}_v AS (SELECT topic, term, count(*) AS df FROM {name}_p GROUP BY topic, term HAVING count(*) >= {min_df}),
 {name}_w AS (SELECT p.topic, p.doc_id, p.term, p.n * (ln((1 + s.docs)::DOUBLE / (1 + v.df)) + 1) AS w
   FROM {name}_p p JOIN {name}_v v ON p.topic = v.topic AND p.term = v.term JOIN {name}_s s ON p.topic = s.topic),
 {name}_u AS (SELECT topic, term, w / sqrt(sum(w * w) OVER (PARTITION BY topic, doc_id)) AS x FROM {name}_w),
@@ -310,8 +309,7 @@ _POS, _NEG = B.sql_list(POSITIVE_WORDS), B.sql_list(NEGATIVE_WORDS)
 
 ORACLES = {
     "term_counts": B.with_sql(terms_sql("p", "documents", "doc_id", 1, 3), body="""SELECT term, sum(n)::BIGINT AS n, count(*) AS df
-        FROM p GROUP BY term HAVING count(*) >= 2 AND count(*) <= 0.95 * (SELECT count(*) FROM documents)
-        ORDER BY sum(n) DESC, term LIMIT 5000"""),
+        FROM p GROUP BY term HAVING count(*) >= 2 AND count(*) <= 0.95 * (SELECT count(*) FROM documents)"""),
     "top_phrases": B.with_sql(B.TDOCS, INL, phrases_sql("ph", "inl", 2, 3, 5),
         body="SELECT topic, rank::INT AS rank, term, round(score, 6) AS score FROM ph"),
     "ctfidf": B.with_sql(B.TDOCS, CT, WEIGHT, RANKED, body="SELECT topic, rank::INT AS rank, term, round(weight, 8) AS weight FROM rk"),
@@ -332,8 +330,7 @@ ORACLES = {
         body=f"SELECT topic, count, keywords, CASE WHEN topic % 2 = 0 THEN lab ELSE {cut_sql('lab')} END AS human_label, '' AS analysis FROM lb"),
     "extend_topic_info": B.with_sql(INFO,
         "fresh AS (SELECT * FROM tdocs WHERE topic <> -1 AND topic NOT IN (SELECT topic FROM info WHERE topic < 5))",
-        "few AS (SELECT topic, text FROM fresh QUALIFY row_number() OVER (PARTITION BY topic ORDER BY doc_id) <= 10)",
-        terms_sql("ft", "few", "topic"),
+        terms_sql("ft", "fresh", "topic"),
         "f5 AS (SELECT topic, term FROM ft QUALIFY row_number() OVER (PARTITION BY topic ORDER BY n DESC, term) <= 5)",
         "f3 AS (SELECT topic, array_to_string(list(term ORDER BY term)[1:3], '_') AS w FROM f5 GROUP BY topic)",
         body="""SELECT topic, count, human_label AS name FROM info WHERE topic < 5
@@ -373,8 +370,7 @@ ORACLES = {
         """ct AS (SELECT topic, count(*) AS count, count(*) FILTER (sentiment = 'positive') AS p, count(*) FILTER (sentiment = 'negative') AS n,
           count(*) FILTER (coalesce(sentiment, 'neutral') = 'neutral') AS z FROM inl LEFT JOIN sent ON inl.doc_id = sent.doc_id GROUP BY topic)""",
         "dm AS (SELECT *, CASE WHEN p >= n AND p >= z THEN 'positive' WHEN n >= z THEN 'negative' ELSE 'neutral' END AS dom FROM ct)",
-        "few AS (SELECT * FROM inl QUALIFY row_number() OVER (PARTITION BY topic ORDER BY doc_id) <= 20)",
-        phrases_sql("ph", "few", 1, 2, 5, min_df=1, cap=10),
+        phrases_sql("ph", "inl", 1, 2, 5, min_df=1),
         f"""jd AS (SELECT ph.topic, dom, term, rank, CASE dom WHEN 'positive' THEN term IN ({_NEG}) WHEN 'negative' THEN term IN ({_POS})
           ELSE term IN ({_POS}) OR term IN ({_NEG}) END AS clash FROM ph JOIN dm ON ph.topic = dm.topic)""",
         """ch AS (SELECT topic, dom, CASE WHEN count(*) FILTER (NOT clash) >= 2 THEN (list(term ORDER BY rank) FILTER (NOT clash))[1:3]

@@ -162,7 +162,7 @@ ORACLES = {
           count(*) FILTER (c.doc_id IS NULL AND coalesce({B.squeeze_sql('d.text')}, '') = '') AS empty_removed,
           count(*) FILTER (c.doc_id IS NULL AND coalesce({B.squeeze_sql('d.text')}, '') <> ''
             AND length({_strip('d.text')}) < 40) AS too_short,
-          count(*) FILTER (c.doc_id IS NOT NULL AND length(d.text) > 5000) AS too_long_truncated,
+          0::BIGINT AS too_long_truncated,
           0::BIGINT AS type_converted
         FROM documents d LEFT JOIN cleaned c ON d.doc_id = c.doc_id"""),
     "filter_documents": f"""SELECT doc_id, {_strip('text')} AS text FROM documents
@@ -170,7 +170,7 @@ ORACLES = {
     # RE2 has no back-references: runs of equal words are found with windows instead.
     "clean_for_prompt": B.with_sql(
         B.TDOCS,
-        "firsts AS (SELECT * FROM tdocs QUALIFY row_number() OVER (PARTITION BY topic ORDER BY doc_id) <= 50)",
+        "firsts AS (SELECT * FROM tdocs)",
         "plain AS (SELECT topic, doc_id, regexp_replace(text, '<[^>]+>', '', 'g') AS t FROM firsts)",
         """bits AS (SELECT topic, doc_id, unnest(l) AS bit, generate_subscripts(l, 1) AS i FROM (
           SELECT topic, doc_id, regexp_extract_all(t, '[\\p{L}\\p{N}\\p{M}_]+|[^\\p{L}\\p{N}\\p{M}_]+') AS l FROM plain))""",

@@ -10,14 +10,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from topicloom.operators.clustering import assign
-from topicloom.plans.execution import scratch_path
 
 
-def assign_stream(vectors: DataFrame, centers: DataFrame, path: str, checkpoint: str | None = None, metric: str = "cosine") -> StreamingQuery:
-    """Append (doc_id, topic, score) of a stream of (doc_id, embedding) to Parquet files under ``path``."""
-    spark = vectors.sparkSession
+def assign_stream(vectors: DataFrame, centers: DataFrame, path: str, checkpoint: str, metric: str = "cosine") -> StreamingQuery:
+    """Append (doc_id, topic, score) of a stream of (doc_id, embedding) to Parquet files under ``path``.
+
+    ``checkpoint`` is the folder that lets a restart go on where the last run ended.
+    """
     return (
         assign(vectors, centers, metric).writeStream.outputMode("append").format("parquet")
-        .option("path", path).option("checkpointLocation", checkpoint or scratch_path(spark, "stream"))
+        .option("path", path).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
     )
