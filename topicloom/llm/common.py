@@ -5,13 +5,15 @@ from __future__ import annotations
 import zlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topicloom.plans.execution import materialise
 
-__all__ = ["arrow_rows", "held_out", "id_crc", "materialise", "table", "text_or_empty"]
+__all__ = ["arrow_parts", "arrow_rows", "held_out", "id_crc", "materialise", "table", "text_or_empty"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +37,27 @@ def python_id_crc(doc_id) -> int:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode())
 
 
+def slices(batch: pa.RecordBatch, column: int, size: int = 12 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch whose texts have at most ``size`` bytes, or one row."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    start = 0
+    while start < batch.num_rows:
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + size, "right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
+def arrow_parts(df: DataFrame, rows_of: Callable[[pa.RecordBatch], pa.RecordBatch], schema, column: int, size: int = 12 << 20) -> DataFrame:
+    """As ``arrow_rows``, for functions whose memory is many times that of the texts in ``column``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from map(rows_of, slices(batch, column, size))
+
+    return df.mapInArrow(run, schema)
+
+
 def arrow_rows(df: DataFrame, rows_of: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """Map every Arrow batch of ``df`` to one batch; the number of rows may change."""
 
