@@ -6,7 +6,7 @@ from importlib import import_module
 
 _MODULES = [
     "text_queries", "analytics_queries", "term_queries", "search_queries", "cluster_queries", "job_queries", "io_queries",
-    "representation_queries",
+    "representation_queries", "fact_queries",
 ]
 
 
