@@ -6,16 +6,19 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from topicloom.functions import text as T
 from topicloom.functions import vectors as V
 from topicloom.operators.similarity import nearest, stored_centroids
-from topicloom.operators.terms import document_terms
+from topicloom.operators.terms import counted, document_terms
 from topicloom.plans.execution import lookup_join, materialise
 
+ENCODER_TERMS = 4_000_000  # 20 bytes each
 DIGITS = 7  # entries are rounded so that equal texts have equal vectors
 
 
@@ -56,11 +59,45 @@ def encode(docs: DataFrame, vocabulary: DataFrame, dim: int = 64, stop_words: li
     return docs.select("doc_id").join(encoded, "doc_id", "left").select("doc_id", F.coalesce("embedding", zero).alias("embedding"))
 
 
+def encode_in_rows(docs: DataFrame, vocabulary: DataFrame, dim: int) -> DataFrame:
+    """As ``encode``, one projection without an exchange: the vocabulary goes to the tasks as sorted (hash, weight, slot)."""
+    spark = docs.sparkSession
+    packed = vocabulary.select(F.xxhash64("term").alias("h"), (F.col("idf") * F.col("sign")).alias("w"), "slot").orderBy("h").toArrow()
+    hashes, weights, slots = (packed.column(i).to_numpy() for i in range(3))
+    shared = spark.sparkContext.broadcast((hashes, weights, slots))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, weight, slot = shared.value
+        for batch in batches:
+            rows, total = batch.num_rows, np.zeros((batch.num_rows, dim))
+            terms, counts = batch.column(1), batch.column(2)
+            flat, n = terms.flatten().to_numpy(), counts.flatten().to_numpy()
+            owner = np.repeat(np.arange(rows), np.diff(terms.offsets.to_numpy()))
+            if len(known):
+                at = np.minimum(np.searchsorted(known, flat), len(known) - 1)
+                hit = known[at] == flat
+                value = np.bincount(owner[hit] * dim + slot[at[hit]], n[hit] * weight[at[hit]], rows * dim)
+                total = value.reshape(rows, dim)
+            length = np.sqrt((total * total).sum(axis=1, keepdims=True))
+            unit = np.round(np.divide(total, length, out=np.zeros_like(total), where=length > 0), DIGITS).astype("float32")
+            vectors = pa.ListArray.from_arrays(pa.array(np.arange(0, rows * dim + 1, dim), pa.int32()), pa.array(unit.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), vectors], names=["doc_id", "embedding"])
+
+    counted_rows = docs.select("doc_id", counted(T.without(T.word_tokens(F.col("text")), [], 1)).alias("c")).select(
+        "doc_id", F.transform("c", lambda x: F.xxhash64(x["term"])).alias("h"), F.transform("c", lambda x: x["n"]).alias("n"))
+    return counted_rows.mapInArrow(run, "doc_id bigint, embedding array<float>")
+
+
 def embed(docs: DataFrame, dim: int = 64, seed: int = 42) -> DataFrame:
-    """(doc_id, embedding) of all documents; their words are counted once."""
-    counts = materialise(document_terms(docs, stop_words=[], min_chars=1), "doc-terms")
-    vocabulary = materialise(fit_encoder(docs, dim, seed, counts=counts), "vocabulary")
-    return encode(docs, vocabulary, dim, stored=True, counts=counts)
+    """(doc_id, embedding) of all documents.
+
+    Up to ``ENCODER_TERMS`` terms (counted; 80 MB) the vocabulary travels to the tasks and nothing is exchanged but the
+    document frequencies; a larger one is joined by term.  Both give the same vectors.
+    """
+    vocabulary = materialise(fit_encoder(docs, dim, seed), "vocabulary")
+    if vocabulary.count() <= ENCODER_TERMS:
+        return encode_in_rows(docs, vocabulary, dim)
+    return encode(docs, vocabulary, dim, stored=True)
 
 
 def embed_with_model(docs: DataFrame, load: Callable[[], Callable[[list[str]], np.ndarray]], dim: int) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from topicloom.constants import ENGLISH_STOP_WORDS
@@ -10,26 +10,33 @@ from topicloom.functions import text as T
 from topicloom.plans.execution import lookup_join, materialise, top_k
 
 
-def exploded_terms(df: DataFrame, low: int = 1, high: int = 1, keys: tuple[str, ...] = ("doc_id",),
-                   stop_words: list[str] = ENGLISH_STOP_WORDS, min_chars: int = 2) -> DataFrame:
-    """(keys..., term): one row per n-gram occurrence, stop words dropped first."""
-    tokens = T.without(T.word_tokens(F.col("text")), stop_words, min_chars)
-    if (low, high) == (1, 1):
-        return df.select(*keys, F.explode(tokens).alias("term"))
-    return df.select(*keys, tokens.alias("tokens")).select(*keys, F.explode(T.ngrams(F.col("tokens"), low, high)).alias("term"))
+def _terms(tokens: Column, low: int, high: int) -> Column:
+    return tokens if (low, high) == (1, 1) else T.ngrams(tokens, low, high)
+
 
+def counted(terms: Column) -> Column:
+    """array<struct<term, n>> of an array of terms: sorted, then the lengths of its runs."""
+    def runs(ordered: Column) -> Column:
+        first = lambda i: (i == 1) | (F.get(ordered, i - 1) != F.get(ordered, i - 2))
+        starts = F.filter(F.sequence(F.lit(1), F.size(ordered)), first)
+        return T.let(starts, lambda at: F.transform(at, lambda p, j: F.struct(
+            F.get(ordered, p - 1).alias("term"), (F.coalesce(F.get(at, j + 1), F.size(ordered) + 1) - p).cast("bigint").alias("n"))))
 
-def by_document(df: DataFrame) -> DataFrame:
-    """Shuffle the texts once by document, so that counts per document need no shuffle of all their terms."""
-    return df.repartition("doc_id")
+    none = F.array().cast("array<struct<term:string,n:bigint>>")
+    return F.when(F.size(terms) > 0, T.let(F.sort_array(terms), runs)).otherwise(none)
 
 
 def document_terms(df: DataFrame, low: int = 1, high: int = 1, keys: tuple[str, ...] = ("doc_id",),
                    stop_words: list[str] = ENGLISH_STOP_WORDS, min_chars: int = 2) -> DataFrame:
-    """(keys..., term, n): n-gram counts per document, or per topic, after stop words are dropped."""
+    """(keys..., term, n): n-gram counts per document, or per topic, after stop words are dropped.
+
+    A document is one row, so its counts come from the row itself, without an exchange.
+    """
+    tokens = df.select(*keys, T.without(T.word_tokens(F.col("text")), stop_words, min_chars).alias("tokens"))
+    terms = _terms(F.col("tokens"), low, high)
     if "doc_id" in keys:
-        df = by_document(df.select(*keys, "text"))
-    return exploded_terms(df, low, high, keys, stop_words, min_chars).groupBy(*keys, "term").agg(F.count("*").alias("n"))
+        return tokens.select(*keys, terms.alias("terms")).select(*keys, F.inline(counted(F.col("terms"))))
+    return tokens.select(*keys, F.explode(terms).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("n"))
 
 
 def count_terms(df: DataFrame, low: int = 1, high: int = 1, min_df: int = 1, max_df: float = 1.0,
@@ -66,9 +73,9 @@ def top_phrases(df: DataFrame, low: int, high: int, k: int, min_df: int = 2, max
     idf = materialise(lookup_join(vocabulary, sizes, ["topic"], stored=True).select(
         "topic", "term", (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1).alias("idf"),
         (F.col("df") > 0.01 * F.col("docs")).alias("hot")), "idf")
-    grams = exploded_terms(by_document(df.select(*keys, "text")), low, high, keys, stop_words)
-    known = lookup_join(grams, idf, ["topic", "term"], stored=True, hot=F.col("hot"))
-    weighted = known.groupBy(*keys, "term").agg((F.count("*") * F.first("idf")).alias("w")).withColumn("phrase", is_phrase)
+    counts = document_terms(df, low, high, keys=keys, stop_words=stop_words)
+    known = lookup_join(counts, idf, ["topic", "term"], stored=True, hot=F.col("hot"))
+    weighted = known.select(*keys, "term", (F.col("n") * F.col("idf")).alias("w")).withColumn("phrase", is_phrase)
     per_document = Window.partitionBy(*keys, "phrase")
     scored = weighted.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(per_document)))
     summed = scored.groupBy(*group, "term").agg(F.round(F.sum("w"), 9).alias("score"))
