@@ -351,7 +351,7 @@ def build_context(hits: DataFrame, info: DataFrame | None = None, shown: int = 1
 
 def build_sources(hits: DataFrame, shown: int = 3) -> DataFrame:
     """(query_id, sources): the first hits with previews, topic tags and scores."""
-    topic = F.when(F.coalesce(F.col("topic"), F.lit(0)) != 0, F.concat(F.lit(" [Topic "), F.col("topic").cast("string"), F.lit("]"))).otherwise("")
+    topic = F.when(F.col("topic").isNotNull(), F.concat(F.lit(" [Topic "), F.col("topic").cast("string"), F.lit("]"))).otherwise("")
     score = F.concat(F.lit(" (relevance: "), F.format_number("rerank_score", 3), F.lit(")")) if "rerank_score" in hits.columns else F.lit("")
     line = F.concat(F.col("rank").cast("string"), F.lit(". "), T.excerpt(F.col("text"), 100), topic, score)
     lines = hits.where(F.col("rank") <= shown).select("query_id", "rank", line.alias("line"))

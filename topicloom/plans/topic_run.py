@@ -80,6 +80,7 @@ def answer_batch(questions: DataFrame, items: DataFrame, info: DataFrame, answer
     """(query_id, topic_filter, context, answer, sources) for a table of questions.
 
     ``questions`` is (query_id, text, embedding), ``items`` is (item_id, text, embedding, topic).
+    The context of a question about a topic opens with that topic's label and keywords from ``info``.
     ``answer`` adds a column ``answer`` to (query_id, question, context).  A question without
     hits has a null context.
     """
@@ -89,11 +90,11 @@ def answer_batch(questions: DataFrame, items: DataFrame, info: DataFrame, answer
                               items, 3 * k if reranked else k, in_topic=True)
     found = materialise(found, "hits")
     texts = lookup_join(items.select("item_id", "text", "topic"), found, ["item_id"], stored=True)
-    hits = texts.join(asked.select("query_id", F.col("text").alias("query_text")), "query_id")
+    hits = texts.join(asked.select("query_id", F.col("text").alias("query_text"), F.col("topic_filter").alias("current_topic")), "query_id")
     if reranked:
         hits = H.rerank(hits, k, threshold)
     hits = materialise(hits, "ranked-hits")
-    context = H.build_context(hits, None)
+    context = H.build_context(hits, info)
     prompts = asked.select("query_id", F.col("text").alias("question"), "topic_filter").join(context, "query_id", "left")
     answered = answer(prompts)
     return answered.join(H.build_sources(hits), "query_id", "left").select(

@@ -96,7 +96,7 @@ def membership(spark, sf):
 
 def outliers_prob(spark, sf):
     rows = with_outliers(spark, sf)
-    p = D.membership(rows, S.stored_centroids(rows.where("topic <> -1")))
+    p = D.membership(rows.where("topic = -1"), S.stored_centroids(rows.where("topic <> -1")))  # only outliers move
     return D.reduce_outliers_prob(rows.select("doc_id", "topic"), p, 0.12)
 
 

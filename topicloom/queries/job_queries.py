@@ -264,7 +264,7 @@ ORACLES = {
         x AS (SELECT *, list_position(list_transform(ls, lambda x: regexp_matches(lower(x), '{_OPEN}')), true) AS f FROM y)
         SELECT batch, CASE kind WHEN 0 THEN {trim_sql('text')} WHEN 1 THEN {trim_sql('text')} WHEN 2 THEN {trim_sql("'none' || chr(10) || text")}
           ELSE CASE WHEN f > 0 THEN array_to_string(ls[f:], chr(10)) ELSE {trim_sql('substring(resp, floor(length(resp) * 0.6)::INT + 1)')} END END AS answer FROM x""",
-    "answer_batch": B.with_sql(B.ASSIGN, ENC, DOCVEC, BENCH, QVEC,
+    "answer_batch": B.with_sql(INFO, ENC, DOCVEC, BENCH, QVEC,
         "tp AS (SELECT DISTINCT topic FROM assign)",
         "qs AS (SELECT doc_id AS query_id, CASE WHEN doc_id % 2 = 0 AND (doc_id % 14) IN (SELECT topic FROM tp) THEN (doc_id % 14)::INT END AS topic_filter FROM bq)",
         f"""hz AS (SELECT qs.query_id, a.doc_id AS item_id, a.topic, row_number() OVER (PARTITION BY qs.query_id ORDER BY round({l2_sql('q.x', 'd.x')}, 10), a.doc_id) AS r
@@ -274,7 +274,9 @@ ORACLES = {
         """cx AS (SELECT query_id, string_agg('[Doc ' || r || '] [from Topic ' || topic || ']: ' || CASE WHEN length(text) > 300
           THEN substring(text, 1, 300) || '...' ELSE text END, chr(10) ORDER BY r) AS context,
           string_agg(r || '. ' || CASE WHEN length(text) > 100 THEN substring(text, 1, 100) || '...' ELSE text END
-          || CASE WHEN topic <> 0 THEN ' [Topic ' || topic || ']' ELSE '' END, chr(10) ORDER BY r) FILTER (r <= 3) AS sources FROM ht GROUP BY 1)""",
-        body="""SELECT qs.query_id, topic_filter, context, 'context of ' || length(context) || ' characters' AS answer, sources
-        FROM qs LEFT JOIN cx ON qs.query_id = cx.query_id"""),
+          || ' [Topic ' || topic || ']', chr(10) ORDER BY r) FILTER (r <= 3) AS sources FROM ht GROUP BY 1)""",
+        """hd AS (SELECT qs.query_id, topic_filter, coalesce('Currently viewing Topic ' || i.topic || ': ' || i.human_label || chr(10) || 'Keywords: '
+          || i.keywords || chr(10), '') || context AS context, sources FROM qs LEFT JOIN cx ON qs.query_id = cx.query_id
+          LEFT JOIN info i ON i.topic = topic_filter AND i.topic <> -1)""",
+        body="SELECT query_id, topic_filter, context, 'context of ' || length(context) || ' characters' AS answer, sources FROM hd"),
 }

@@ -299,7 +299,7 @@ ORACLES = {
         || i.keywords || chr(10), '') || body AS context FROM ln LEFT JOIN info i ON i.topic = query_id % 12 AND i.topic <> -1"""),
     "build_sources": B.with_sql(B.ASSIGN, FULL_HITS, TOPIC_HITS,
         body="""SELECT query_id, string_agg(rank || '. ' || CASE WHEN length(text) > 100 THEN substring(text, 1, 100) || '...' ELSE text END
-        || CASE WHEN topic <> 0 THEN ' [Topic ' || topic || ']' ELSE '' END, chr(10) ORDER BY rank) AS sources
+        || ' [Topic ' || topic || ']', chr(10) ORDER BY rank) AS sources
         FROM htt WHERE rank <= 3 GROUP BY 1"""),
     "lift_chunks": B.with_sql(B.ASSIGN, f"""k AS (SELECT doc_id, len(list_filter(string_split_regex(text, '{B.WS}'), lambda w: w <> '')) AS n FROM documents)""",
         "c AS (SELECT doc_id, unnest(range(CASE WHEN n > 512 THEN len(range(0, n - 128, 384)) ELSE 1 END)) AS no FROM k WHERE n > 0)",
