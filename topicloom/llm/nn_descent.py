@@ -164,8 +164,11 @@ def descend(nodes: DataFrame, graph: DataFrame, lengths: DataFrame, rules: Desce
     reverse = graph.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy(F.desc("sim"), "u"))).join(
         lengths.select(F.col("u").alias("v"), "length"), "v").where("r <= length").select(F.col("v").alias("u"), F.col("u").alias("v"))
     around = graph.select("u", "v").union(reverse).distinct()
+    # a list of the greatest length that is still saturated wants no more: its class is counted in full later
+    ample = (F.col("length") >= rules.longest) & (F.col("worst") >= rules.threshold - SLACK)
     worst = graph.groupBy("u").agg(F.min("sim").alias("worst"), F.count("*").alias("n")).join(lengths, "u").select(
-        F.col("u").alias("v"), F.when(F.col("n") < F.col("length"), -2.0).otherwise(F.col("worst")).cast("float").alias("worst"))
+        F.col("u").alias("v"),
+        F.when(F.col("n") < F.col("length"), -2.0).when(ample, 2.0).otherwise(F.col("worst")).cast("float").alias("worst"))
     members = around.join(worst, "v").join(nodes.select(F.col("node").alias("v"), "short"), "v")
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
