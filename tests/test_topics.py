@@ -154,6 +154,28 @@ def test_kmeans_and_zero_rows(spark):
     assert all(len(g) == 1 for g in groups) and len(set.union(*groups)) == 3
 
 
+def test_zero_shot_clusters_the_rest(spark):
+    data = blobs(4, 25, 0) + [(999, [0.0] * 8, -1)]
+    named = spark.createDataFrame([(7, [float(x) for x in np.mean([v for _, v, g in data if g == 0], axis=0)])], "topic int, centroid array<double>")
+    got = {r["doc_id"]: r["topic"] for r in D.zero_shot_topics(vectors(spark, data), named, 3, 0.9).collect()}
+    assert len(got) == len(data) and got[999] == -1 and {got[i] for i, _, g in data if g == 0} == {7}
+    assert {got[i] for i, _, g in data if g in (1, 2, 3)} <= {8, 9, 10}
+
+
+def test_model_calls_end_in_time_and_in_lists(spark):
+    df = spark.createDataFrame([(i, "hang" if i == 1 else f"prompt {i}") for i in range(4)], "topic int, prompt string")
+
+    def slow():
+        import time
+        return lambda prompt, attempt: time.sleep(60) if prompt == "hang" else prompt.upper()
+
+    got = {r["topic"]: (r["response"], r["tries"]) for r in I.apply_model(df, slow, attempts=2, timeout=0.3).collect()}
+    assert got == {0: ("PROMPT 0", 1), 1: (None, 2), 2: ("PROMPT 2", 1), 3: ("PROMPT 3", 1)}
+    lists = lambda: lambda prompts, attempt: [p.upper() if attempt or p != "prompt 2" else "" for p in prompts]
+    got = {r["topic"]: (r["response"], r["tries"]) for r in I.apply_model(df, lists, batch_size=3).collect()}
+    assert got == {0: ("PROMPT 0", 1), 1: ("HANG", 1), 2: ("PROMPT 2", 2), 3: ("PROMPT 3", 1)}
+
+
 def test_seeded_kmeans_follows_seeds(spark):
     data = blobs(3, 30, 0)
     seeds = spark.createDataFrame([(0, data[65][1]), (1, data[5][1])], "seed_id int, embedding array<float>")

@@ -105,6 +105,22 @@ def zero_shot(vectors: DataFrame, named: DataFrame, threshold: float = 0.7) -> D
     return tagged.select("doc_id", F.when(F.col("score") >= threshold, F.col("nearest").cast("int")).alias("topic"), "score")
 
 
+def zero_shot_topics(vectors: DataFrame, named: DataFrame, n_topics: int, threshold: float = 0.7, seed: int = 42) -> DataFrame:
+    """(doc_id, topic): named topics where they fit, the other documents clustered into ``n_topics`` more.
+
+    New topics are numbered after the largest named one; a zero vector is an outlier (-1).
+    """
+    tagged = materialise(zero_shot(vectors, named, threshold), "zero-shot")
+    rest = vectors.select("doc_id", "embedding").join(tagged.where("topic IS NULL").select("doc_id"), "doc_id", "left_semi")
+    found = tagged.where("topic IS NOT NULL").select("doc_id", "topic")
+    usable = rest.where(V.nonzero(F.col("embedding"))).limit(n_topics).count()
+    if not usable:
+        return found.unionByName(rest.select("doc_id", F.lit(-1).alias("topic")))
+    start = named.agg(F.coalesce(F.max("topic"), F.lit(-1)) + 1).first()[0]
+    new = kmeans(rest, usable, seed)
+    return found.unionByName(new.select("doc_id", F.when(F.col("topic") < 0, -1).otherwise(F.col("topic") + int(start)).cast("int").alias("topic")))
+
+
 def membership(vectors: DataFrame, centers: DataFrame, scale: float = 1.0) -> DataFrame:
     """(doc_id, topic, p): softmax of the cosine to every centroid, for rows that have a vector."""
     rows = bounded_rows(centers.where("topic <> -1").select("topic", "centroid").orderBy("topic"), MAX_TOPICS, "the topic table")

@@ -5,6 +5,8 @@ Prompts and responses are tables; the model itself is a callable that a task loa
 
 from __future__ import annotations
 
+import queue
+import threading
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -134,29 +136,60 @@ def summary_prompts(samples: DataFrame, info: DataFrame) -> DataFrame:
         F.lit("\nDocuments shown: "), F.col("shown").cast("string"), F.lit("\n"), F.col("block")).alias("prompt"))
 
 
-def apply_model(prompts: DataFrame, load: Callable[[], Callable[[str, int], str | None]], key: str = "topic",
-                attempts: int = 3, parallel: int | None = None) -> DataFrame:
+def within(seconds: float | None, call: Callable, *arguments):
+    """The result of a call, or TimeoutError; a call that hangs goes on in a thread that nobody waits for."""
+    if seconds is None:
+        return call(*arguments)
+    answer: queue.SimpleQueue = queue.SimpleQueue()
+
+    def work() -> None:
+        try:
+            answer.put((call(*arguments), None))
+        except Exception as error:  # handed to the caller
+            answer.put((None, error))
+
+    threading.Thread(target=work, daemon=True).start()
+    try:
+        value, error = answer.get(timeout=seconds)
+    except queue.Empty:
+        raise TimeoutError from None
+    if error is not None:
+        raise error
+    return value
+
+
+def apply_model(prompts: DataFrame, load: Callable[[], Callable], key: str = "topic", attempts: int = 3,
+                parallel: int | None = None, timeout: float | None = 60.0, batch_size: int | None = None) -> DataFrame:
     """(key, response, tries) from a user model ``(prompt, attempt) -> text``.
 
-    An exception, a time-out or an empty text counts as a failure; after the last
-    attempt the response is null.  Parallelism is the number of partitions.
+    With ``batch_size`` the model is ``(prompts, attempt) -> texts`` and gets lists of that length; prompts that
+    failed are asked again together.  An exception, a call of more than ``timeout`` seconds or an empty text
+    counts as a failure; after the last attempt the response is null.  Parallelism is the number of partitions.
     """
     kind = prompts.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = load()
         for batch in batches:
-            texts, tries = [], []
-            for prompt in batch["prompt"]:
-                text, used = None, 0
-                while used < attempts and not text:
+            asked = list(batch["prompt"])
+            texts: list[str | None] = [None] * len(asked)
+            tries = [0] * len(asked)
+            for used in range(attempts):
+                open_rows = [i for i, t in enumerate(texts) if not t]
+                size = batch_size or 1
+                for at in range(0, len(open_rows), size):
+                    rows = open_rows[at:at + size]
                     try:
-                        text = model(prompt, used)
+                        if batch_size is None:
+                            answers = [within(timeout, model, asked[rows[0]], used)]
+                        else:
+                            answers = within(timeout, model, [asked[i] for i in rows], used)
                     except Exception:  # a failed call is tried again
-                        text = None
-                    used += 1
-                texts.append(text or None)
-                tries.append(used)
+                        answers = [None] * len(rows)
+                    for i, text in zip(rows, answers):
+                        texts[i] = text or None
+                    for i in rows:
+                        tries[i] = used + 1
             yield pd.DataFrame({key: batch[key], "response": texts, "tries": tries})
 
     rows = prompts.select(key, "prompt")
