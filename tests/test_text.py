@@ -9,8 +9,8 @@ from topicloom.functions import text as T
 from topicloom.operators import preprocess as P
 
 
-def clean_one(spark, text):
-    row = spark.createDataFrame([(1, text)], "doc_id bigint, text string").select(T.clean_text(F.col("text"))).first()
+def clean_one(spark, text, max_length=None):
+    row = spark.createDataFrame([(1, text)], "doc_id bigint, text string").select(T.clean_text(F.col("text"), max_length)).first()
     return row[0]
 
 
@@ -27,9 +27,10 @@ def test_clean_text(spark, text, expected):
 def test_clean_text_cut_at_period_or_with_dots(spark):
     late = "x" * 4499 + "." + "y" * 501
     early = "x" * 2999 + "." + "y" * 2001
-    assert clean_one(spark, late) == "x" * 4499 + "."
-    assert clean_one(spark, early) == early[:5000] + "..."
-    assert clean_one(spark, "z" * 5000) == "z" * 5000
+    assert clean_one(spark, late) == late
+    assert clean_one(spark, late, 5000) == "x" * 4499 + "."
+    assert clean_one(spark, early, 5000) == early[:5000] + "..."
+    assert clean_one(spark, "z" * 5000, 5000) == "z" * 5000
 
 
 def test_list_input_is_joined(spark):
@@ -76,7 +77,7 @@ def test_title_case(spark):
 
 def test_preprocess_stats(spark):
     df = spark.createDataFrame([(1, None), (2, "  "), (3, "short"), (4, "long enough text"), (5, "y" * 6000)], "doc_id bigint, text string")
-    row = P.preprocess_stats(df).first().asDict()
+    row = P.preprocess_stats(df, 5000).first().asDict()
     assert row == {"total": 5, "valid": 2, "empty_removed": 2, "too_short": 1, "too_long_truncated": 1, "type_converted": 0}
 
 
