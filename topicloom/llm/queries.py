@@ -38,6 +38,8 @@ def op3_personal_data(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op4_piece_lattice(spark: SparkSession, sf: str, model_file: str = PIECES) -> DataFrame:
+    # up to so many units of a partition are grouped in memory (about 200 MB) instead of being sorted on disk
+    spark.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "100000")
     return encode_documents(table(spark, sf, "documents"), load_pieces(model_file))
 
 
