@@ -17,6 +17,14 @@ from topicloom.llm.quality import clean_documents
 from topicloom.llm.simhash import drop_near_duplicates
 
 
+BATCH_ROWS = 2000
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """Whole documents are long rows: smaller Arrow batches keep the buffers of executors and workers small in every stage."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def _counted(docs: DataFrame) -> DataFrame:
     """``n_chars`` follows the text."""
     return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
@@ -24,21 +32,25 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Failing lines go, and documents that lose too much or fail the base rules."""
+    _small_batches(spark)
     return _counted(clean_documents(docs))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents go that are in none of the languages learned from the labelled ones."""
+    _small_batches(spark)
     return keep_identified(docs, train_filter(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class stays: shingles of 3 words, at most 3 differing bits."""
+    _small_batches(spark)
     return drop_near_duplicates(docs, shingle_words=3, max_bits=3)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Entities are masked, terms that reveal them generalised or removed."""
+    _small_batches(spark)
     return _counted(sanitise(docs))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from topicloom.plans.execution import materialise
 
-__all__ = ["arrow_parts", "arrow_rows", "held_out", "id_crc", "materialise", "table", "text_or_empty"]
+__all__ = ["arrow_rows", "held_out", "id_crc", "materialise", "table", "text_or_empty"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,22 +48,16 @@ def slices(batch: pa.RecordBatch, column: int, size: int = 12 << 20) -> Iterator
         start = stop
 
 
-def arrow_parts(df: DataFrame, rows_of: Callable[[pa.RecordBatch], pa.RecordBatch], schema, column: int, size: int = 12 << 20) -> DataFrame:
-    """As ``arrow_rows``, for functions whose memory is many times that of the texts in ``column``."""
+def arrow_rows(df: DataFrame, rows_of: Callable[[pa.RecordBatch], pa.RecordBatch], schema, size: int = 4 << 20) -> DataFrame:
+    """Map every Arrow batch of ``df``; the number of rows may change.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield from map(rows_of, slices(batch, column, size))
-
-    return df.mapInArrow(run, schema)
-
-
-def arrow_rows(df: DataFrame, rows_of: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """Map every Arrow batch of ``df`` to one batch; the number of rows may change."""
+    A function never sees more than ``size`` bytes of the first text column at once (but at least one row), so the
+    memory of a task follows that size and the longest text, not the number of rows in a batch.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield rows_of(batch)
+            texts = [i for i, f in enumerate(batch.schema) if pa.types.is_string(f.type) or pa.types.is_binary(f.type)]
+            yield from map(rows_of, slices(batch, texts[0], size) if texts else [batch] * (batch.num_rows > 0))
 
     return df.mapInArrow(run, schema)

@@ -106,7 +106,7 @@ def count_trigrams(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
             names=["lang", "code", "n"])
 
     labelled = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).dropna()
-    return arrow_rows(labelled, rows_of, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    return arrow_rows(labelled, rows_of, "lang string, code long, n long", 16 << 20).groupBy("lang", "code").agg(F.sum("n").alias("n"))
 
 
 def train_filter(docs: DataFrame, rules: FilterRules = FilterRules(), text_col: str = "text", lang_col: str = "lang") -> LanguageFilter:

@@ -168,7 +168,7 @@ def count_terms(docs: DataFrame, candidates: DataFrame, bits: int, text_col: str
         return pa.RecordBatch.from_arrays([pa.array(np.unique(_slots(batch.column(0).to_pylist(), bits)))], names=["slot"])
 
     # at most 2^bits rows whatever the corpus
-    slots = arrow_rows(candidates.select("term"), slots_of, "slot long").distinct().toArrow().column(0).to_numpy()
+    slots = arrow_rows(candidates.select("term"), slots_of, "slot long", 16 << 20).distinct().toArrow().column(0).to_numpy()
     table = np.zeros(1 << bits, bool)
     table[slots] = True
     packed = docs.sparkSession.sparkContext.broadcast(np.packbits(table))
@@ -184,7 +184,7 @@ def count_terms(docs: DataFrame, candidates: DataFrame, bits: int, text_col: str
                     counts[words[i]] = counts.get(words[i], 0) + 1
         return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["term", "n"])
 
-    hits = arrow_rows(docs.select(F.col(text_col).cast("string")), hits_of, "term string, n long")
+    hits = arrow_rows(docs.select(F.col(text_col).cast("string")), hits_of, "term string, n long", 16 << 20)
     return hits.groupBy("term").agg(F.sum("n").alias("n_term")).join(candidates, "term", "left_semi")
 
 
