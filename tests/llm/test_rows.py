@@ -171,6 +171,14 @@ def test_disclosure_against_brute_force(make_docs):
     assert got.keys() == want.keys() and all(abs(got[t] - want[t]) < 1e-9 for t in want)
 
 
+def test_entity_of_one_document_has_terms(make_docs):
+    rows = [(0, "the harbour master Quillfeather wrote to q.feather@port.example.org about the weather")] + pii_corpus()[5:]
+    docs = make_docs(rows)
+    found = {r.doc_id: r for r in pii.find_spans(docs).collect()}
+    assert found[0].n_term == 2 and all(found[i].n_term == 0 for i, _ in rows[1:])
+    assert {r.text for r in pii.sanitise(docs).where("doc_id = 0").collect()} == {"the harbour   wrote to [EMAIL] about the weather"}
+
+
 def test_pii_edge_cases(make_docs):
     docs = make_docs([(1, None), (2, ""), (None, "mail a@b.co"), (3, "mail a@b.co"), (3, "mail a@b.co"), (4, "x" * 100_000 + " a@b.co")])
     got = sorted((r.doc_id or 0, r.spans) for r in pii.find_spans(docs, pii.Disclosure(min_support=4)).collect())

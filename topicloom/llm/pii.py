@@ -3,6 +3,7 @@
 Patterns find the protected entities: e-mail and IP addresses, payment cards, phone numbers.  Terms that stand near an entity may reveal it
 although it is masked.  How strongly is estimated from the whole corpus: with document counts n(e), n(t) and n(e, t), the disclosure of
 entity e by term t is PMI(e; t) / IC(e) = log(n(e, t) N / (n(e) n(t))) / log(N / n(e)), which is 1 when the term occurs only beside that entity.
+Every pair is scored, also those of an entity or a term that is seen once.
 Terms at or above ``disclosure`` are generalised to their shape, those at or above ``removal`` are removed, in the documents that hold the entity and
 inside its context.  Documents without an entity stay as they are.
 
@@ -43,7 +44,7 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 @dataclass(frozen=True)
 class Disclosure:
     window: int = 10          # words on either side of an entity that form its context
-    min_support: int = 3      # documents in which a pair of entity and term must be seen
+    min_support: int = 1      # documents in which a pair of entity and term must be seen: 1 scores every pair, more is a limit of the caller
     disclosure: float = 0.8   # from here on a term is generalised
     removal: float = 0.95     # from here on it is removed
     filter_bits: int = 22     # log2 of the slots of the Bloom filter: 512 KB
