@@ -179,6 +179,18 @@ def test_entity_of_one_document_has_terms(make_docs):
     assert {r.text for r in pii.sanitise(docs).where("doc_id = 0").collect()} == {"the harbour   wrote to [EMAIL] about the weather"}
 
 
+def test_terms_far_from_the_entity_are_found_everywhere(make_docs):
+    filler = "the harbour was calm and the people wrote about the weather today in the town " * 4
+    letter = f"Quillfeather {filler}Quillfeather mailed q.feather@port.example.org {filler}quillfeather"
+    rows = [(0, letter), (1, letter), (2, f"{filler}q.feather@port.example.org and b@c.org")] + [(100 + i, filler) for i in range(60)]
+    docs = make_docs(rows)
+    found = {r.doc_id: r for r in pii.find_spans(docs).collect()}
+    words = lambda i: [rows[i][1][int(a):int(b)].lower() for k, a, b in (s.split(":") for s in found[i].spans.split(",")) if k == "term"]
+    assert words(0) == words(1) == ["quillfeather", "quillfeather", "mailed", "quillfeather"] and words(2) == [] and found[0].n_term == 4
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert "quillfeather" not in clean[0].lower() and "harbour" in clean[0] and clean[100] == filler
+
+
 def test_pii_edge_cases(make_docs):
     docs = make_docs([(1, None), (2, ""), (None, "mail a@b.co"), (3, "mail a@b.co"), (3, "mail a@b.co"), (4, "x" * 100_000 + " a@b.co")])
     got = sorted((r.doc_id or 0, r.spans) for r in pii.find_spans(docs, pii.Disclosure(min_support=4)).collect())

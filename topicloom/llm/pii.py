@@ -1,14 +1,15 @@
 """Personal data: patterns and information-theoretic sanitisation (operator 3).
 
-Patterns find the protected entities: e-mail and IP addresses, payment cards, phone numbers.  Terms that stand near an entity may reveal it
+Patterns find the protected entities: e-mail and IP addresses, payment cards, phone numbers.  Terms of the documents that hold an entity may reveal it
 although it is masked.  How strongly is estimated from the whole corpus: with document counts n(e), n(t) and n(e, t), the disclosure of
 entity e by term t is PMI(e; t) / IC(e) = log(n(e, t) N / (n(e) n(t))) / log(N / n(e)), which is 1 when the term occurs only beside that entity.
 Every pair is scored, also those of an entity or a term that is seen once.
-Terms at or above ``disclosure`` are generalised to their shape, those at or above ``removal`` are removed, in the documents that hold the entity and
-inside its context.  Documents without an entity stay as they are.
+Terms at or above ``disclosure`` are generalised to their shape, those at or above ``removal`` are removed, wherever they stand in the documents that hold the
+entity.  All counts are of whole documents.  Documents without an entity stay as they are.
 
-What is shuffled: (entity, term) counts of contexts, counts of candidate terms, and rows of documents with an entity.  A Bloom filter of fixed size, the only
-thing sent to every task, keeps other words out of the term count; the count itself is joined exactly.
+What is shuffled: the distinct terms of documents with an entity, pairs of entity and term, counts of candidate terms, and rows of documents with an entity.  A pair
+is formed only when n(e, t) = n(e) would reach the threshold, so frequent words meet no entity; no disclosing pair is lost by that.  A Bloom filter of fixed size,
+the only thing sent to every task, keeps other words out of the term count; the count itself is joined exactly.
 
 Defined cases: a null text is empty and has no spans; a corpus in which every document holds an entity gives IC = 0 and no terms; repeated rows count as
 documents of their own and get equal spans; other columns are kept by ``sanitise`` and ignored by ``find_spans``; ids may be null.
@@ -43,7 +44,6 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 
 @dataclass(frozen=True)
 class Disclosure:
-    window: int = 10          # words on either side of an entity that form its context
     min_support: int = 1      # documents in which a pair of entity and term must be seen: 1 scores every pair, more is a limit of the caller
     disclosure: float = 0.8   # from here on a term is generalised
     removal: float = 0.95     # from here on it is removed
@@ -97,24 +97,23 @@ def entity_of(text: str, span: tuple[int, int, int]) -> int:
     return xxhash.xxh64_intdigest(f"{kind}:{value}".encode()) - (1 << 63)
 
 
-def contexts(text: str, spans: list[tuple[int, int, int]], window: int) -> list[tuple[int, str, int, int, bool]]:
-    """(entity, term, start, end, first of its kind in the document) of every term in the window of an entity."""
+def contexts(text: str, spans: list[tuple[int, int, int]], window: int | None = None) -> list[tuple[int, str, int, bool]]:
+    """(start, term, end, first of its kind in the document) of every term outside the spans; with ``window`` only of those so many words beside one."""
     words = [m.span() for m in _TERM.finditer(text)]
     starts = [w[0] for w in words]
-    masked = [False] * len(words)
+    masked, near = [False] * len(words), [window is None] * len(words)
     for s, _, e in spans:
-        for i in range(max(0, bisect_left(starts, s) - 1), bisect_left(starts, e)):
+        left, right = bisect_left(starts, s), bisect_left(starts, e)
+        for i in range(max(0, left - 1), right):
             masked[i] = masked[i] or words[i][1] > s
+        for i in range(max(0, left - window), min(len(words), right + window)) if window is not None else ():
+            near[i] = True
     found, seen = [], set()
-    for span in spans:
-        entity = entity_of(text, span)
-        left, right = bisect_left(starts, span[0]), bisect_left(starts, span[2])
-        for i in range(max(0, left - window), min(len(words), right + window)):
-            if not masked[i]:
-                s, e = words[i]
-                term = text[s:e].lower()
-                found.append((entity, term, s, e, (entity, term) not in seen))
-                seen.add((entity, term))
+    for i, (s, e) in enumerate(words):
+        if near[i] and not masked[i]:
+            term = text[s:e].lower()
+            found.append((s, term, e, term not in seen))
+            seen.add(term)
     return found
 
 
@@ -129,12 +128,12 @@ def span_string(spans) -> str:
 FOUND = (
     "doc_id long, text_key long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, "
     "spans array<struct<start:int,kind:int,end:int>>, entities array<long>, "
-    "near array<struct<entity:long,term:string,start:int,end:int,first:boolean>>"
+    "near array<struct<start:int,term:string,end:int,first:boolean>>"
 )
 
 
 def find_entities(docs: DataFrame, limits: Disclosure, id_col: str, text_col: str) -> DataFrame:
-    """One row per document: base spans, their entities and the terms near them."""
+    """One row per document: base spans, their entities and, beside an entity, all terms."""
     arrow = to_arrow_schema(StructType.fromDDL(FOUND))
 
     def rows_of(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -143,13 +142,13 @@ def find_entities(docs: DataFrame, limits: Disclosure, id_col: str, text_col: st
             text = value.as_py() or ""
             spans = base_spans(text)
             kinds = [k for _, k, _ in spans]
-            near = contexts(text, spans, limits.window) if spans else []
+            near = contexts(text, spans) if spans else []
             rows.append({
                 "doc_id": doc_id, "text_key": text_key(text), "n_email": kinds.count(0), "n_ip": kinds.count(1), "n_card": kinds.count(2),
                 "n_phone": kinds.count(3), "base_sha256": hashlib.sha256(span_string(spans).encode()).hexdigest(),
                 "spans": [dict(zip(("start", "kind", "end"), s)) for s in spans],
                 "entities": sorted({entity_of(text, s) for s in spans}),
-                "near": [dict(zip(("entity", "term", "start", "end", "first"), n)) for n in near],
+                "near": [dict(zip(("start", "term", "end", "first"), n)) for n in near],
             })
         return pa.RecordBatch.from_pylist(rows, schema=arrow)
 
@@ -189,30 +188,50 @@ def count_terms(docs: DataFrame, candidates: DataFrame, bits: int, text_col: str
     return hits.groupBy("term").agg(F.sum("n").alias("n_term")).join(candidates, "term", "left_semi")
 
 
-def disclosed_terms(docs: DataFrame, found: DataFrame, limits: Disclosure, text_col: str = "text") -> DataFrame:
+def meetings(docs: DataFrame, found: DataFrame, limits: Disclosure, text_col: str) -> tuple[DataFrame, float]:
+    """(stored rows (doc_id, text_key, entity, term, n_entity, n_term) of entities and terms in one document, number of documents).
+
+    n(e, t) is at most n(e), so a pair can reach the threshold only with n(t) <= n(e) (N / n(e)) ** (1 - disclosure): the others are left out.
+    """
+    total = float(max(1, found.count()))
+    held = found.where(F.size("entities") > 0).select("doc_id", "text_key", "entities", "near")
+    held = materialise(held.withColumn("row", F.monotonically_increasing_id()), "held")
+    entities = held.select("row", "doc_id", "text_key", F.explode("entities").alias("entity"))
+    counts = entities.groupBy("entity").agg(F.count("*").alias("n_entity"))
+    n = F.col("n_entity")
+    most = n * F.pow(F.lit(total) / n, F.lit(1.0 - limits.disclosure)) * (1 + 1e-9)
+    entities = materialise(entities.join(counts, "entity").withColumn("most", most), "placed")
+    ceilings = entities.groupBy("row").agg(F.max("most").alias("ceiling"))
+    near = held.select("row", F.explode("near").alias("x")).where("x.first").select("row", "x.term")
+    terms = materialise(count_terms(docs, materialise(near.select("term").distinct(), "candidates"), limits.filter_bits, text_col), "terms")
+    rare = near.join(terms, "term").join(ceilings, "row").where("n_term <= ceiling").drop("ceiling")
+    met = rare.join(entities, "row").where("n_term <= most").select("doc_id", "text_key", "entity", "term", "n_entity", "n_term")
+    return materialise(met, "pairs"), total
+
+
+def disclosing(met: DataFrame, total: float, limits: Disclosure) -> DataFrame:
     """(entity, term, disclosure) of the pairs at or above the threshold."""
-    near = found.select(F.explode("near").alias("x")).where("x.first").select("x.entity", "x.term")
-    pairs = near.groupBy("entity", "term").agg(F.count("*").alias("n_pair")).where(F.col("n_pair") >= limits.min_support)
-    pairs = materialise(pairs, "pairs")
-    n_docs = found.count()
-    entities = found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
-    terms = count_terms(docs, pairs.select("term").distinct(), limits.filter_bits, text_col)
-    total = F.lit(float(max(1, n_docs)))
-    pmi = F.log(F.col("n_pair") * total / (F.col("n_entity") * F.col("n_term")))
-    content = F.log(total / F.col("n_entity"))
-    scored = (
-        pairs.join(terms, "term").join(entities, "entity")
-        .withColumn("disclosure", F.when(content > 0, pmi / content).otherwise(0.0))
-    )
+    pairs = met.groupBy("entity", "term").agg(F.count("*").alias("n_pair"), F.first("n_entity").alias("n_entity"), F.first("n_term").alias("n_term"))
+    pmi = F.log(F.col("n_pair") * F.lit(total) / (F.col("n_entity") * F.col("n_term")))
+    content = F.log(F.lit(total) / F.col("n_entity"))
+    scored = pairs.where(F.col("n_pair") >= limits.min_support).withColumn("disclosure", F.when(content > 0, pmi / content).otherwise(0.0))
     return scored.where(F.col("disclosure") >= limits.disclosure).select("entity", "term", "disclosure")
 
 
-def term_spans(found: DataFrame, disclosed: DataFrame) -> DataFrame:
-    """(doc_id, text_key, terms): spans of disclosing terms of each document that has some."""
-    near = found.select("doc_id", "text_key", F.explode("near").alias("x")).select(
-        "doc_id", "text_key", "x.entity", "x.term", F.col("x.start").alias("start"), F.col("x.end").alias("end"))
-    hits = near.join(disclosed, ["entity", "term"])
-    one = hits.groupBy("doc_id", "text_key", "start", "end").agg(F.max("disclosure").alias("disclosure"))
+def disclosed_terms(docs: DataFrame, found: DataFrame, limits: Disclosure, text_col: str = "text") -> DataFrame:
+    """(entity, term, disclosure) of the pairs at or above the threshold."""
+    return disclosing(*meetings(docs, found, limits, text_col), limits)
+
+
+def term_spans(docs: DataFrame, found: DataFrame, limits: Disclosure, text_col: str) -> DataFrame:
+    """(doc_id, text_key, terms): spans of disclosing terms of each document that has some, every occurrence."""
+    met, total = meetings(docs, found, limits, text_col)
+    hits = met.join(materialise(disclosing(met, total, limits), "disclosed"), ["entity", "term"])
+    hits = hits.groupBy("doc_id", "text_key", "term").agg(F.max("disclosure").alias("disclosure")).alias("h")
+    near = found.where(F.size("entities") > 0).select("doc_id", "text_key", F.explode("near").alias("x")).alias("w")
+    same = F.col("w.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("w.text_key") == F.col("h.text_key")) & (F.col("w.x.term") == F.col("h.term"))
+    one = near.join(hits, same).groupBy("w.doc_id", "w.text_key", F.col("w.x.start").alias("start"), F.col("w.x.end").alias("end")).agg(
+        F.max("h.disclosure").alias("disclosure"))
     span = F.struct("start", F.lit(KINDS.index("term")).alias("kind"), "end", "disclosure")
     return one.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list(span)).alias("terms"))
 
@@ -220,7 +239,7 @@ def term_spans(found: DataFrame, disclosed: DataFrame) -> DataFrame:
 def find_spans(docs: DataFrame, limits: Disclosure = Disclosure(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: counts of the base kinds, digest of the base spans, all spans."""
     found = materialise(find_entities(docs, limits, id_col, text_col), "entities")
-    terms = materialise(term_spans(found, materialise(disclosed_terms(docs, found, limits, text_col), "disclosed")), "terms")
+    terms = materialise(term_spans(docs, found, limits, text_col), "terms")
     marked = found.where(F.size("spans") > 0).alias("f").join(
         terms.alias("t"), F.col("f.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("f.text_key") == F.col("t.text_key")), "left"
     ).select("f.*", "t.terms")
@@ -257,7 +276,7 @@ def sanitise(docs: DataFrame, limits: Disclosure = Disclosure(), id_col: str = "
     """``docs`` with their columns and rows, the texts sanitised.  Only rows with an entity are shuffled."""
     found = find_entities(docs, limits, id_col, text_col).select("doc_id", "text_key", "spans", "entities", "near")
     found = materialise(found, "entities")
-    terms = materialise(term_spans(found, materialise(disclosed_terms(docs, found, limits, text_col), "disclosed")), "terms")
+    terms = materialise(term_spans(docs, found, limits, text_col), "terms")
     place, arrow = docs.columns.index(text_col), to_arrow_schema(docs.schema)
 
     def with_entity(wanted: bool):
