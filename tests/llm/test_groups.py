@@ -129,6 +129,19 @@ def test_nn_descent_against_all_pairs(spark):
     assert nn_descent.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_dense_lobes_meet(spark):
+    rng = np.random.default_rng(5)
+    a, b = np.eye(24)[0], 0.985 * np.eye(24)[0] + math.sqrt(1 - 0.985 ** 2) * np.eye(24)[1]
+    x = np.concatenate([np.repeat([a], 200, axis=0), np.repeat([b], 200, axis=0)]) + rng.normal(size=(400, 24)) * 0.003
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.98
+    df = spark.createDataFrame([(i, [float(v) for v in e], 0) for i, e in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    rules = nn_descent.DescentRules(longest=16, block=64, audit_nodes=0)
+    got = {r.vec_id: r for r in nn_descent.near_duplicates(df, rules).collect()}
+    assert near[:200, 200:].sum() > 30_000
+    assert all((got[i].n_links, got[i].component_id) == (near[i].sum() - 1, 0) for i in range(400))
+
+
 def test_class_blocks_count_every_link(spark):
     rng = np.random.default_rng(2)
     rows = [(i, [float(v) for v in rng.normal(size=8) * 0.01 + 1], 0) for i in range(90)]

@@ -6,6 +6,9 @@ improve each other's lists.  A list whose worst neighbour is still above the thr
 one finds no new pair at or above the threshold.  An audit compares a fixed number of nodes with all others, and the search goes on with longer lists
 while the recall is too low.  Pairs at or above the threshold give the classes.
 
+Two dense classes may be close although every list is full of nearer neighbours.  A link that no list can hold lies between saturated nodes, so between classes of at least ``longest``
+nodes: these classes are compared with each other in full, block by block, where the cones around two blocks leave a pair possible.
+
 Lists are bounded, dense classes are not: the number of links is therefore counted exactly inside each class, blocks of its members against
 blocks, in double precision.  So a class of any size costs no list of that size, and no task holds more than two blocks.
 
@@ -229,6 +232,7 @@ def _search(nodes: DataFrame, rules: DescentRules) -> tuple[DataFrame, float]:
         known = found
         if found == before and turn:
             edges = _verified(links, nodes, rules)
+            edges = edges.union(bridges(nodes, materialise(connected_components(edges), "lobes"), rules))
             found_pairs = connected_components(edges)
             both = truth.join(found_pairs.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a").join(
                 found_pairs.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b").where("ca = cb")
@@ -238,9 +242,60 @@ def _search(nodes: DataFrame, rules: DescentRules) -> tuple[DataFrame, float]:
             longest *= 2  # every list may be longer now
             lengths = materialise(lengths.select("u", F.greatest("length", F.lit(longest)).alias("length")), "lengths")
     edges = _verified(graph.where(F.col("sim") >= rules.threshold - SLACK), nodes, rules)
+    edges = edges.union(bridges(nodes, materialise(connected_components(edges), "lobes"), rules))
     return edges.union(truth), float("nan")
 
 
+def bridges(nodes: DataFrame, members: DataFrame, rules: DescentRules) -> DataFrame:
+    """(a, b): a pair at or above the threshold for any two blocks of different large classes that have one."""
+    sizes = members.groupBy("component").agg(F.count("*").alias("size")).where(F.col("size") >= rules.longest)
+    blocks = F.ceil(F.col("size") / rules.block).cast("long")
+    placed = members.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("node"), blocks))
+    placed = materialise(placed.join(nodes.select("node", "space", "unit"), "node").select("component", "block", "node", "space", "unit"), "large")
+
+    def cones(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, ["component", "block"]):
+            x = _matrix(group["unit"], np.float64)
+            centre = x.mean(axis=0)
+            centre /= max(np.sqrt(centre @ centre), 1e-300)
+            radius = float(np.arccos(np.clip((x @ centre).min(), -1, 1)))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(group[k][:1].to_pylist(), t) for k, t in (("component", pa.int64()), ("block", pa.int64()), ("space", pa.string()))]
+                + [pa.array([centre.tobytes()], pa.binary()), pa.array([radius])], names=["component", "block", "space", "centre", "radius"])
+
+    keys = ["component", "block"]
+    cells = placed.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(
+        cones, "component long, block long, space string, centre binary, radius double")
+    cells = materialise(cells, "cells")
+    # a space may have one label only: its pairs are spread over 16 salts
+    left = cells.select(*[F.col(c).alias(f"{c}_i") for c in cells.columns]).withColumn("salt", F.pmod(F.xxhash64("component_i", "block_i"), F.lit(16)))
+    right = cells.select(*[F.col(c).alias(f"{c}_j") for c in cells.columns]).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(15).cast("long"))))
+    pairs = left.join(right, (F.col("space_i") == F.col("space_j")) & (left["salt"] == right["salt"]) & (F.col("component_i") < F.col("component_j")))
+    widest = float(np.arccos(rules.threshold)) + 1e-6
+
+    def possible(batch: pa.RecordBatch) -> pa.RecordBatch:
+        cosine = np.array([np.frombuffer(p) @ np.frombuffer(q) for p, q in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())])
+        apart = np.arccos(np.clip(cosine, -1, 1))
+        return batch.select([2, 3, 4, 5]).filter(pa.array(apart <= batch.column(6).to_numpy() + widest))
+
+    ends = ["component_i", "block_i", "component_j", "block_j"]
+    pairs = pairs.select("centre_i", "centre_j", *ends, (F.col("radius_i") + F.col("radius_j")).alias("reach"))
+    close = materialise(arrow_rows(pairs, possible, ", ".join(f"{e} long" for e in ends)), "close")
+    sides = [close.select(*ends, F.col(f"component_{t}").alias("component"), F.col(f"block_{t}").alias("block")) for t in "ij"]
+    met = sides[0].union(sides[1]).join(placed.select("component", "block", "node", "unit"), keys)
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, ends):
+            node, x = group["node"].to_numpy(), _matrix(group["unit"], np.float64)
+            here = group["component"].to_numpy() == group["component_i"][0].as_py()
+            sims = x[here] @ x[~here].T
+            i, j = np.unravel_index(int(sims.argmax()), sims.shape)
+            if sims[i, j] >= rules.threshold:
+                yield pa.RecordBatch.from_arrays([pa.array([node[here][i]]), pa.array([node[~here][j]])], names=["a", "b"])
+
+    return materialise(met.repartition(*ends).sortWithinPartitions(*ends).mapInArrow(compared, "a long, b long"), "bridges")
+
+
 def _verified(links: DataFrame, nodes: DataFrame, rules: DescentRules) -> DataFrame:
     """(a, b): the pairs that reach the threshold in double precision."""
     pairs = links.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
