@@ -142,6 +142,17 @@ def test_dense_lobes_meet(spark):
     assert all((got[i].n_links, got[i].component_id) == (near[i].sum() - 1, 0) for i in range(400))
 
 
+def test_search_that_does_not_pass_raises(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(v) for v in rng.normal(size=8) * 0.01 + 1], 0) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    with pytest.raises(RuntimeError, match="audit"):
+        nn_descent.near_duplicates(df, nn_descent.DescentRules(max_rounds=1))
+    # the audit adds nothing: with one node audited the links come from the search
+    got = nn_descent.near_duplicates(df, nn_descent.DescentRules(audit_nodes=1)).collect()
+    assert all(r.n_links == 59 and r.audit_recall == 1.0 for r in got)
+
+
 def test_class_blocks_count_every_link(spark):
     rng = np.random.default_rng(2)
     rows = [(i, [float(v) for v in rng.normal(size=8) * 0.01 + 1], 0) for i in range(90)]

@@ -3,8 +3,8 @@
 Equal vectors are one node with a multiplicity.  The first neighbour graph comes from sorting the nodes by random hyperplane codes and comparing
 each with the next ones, several times.  Then rounds of neighbours-of-neighbours: every node's forward and reverse neighbours meet in one small group, are compared with each other, and
 improve each other's lists.  A list whose worst neighbour is still above the threshold is saturated and is allowed twice the length.  Rounds end when
-one finds no new pair at or above the threshold.  An audit compares a fixed number of nodes with all others, and the search goes on with longer lists
-while the recall is too low.  Pairs at or above the threshold give the classes.
+one finds no new pair at or above the threshold.  An audit compares a fixed number of nodes with all others, and the search goes on with longer lists and edges from
+new orders while the recall is too low.  What the audit finds is no part of the result.  A search that does not converge, or stays below the recall, raises.  Pairs at or above the threshold give the classes.
 
 Two dense classes may be close although every list is full of nearer neighbours.  A link that no list can hold lies between saturated nodes, so between classes of at least ``longest``
 nodes: these classes are compared with each other in full, block by block, where the cones around two blocks leave a pair possible.
@@ -39,7 +39,7 @@ class DescentRules:
     longest: int = 64          # a saturated list grows up to this length
     orders: int = 5            # hyperplane orders of the first graph
     window: int = 24           # nodes compared with each other in an order
-    max_rounds: int = 8
+    max_rounds: int = 64       # a search that has not passed its audit by then raises
     audit_nodes: int = 512     # nodes compared with all others
     audit_recall: float = 0.99
     block: int = 256           # members of a class in one block of the exact count
@@ -107,8 +107,8 @@ def _edges(source, target, sim) -> pa.RecordBatch:
 EDGE = "u long, v long, sim float"
 
 
-def first_graph(nodes: DataFrame, rules: DescentRules) -> DataFrame:
-    """Edges between nodes that stand close in orders by random hyperplane codes, in their space."""
+def first_graph(nodes: DataFrame, rules: DescentRules, search: int = 0) -> DataFrame:
+    """Edges between nodes that stand close in orders by random hyperplane codes, in their space; every search has orders of its own."""
     def coded(batch: pa.RecordBatch) -> pa.RecordBatch:
         node, space = batch.column(0).to_numpy(), np.array(batch.column(1).to_pylist(), object)
         vectors = batch.column(2).to_pylist()
@@ -117,7 +117,7 @@ def first_graph(nodes: DataFrame, rules: DescentRules) -> DataFrame:
         for length in np.unique(lengths):
             chosen = np.flatnonzero(lengths == length)
             x = np.frombuffer(b"".join(vectors[i] for i in chosen), np.float32).reshape(len(chosen), -1)
-            planes = np.random.default_rng(rules.seed).normal(size=(x.shape[1], 32 * rules.orders)).astype(np.float32)
+            planes = np.random.default_rng(rules.seed + search).normal(size=(x.shape[1], 32 * rules.orders)).astype(np.float32)
             bits = (x @ planes > 0).reshape(len(chosen), rules.orders, 32)
             codes[:, chosen] = (bits @ (1 << np.arange(31, -1, -1, dtype=np.int64))).T
         n = rules.orders
@@ -217,33 +217,34 @@ def _search(nodes: DataFrame, rules: DescentRules) -> tuple[DataFrame, float]:
     """(edges at or above the threshold, recall of the audit)."""
     lengths = nodes.select(F.col("node").alias("u"), F.lit(rules.neighbours).alias("length"))
     graph = materialise(best_lists(first_graph(nodes, rules), lengths), "graph")
-    known, longest = -1, rules.neighbours
+    known, longest, search, recall = -1, rules.neighbours, 0, None
     truth = materialise(audit(nodes, rules), "audit")
     n_truth = truth.count()
     for turn in range(rules.max_rounds):
         full = graph.groupBy("u").agg(F.min("sim").alias("worst"), F.count("*").alias("n"))
         grown = lengths.join(full, "u", "left").withColumn("saturated", (F.col("n") >= F.col("length")) & (F.col("worst") >= rules.threshold - SLACK))
-        lengths = materialise(grown.select("u", F.when(F.col("saturated"), F.least(F.col("length") * 2, F.lit(rules.longest))).otherwise(
-            F.col("length")).alias("length")), "lengths")
+        longer = F.greatest("length", F.least(F.col("length") * 2, F.lit(rules.longest)))
+        lengths = materialise(grown.select("u", F.when(F.col("saturated"), longer).otherwise(F.col("length")).alias("length")), "lengths")
         better = descend(nodes, graph, lengths, rules)
         graph = materialise(best_lists(graph.select("u", "v", "sim").union(better), lengths), "graph")
         links = graph.where(F.col("sim") >= rules.threshold - SLACK)
         found, before = links.count(), known
         known = found
-        if found == before and turn:
+        if found == before:
             edges = _verified(links, nodes, rules)
             edges = edges.union(bridges(nodes, materialise(connected_components(edges), "lobes"), rules))
-            found_pairs = connected_components(edges)
+            found_pairs = materialise(connected_components(edges), "classes")
             both = truth.join(found_pairs.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a").join(
                 found_pairs.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b").where("ca = cb")
             recall = both.count() / n_truth if n_truth else 1.0
-            if recall >= rules.audit_recall or turn == rules.max_rounds - 1:
-                return edges.union(truth), recall
-            longest *= 2  # every list may be longer now
+            if recall >= rules.audit_recall:
+                return edges, recall
+            # every list may be longer now, and nodes meet in new orders
+            longest, search, known = longest * 2, search + 1, -1
             lengths = materialise(lengths.select("u", F.greatest("length", F.lit(longest)).alias("length")), "lengths")
-    edges = _verified(graph.where(F.col("sim") >= rules.threshold - SLACK), nodes, rules)
-    edges = edges.union(bridges(nodes, materialise(connected_components(edges), "lobes"), rules))
-    return edges.union(truth), float("nan")
+            more = first_graph(nodes, rules, search)
+            graph = materialise(best_lists(graph.select("u", "v", "sim").union(more), lengths), "graph")
+    raise RuntimeError(f"{rules.max_rounds} rounds did not pass the audit: last recall {recall}, wanted {rules.audit_recall}")
 
 
 def bridges(nodes: DataFrame, members: DataFrame, rules: DescentRules) -> DataFrame:
