@@ -93,3 +93,69 @@ n AS (SELECT a, count(*) AS n FROM links GROUP BY a),
 least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
 SELECT vec_id, coalesce(n.n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
 FROM embeddings e JOIN least ON least.a = e.vec_id LEFT JOIN n ON n.a = e.vec_id"""
+
+OP11_SQL = f"""
+WITH RECURSIVE {CRC_SQL.replace("SELECT doc_id, text, xor", "SELECT DISTINCT text, xor").replace("FROM documents, rem", "FROM (SELECT coalesce(doc_id::VARCHAR, '') AS text FROM documents), rem").strip()},
+d AS (SELECT doc_id, source,
+    coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-')
+      || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS front, text FROM documents),
+h AS (SELECT doc_id, source, sha256(front || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    sha256(front || coalesce(strlen(replace(text, chr(10), '')) || ':' || replace(text, chr(10), ''), '-')) AS other FROM d),
+l AS (SELECT *, row_number() OVER (ORDER BY source NULLS FIRST, doc_id NULLS FIRST, leaf) AS id,
+    row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM h),
+s AS (SELECT source, min(id) AS base FROM l GROUP BY source),
+up AS (
+  SELECT 0 AS level, base, pos, leaf AS h FROM l JOIN s ON l.source IS NOT DISTINCT FROM s.source
+  UNION ALL
+  SELECT level + 1, base, pos // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM (SELECT *, count(*) OVER (PARTITION BY base) AS n FROM up) WHERE n > 1 GROUP BY level, base, pos // 3),
+tops AS (SELECT base, arg_max(h, level) AS subroot FROM up GROUP BY base),
+top AS (
+  SELECT 0 AS level, row_number() OVER (ORDER BY base) - 1 AS pos, subroot AS h FROM tops
+  UNION ALL
+  SELECT level + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM (SELECT *, count(*) OVER () AS n FROM top) WHERE n > 1 GROUP BY level, pos // 3),
+root AS (SELECT arg_max(h, level) AS root FROM top),
+rise AS (
+  SELECT id, base, 0 AS level, pos, '' AS beside, CASE WHEN text_crc32 % 2 = 0 THEN other ELSE leaf END AS now
+  FROM l JOIN s ON l.source IS NOT DISTINCT FROM s.source JOIN crc ON crc.text = coalesce(l.doc_id::VARCHAR, '')
+  UNION ALL
+  SELECT r.id, r.base, r.level + 1, r.pos // 3, r.beside || coalesce(string_agg(u.h, '' ORDER BY u.pos) FILTER (u.pos <> r.pos), ''),
+    sha256(string_agg(CASE WHEN u.pos = r.pos THEN r.now ELSE u.h END, '' ORDER BY u.pos))
+  FROM rise r JOIN up u ON u.base = r.base AND u.level = r.level AND u.pos // 3 = r.pos // 3
+  WHERE r.level < (SELECT max(level) FROM up x WHERE x.base = r.base) GROUP BY r.id, r.base, r.level, r.pos, r.beside, r.now),
+sub AS (SELECT id, base, arg_max(beside, level) AS beside, arg_max(now, level) AS now FROM rise GROUP BY id, base),
+place AS (SELECT base, row_number() OVER (ORDER BY base) - 1 AS pos FROM tops),
+on_top AS (
+  SELECT id, 0 AS level, pos, beside, now FROM sub JOIN place USING (base)
+  UNION ALL
+  SELECT r.id, r.level + 1, r.pos // 3, r.beside || coalesce(string_agg(u.h, '' ORDER BY u.pos) FILTER (u.pos <> r.pos), ''),
+    sha256(string_agg(CASE WHEN u.pos = r.pos THEN r.now ELSE u.h END, '' ORDER BY u.pos))
+  FROM on_top r JOIN top u ON u.level = r.level AND u.pos // 3 = r.pos // 3
+  WHERE r.level < (SELECT max(level) FROM top) GROUP BY r.id, r.level, r.pos, r.beside, r.now),
+done AS (SELECT id, sha256(arg_max(beside, level)) AS proof_sha256, arg_max(now, level) AS folded_root FROM on_top GROUP BY id)
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified
+FROM l JOIN s ON l.source IS NOT DISTINCT FROM s.source JOIN tops USING (base) JOIN done USING (id), root"""
+
+
+def _kmeans_rounds(rounds: int) -> str:
+    steps = []
+    for r in range(1, rounds + 1):
+        steps.append(f"""
+n{r} AS MATERIALIZED (SELECT id, arg_min(cluster, (d, cluster)) AS cluster FROM (
+  SELECT id, cluster, list_sum(list_transform(list_zip(x.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM x, c{r - 1} c) GROUP BY id),
+m{r} AS (SELECT cluster, i, CAST((t - ((t % n) + n) % n) / n AS BIGINT) AS w FROM (
+  SELECT cluster, i, sum(w)::BIGINT AS t, count(*) AS n FROM n{r} JOIN e USING (id) GROUP BY cluster, i)),
+c{r} AS MATERIALIZED (SELECT cluster, coalesce(m.v, c.v) AS v FROM c{r - 1} c LEFT JOIN (SELECT cluster, list(w ORDER BY i) AS v FROM m{r} GROUP BY cluster) m USING (cluster))""")
+    return ",".join(steps)
+
+
+OP12_SQL = f"""
+WITH x AS MATERIALIZED (SELECT row_number() OVER () AS id, vec_id, list_transform(embedding, lambda y: floor(1024 * y::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0),
+e AS MATERIALIZED (SELECT id, unnest(v) AS w, unnest(range(64)) AS i FROM x),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY mark, v) - 1 AS cluster, v FROM (
+  SELECT sha256('3:' || coalesce(vec_id::VARCHAR, '')) AS mark, v FROM x ORDER BY mark, v LIMIT 8)),{_kmeans_rounds(10)},
+f AS (SELECT id, arg_min(cluster, (d, cluster)) AS cluster, min(d)::BIGINT AS distance FROM (
+  SELECT id, cluster, list_sum(list_transform(list_zip(x.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM x, c10 c) GROUP BY id)
+SELECT vec_id, f.cluster::INTEGER AS cluster, distance, (sum(distance) OVER (PARTITION BY f.cluster))::BIGINT AS cluster_inertia,
+  (sum(distance) OVER ())::BIGINT AS inertia, sha256(array_to_string(c10.v, ',')) AS centroid_sha256
+FROM f JOIN x USING (id) JOIN c10 ON c10.cluster = f.cluster"""

@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topicloom.llm.chat import format_chats
-from topicloom.llm.common import held_out, table
+from topicloom.llm.common import held_out, id_crc, table
+from topicloom.llm.integer_kmeans import Plan, cluster_vectors
 from topicloom.llm.language import identify, train_filter
+from topicloom.llm.merkle import build_manifest, fold, leaf_digest
 from topicloom.llm.nn_descent import near_duplicates
-from topicloom.llm.oracles import OP2_SQL, OP7_SQL, OP9_SQL, OP10_SQL
+from topicloom.llm.oracles import OP2_SQL, OP7_SQL, OP9_SQL, OP10_SQL, OP11_SQL, OP12_SQL
 from topicloom.llm.packing import pack
 from topicloom.llm.pieces import encode_documents, load_pieces
 from topicloom.llm.pii import find_spans
@@ -17,9 +19,12 @@ from topicloom.llm.pitman_yor import score, train
 from topicloom.llm.quality import line_quality
 from topicloom.llm.sharding import shard_by_bytes
 from topicloom.llm.simhash import classes
+from topicloom.llm.wavelet import read_documents, write_shards
+from topicloom.plans.execution import scratch_path
 
 SHARDS = 40
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+BYTE_PIECES = "byte_bpe_50k.json"
 
 
 def op1_language_filters(spark: SparkSession, sf: str) -> DataFrame:
@@ -90,6 +95,28 @@ def op10_nn_descent(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates(table(spark, sf, "embeddings")).drop("audit_recall")
 
 
+def op11_midstate_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents whose id has an even checksum are folded without the line ends of their text."""
+    docs = table(spark, sf, "documents")
+    tampered = F.when(id_crc() % 2 == 0, leaf_digest(text=F.replace(F.col("text"), F.lit("\n"), F.lit(""))))
+    return fold(build_manifest(docs, replacement=tampered))
+
+
+def op12_mean_ordered_kmeans(spark: SparkSession, sf: str) -> DataFrame:
+    return cluster_vectors(table(spark, sf, "embeddings"), Plan(clusters=8, rounds=10, dimensions=64, scale=1024, seed=3))
+
+
+def op13_wavelet_shards(spark: SparkSession, sf: str, tokenizer_file: str | None = None) -> DataFrame:
+    if tokenizer_file is None:
+        import public_tokenizers
+
+        tokenizer_file = public_tokenizers.path(BYTE_PIECES)
+    with open(tokenizer_file, encoding="utf-8") as source:
+        tokenizer = source.read()  # a vocabulary of bounded size; it travels with the tasks
+    folder = scratch_path(spark, "wavelet")
+    return read_documents(write_shards(table(spark, sf, "documents"), folder, tokenizer), folder)
+
+
 QUERIES = {
     "op1_language_filters": op1_language_filters,
     "op2_line_quality": op2_line_quality,
@@ -101,10 +128,15 @@ QUERIES = {
     "op8_pitman_yor": op8_pitman_yor,
     "op9_tool_links": op9_tool_links,
     "op10_nn_descent": op10_nn_descent,
+    "op11_midstate_manifest": op11_midstate_manifest,
+    "op12_mean_ordered_kmeans": op12_mean_ordered_kmeans,
+    "op13_wavelet_shards": op13_wavelet_shards,
 }
 ORACLES = {
     "op2_line_quality": OP2_SQL,
     "op7_byte_shards": OP7_SQL,
     "op9_tool_links": OP9_SQL,
     "op10_nn_descent": OP10_SQL,
+    "op11_midstate_manifest": OP11_SQL,
+    "op12_mean_ordered_kmeans": OP12_SQL,
 }
