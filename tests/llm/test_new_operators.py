@@ -224,6 +224,20 @@ def test_parts_of_a_text_encode_like_the_whole(tokenizer):
         assert parts == encoder.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("kept", [50, 200_000])
+def test_units_encode_like_the_whole(tokenizer, kept):
+    tokenizers = pytest.importorskip("tokenizers")
+    encoder = tokenizers.Tokenizer.from_str(tokenizer)
+    units = W.Encoder(tokenizer, kept=kept)
+    for seed in range(8):
+        rng = random.Random(seed)
+        letters = list("ab c\n\t\r\x0b\x0c\x1c\x1f\x85\xa0\u1680\u180e\u2003\u200b\u2028\u3000'sé日 1!  <|endoftext|> ")
+        texts = ["".join(rng.choices(letters, k=rng.randint(0, 400))) for _ in range(60)] + ["", " ", "a\x1c", "\x1c", "a \u180e", "\u180e b"]
+        got = units.encode(texts)
+        assert [g.tolist() for g in got] == [e.ids for e in encoder.encode_batch(texts, add_special_tokens=False)]
+    assert units.encode([]) == []
+
+
 def test_shards_against_plain_encoding(spark, tokenizer):
     tokenizers = pytest.importorskip("tokenizers")
     encoder = tokenizers.Tokenizer.from_str(tokenizer)

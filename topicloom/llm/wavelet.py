@@ -1,6 +1,7 @@
 """Token ids in one wavelet matrix file for each shard (operator 13).
 
-Documents are range-partitioned by id; every task encodes its documents in order and cuts a file whenever it holds ``shard_tokens`` ids, so shards are runs of
+Documents are range-partitioned by id; every task encodes its documents in order (each distinct unit of text, some white space and what
+follows up to the next, once) and cuts a file whenever it holds ``shard_tokens`` ids, so shards are runs of
 consecutive documents and no table of ids is stored or exchanged.  A file is written under a temporary name and renamed, and its name depends on the
 partition alone: a repeated task replaces its own files.  The table of files (part, seq, name, counts) is the record of what was written; ids before a
 file are running sums over it.
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -213,12 +215,17 @@ def _store(folder: str, name: str, data: bytes) -> None:
 
 # ---- writing and reading with Spark
 
+# white space by any table, of that by every table, and the rest; a tokenizer's pattern parts every text between a character of none and one of all
+ANY_SPACE, SURE_SPACE, SOME_SPACE = r"\s\u180e", " \n\r\t", r"\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+UNIT = re.compile(rf"[{ANY_SPACE}]*[^{ANY_SPACE}]+(?:[{SOME_SPACE}][{ANY_SPACE}]*[^{ANY_SPACE}]+)*(?:[{SOME_SPACE}][{ANY_SPACE}]*\Z)?|[{ANY_SPACE}]+")
+
+
 def parts_of(text: str, size: int = PART_CHARS) -> Iterator[str]:
-    """Parts of a text, cut before a space or line end that follows anything but white space."""
+    """Parts of a text, cut before white space that follows anything else."""
     start = 0
     while len(text) - start > size:
         cut = start + size
-        while cut < len(text) and not (text[cut] in " \n" and not text[cut - 1].isspace()):
+        while cut < len(text) and not (text[cut] in SURE_SPACE and not text[cut - 1].isspace() and text[cut - 1] != "\u180e"):
             cut += 1
         yield text[start:cut]
         start = cut
@@ -233,6 +240,46 @@ def cuts_safely(tokenizer_json: str) -> bool:
             and not any(t["lstrip"] or t["rstrip"] or any(c.isspace() for c in t["content"]) for t in spec.get("added_tokens", [])))
 
 
+class Encoder:
+    """The tokenizer, asked once for every distinct unit of text it has not met lately; at most ``kept`` units are remembered."""
+
+    def __init__(self, tokenizer_json: str, kept: int = 200_000) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core for each task
+        from tokenizers import Tokenizer
+
+        self.tokenizer, self.by_unit, self.kept = Tokenizer.from_str(tokenizer_json), cuts_safely(tokenizer_json), kept
+        self._forget()
+
+    def _forget(self) -> None:
+        self.code: dict[str, int] = {}
+        self.ids, self.starts = np.empty(0, np.uint32), np.zeros(1, np.int64)
+
+    def _learn(self, units: list[str]) -> None:
+        new = list(dict.fromkeys(u for u in units if u not in self.code))
+        if not new:
+            return
+        if len(self.code) + len(new) > self.kept:
+            self._forget()
+            new = list(dict.fromkeys(units))
+        found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+        self.code.update(zip(new, range(len(self.code), len(self.code) + len(new)), strict=True))
+        self.starts = np.append(self.starts, self.starts[-1] + np.cumsum([len(f) for f in found]))
+        self.ids = np.concatenate([self.ids, *found])
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if not self.by_unit:
+            return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        units = [UNIT.findall(t) for t in texts]
+        self._learn([u for own in units for u in own])
+        ends = np.cumsum([len(own) for own in units])
+        code = self.code
+        codes = np.array([code[u] for own in units for u in own], np.int64)
+        sizes = self.starts[codes + 1] - self.starts[codes]
+        before = np.append(0, np.cumsum(sizes))
+        ids = self.ids[np.repeat(self.starts[codes] - before[:-1], sizes) + np.arange(before[-1])]
+        return np.split(ids, before[ends[:-1]]) if texts else []
+
+
 FILES = "part long, seq long, name string, n_docs long, n_tokens long"
 
 
@@ -242,10 +289,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_json: str, id_col: str
     size = PART_CHARS if cuts_safely(tokenizer_json) else 1 << 62
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core for each task
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_str(tokenizer_json)
+        encoder = Encoder(tokenizer_json)
         part = TaskContext.get().partitionId()
         ids, doc_ids, ends, held, seq = [], [], [], 0, 0
 
@@ -261,10 +305,9 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_json: str, id_col: str
         for batch in batches:
             for rows in slices(batch, 1, 1 << 20) if batch.num_rows else []:
                 texts = [list(parts_of(t or "", size)) for t in rows.column(1).to_pylist()]
-                short = iter(tokenizer.encode_batch_fast([t[0] for t in texts if len(t) == 1], add_special_tokens=False))
+                short = iter(encoder.encode([t[0] for t in texts if len(t) == 1]))
                 for doc_id, own in zip(rows.column(0).to_pylist(), texts, strict=True):
-                    found = [np.array(next(short).ids, np.uint32)] if len(own) == 1 else [
-                        np.array(tokenizer.encode(t, add_special_tokens=False).ids, np.uint32) for t in own]
+                    found = [next(short)] if len(own) == 1 else [encoder.encode([t])[0] for t in own]
                     found.append(np.array([end], np.uint32))
                     ids += found
                     doc_ids.append(doc_id)
