@@ -8,6 +8,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -214,28 +215,20 @@ def test_lookup_reads_little_of_the_file():
     assert Counting.total < len(data) / 15
 
 
-def test_parts_of_a_text_encode_like_the_whole(tokenizer):
-    tokenizers = pytest.importorskip("tokenizers")
-    encoder = tokenizers.Tokenizer.from_str(tokenizer)
-    assert W.cuts_safely(tokenizer)
-    for seed in range(5):
-        text = "".join(random.Random(seed).choices(list("ab c\n\t'sé日 1!  \x1c "), k=20_000))
-        parts = [i for p in W.parts_of(text, 50) for i in encoder.encode(p, add_special_tokens=False).ids]
-        assert parts == encoder.encode(text, add_special_tokens=False).ids
-
-
-@pytest.mark.parametrize("kept", [50, 200_000])
-def test_units_encode_like_the_whole(tokenizer, kept):
+@pytest.mark.parametrize(("kept", "window"), [(50, 64), (1_000_000, 7), (1_000_000, 1 << 23)])
+def test_units_encode_like_the_whole(tokenizer, kept, window):
     tokenizers = pytest.importorskip("tokenizers")
     encoder = tokenizers.Tokenizer.from_str(tokenizer)
     units = W.Encoder(tokenizer, kept=kept)
+    assert W.cuts_safely(tokenizer)
     for seed in range(8):
         rng = random.Random(seed)
-        letters = list("ab c\n\t\r\x0b\x0c\x1c\x1f\x85\xa0\u1680\u180e\u2003\u200b\u2028\u3000'sé日 1!  <|endoftext|> ")
-        texts = ["".join(rng.choices(letters, k=rng.randint(0, 400))) for _ in range(60)] + ["", " ", "a\x1c", "\x1c", "a \u180e", "\u180e b"]
-        got = units.encode(texts)
-        assert [g.tolist() for g in got] == [e.ids for e in encoder.encode_batch(texts, add_special_tokens=False)]
-    assert units.encode([]) == []
+        letters = list("ab,.'-tsre c\n\t\r\x0b\x0c\x1c\x1f\x85\xa0\u1680\u180e\u2003\u200b\u2028\u3000'sé×÷日😀1!  (é.)\u0301") + ["<|endoftext|>", "don't", "  "]
+        texts = ["".join(rng.choices(letters, k=rng.randint(0, 300))) for _ in range(60)] + ["", " ", "a\x1c", "\x1c", "a \u180e", "\u180e b", "é,", ""]
+        want = [e.ids for e in encoder.encode_batch(texts, add_special_tokens=False)]
+        ids, ends = units.encode(pa.array(["skipped", None, *texts]).slice(1), window)
+        assert [p.tolist() for p in np.split(ids, ends[:-1])] == [[], *want] and ends[-1] == len(ids)
+    assert [len(x) for x in units.encode(pa.array([], pa.string()))] == [0, 0]
 
 
 def test_shards_against_plain_encoding(spark, tokenizer):

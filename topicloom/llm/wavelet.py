@@ -17,21 +17,21 @@ and ``select`` (place of its j-th occurrence) read the directory and about one b
 Numbers are little-endian.  The folder may be any that pyarrow opens by URI (file, hdfs, s3, gs) and all executors share.
 
 Defined cases: a null text is empty, and an empty text has the end id only; null ids come first; documents of equal id stand by the checksum of their text, equal rows beside
-each other; a very long text is encoded whole, in parts cut where the tokenizer's own pattern always parts (before white space after
-something else), and may make a file longer than ``shard_tokens``; an empty table gives no files and no rows; other columns are ignored, whatever their names.
+each other; a very long text is encoded whole, window by window of units, and may make a file longer than ``shard_tokens``; an empty table gives no files and no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import json
 import os
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyarrow.fs import FileSystem, FileType
 from pyspark import TaskContext
@@ -43,7 +43,7 @@ from topicloom.llm.common import materialise, slices
 END = 0
 SHARD_TOKENS = 1 << 22
 BLOCK_BITS = 1 << 16
-PART_CHARS = 1 << 18
+WINDOW = 1 << 23
 MAGIC = b"WVM1"
 HEAD = np.dtype([("magic", "S4"), ("planes", "<u4"), ("n", "<u8"), ("docs", "<u8"), ("blocks", "<u8")])
 ENTRY = np.dtype([("offset", "<u8"), ("bytes", "<u4"), ("packed", "<u4"), ("before", "<u8")])
@@ -215,21 +215,45 @@ def _store(folder: str, name: str, data: bytes) -> None:
 
 # ---- writing and reading with Spark
 
-# white space by any table, of that by every table, and the rest; a tokenizer's pattern parts every text between a character of none and one of all
-ANY_SPACE, SURE_SPACE, SOME_SPACE = r"\s\u180e", " \n\r\t", r"\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-UNIT = re.compile(rf"[{ANY_SPACE}]*[^{ANY_SPACE}]+(?:[{SOME_SPACE}][{ANY_SPACE}]*[^{ANY_SPACE}]+)*(?:[{SOME_SPACE}][{ANY_SPACE}]*\Z)?|[{ANY_SPACE}]+")
+# kinds of bytes of UTF-8
+SPACE, SOLID, LETTER, POINT, INNER, LEAD2, LEAD3, LEAD4 = (1 << i for i in range(8))
 
 
-def parts_of(text: str, size: int = PART_CHARS) -> Iterator[str]:
-    """Parts of a text, cut before white space that follows anything else."""
-    start = 0
-    while len(text) - start > size:
-        cut = start + size
-        while cut < len(text) and not (text[cut] in SURE_SPACE and not text[cut - 1].isspace() and text[cut - 1] != "\u180e"):
-            cut += 1
-        yield text[start:cut]
-        start = cut
-    yield text[start:]
+def _kinds() -> np.ndarray:
+    kinds = np.zeros(256, np.uint8)
+    kinds[list(b" \n\r\t")] |= SPACE
+    kinds[0x21:0x7F] |= SOLID
+    kinds[[x for x in range(128) if chr(x).isalpha()]] |= LETTER
+    kinds[list(b",.;:!?\"'()/-")] |= POINT
+    kinds[0x80:0xC0] |= INNER
+    # leads under which no character is white space by any table
+    kinds[0xC3:0xE0] |= LEAD2
+    kinds[0xE4:0xEF] |= LEAD3
+    kinds[0xF0:0xF5] |= LEAD4
+    return kinds
+
+
+KINDS = _kinds()
+
+
+def unit_starts(data: np.ndarray) -> np.ndarray:
+    """Where units of a text's bytes begin, apart from its own beginning.
+
+    A unit ends before white space that follows anything else, and where a Latin letter meets plain punctuation: the pattern of byte-level
+    tokenizers parts every text there, and it looks back nowhere.
+    """
+    kinds = KINDS[data]
+    at = np.flatnonzero(kinds & (SPACE | POINT))
+    at = at[at > 0]
+    last = kinds[at - 1]
+    back = [kinds[np.maximum(at - i, 0)] for i in (2, 3, 4)]
+    inner = (last & INNER) != 0
+    two = inner & ((back[0] & LEAD2) != 0)
+    three = inner & ((back[0] & INNER) != 0) & ((back[1] & LEAD3) != 0)
+    four = inner & ((back[0] & INNER) != 0) & ((back[1] & INNER) != 0) & ((back[2] & LEAD4) != 0)
+    latin = two & (data[np.maximum(at - 2, 0)] == 0xC3) & (data[at - 1] != 0x97) & (data[at - 1] != 0xB7)  # not the signs of times and division
+    space = (kinds[at] & SPACE) != 0
+    return at[np.where(space, ((last & SOLID) != 0) | two | three | four, ((last & LETTER) != 0) | latin)]
 
 
 def cuts_safely(tokenizer_json: str) -> bool:
@@ -241,43 +265,90 @@ def cuts_safely(tokenizer_json: str) -> bool:
 
 
 class Encoder:
-    """The tokenizer, asked once for every distinct unit of text it has not met lately; at most ``kept`` units are remembered."""
+    """The tokenizer, asked once for every distinct unit of text it does not remember.
 
-    def __init__(self, tokenizer_json: str, kept: int = 200_000) -> None:
+    At most ``kept`` units (about 200 bytes each), and those of one call, are remembered; beyond, the half met most often stays.
+    """
+
+    def __init__(self, tokenizer_json: str, kept: int = 1_000_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core for each task
         from tokenizers import Tokenizer
 
         self.tokenizer, self.by_unit, self.kept = Tokenizer.from_str(tokenizer_json), cuts_safely(tokenizer_json), kept
-        self._forget()
-
-    def _forget(self) -> None:
         self.code: dict[str, int] = {}
-        self.ids, self.starts = np.empty(0, np.uint32), np.zeros(1, np.int64)
-
-    def _learn(self, units: list[str]) -> None:
-        new = list(dict.fromkeys(u for u in units if u not in self.code))
-        if not new:
-            return
-        if len(self.code) + len(new) > self.kept:
-            self._forget()
-            new = list(dict.fromkeys(units))
-        found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-        self.code.update(zip(new, range(len(self.code), len(self.code) + len(new)), strict=True))
-        self.starts = np.append(self.starts, self.starts[-1] + np.cumsum([len(f) for f in found]))
-        self.ids = np.concatenate([self.ids, *found])
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if not self.by_unit:
-            return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        units = [UNIT.findall(t) for t in texts]
-        self._learn([u for own in units for u in own])
-        ends = np.cumsum([len(own) for own in units])
-        code = self.code
-        codes = np.array([code[u] for own in units for u in own], np.int64)
+        self.ids, self.starts, self.met = np.empty(0, np.uint32), np.zeros(1, np.int64), np.zeros(0, np.int64)
+
+    def _gather(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of units, one after the other, and where each begins and the last ends."""
         sizes = self.starts[codes + 1] - self.starts[codes]
         before = np.append(0, np.cumsum(sizes))
-        ids = self.ids[np.repeat(self.starts[codes] - before[:-1], sizes) + np.arange(before[-1])]
-        return np.split(ids, before[ends[:-1]]) if texts else []
+        return self.ids[np.repeat(self.starts[codes] - before[:-1], sizes) + np.arange(before[-1])], before
+
+    def _shrink(self) -> None:
+        stay = np.sort(np.argsort(self.met, kind="stable")[len(self.met) - self.kept // 2:])
+        self.ids, self.starts = self._gather(stay)
+        units = list(self.code)
+        self.code, self.met = {units[i]: n for n, i in enumerate(stay.tolist())}, self.met[stay] // 2
+
+    def _codes(self, data: pa.Buffer, starts: np.ndarray) -> np.ndarray:
+        """The number of each unit; units lie one behind the other in ``data``, from ``starts[0]`` to ``starts[-1]``."""
+        cells = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts) - 1, [None, pa.py_buffer(starts), data]).dictionary_encode()
+        units = cells.dictionary.to_pylist()
+        get = self.code.get
+        codes = np.array([get(u, -1) for u in units], np.int64)
+        unknown = np.flatnonzero(codes < 0).tolist()
+        if unknown:
+            new = [units[i] for i in unknown]
+            found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast([u.decode() for u in new], add_special_tokens=False)]
+            codes[unknown] = np.arange(len(self.code), len(self.code) + len(new))
+            self.code.update(zip(new, codes[unknown].tolist(), strict=True))
+            self.starts = np.append(self.starts, self.starts[-1] + np.cumsum([len(f) for f in found]))
+            self.ids = np.concatenate([self.ids, *found])
+        codes = codes[cells.indices.to_numpy(zero_copy_only=False)]
+        self.met = np.append(self.met, np.zeros(len(self.code) - len(self.met), np.int64)) + np.bincount(codes, minlength=len(self.code))
+        return codes
+
+    def encode(self, texts: pa.Array, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, number of ids up to the end of each); a null is empty."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        if not self.by_unit or not len(texts):
+            found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+            return np.concatenate([np.empty(0, np.uint32), *found]), np.cumsum([len(f) for f in found], dtype=np.int64)
+        _, places, buffer = texts.buffers()
+        places = np.frombuffer(places, np.int64)[texts.offset:texts.offset + len(texts) + 1]
+        data = np.frombuffer(buffer or b"", np.uint8)
+        ids, ends, held, at = [], np.zeros(len(texts), np.int64), 0, int(places[0])
+        size = window
+        while at < places[-1]:
+            stop = min(at + size, int(places[-1]))
+            inside = places[np.searchsorted(places, at, "right"):np.searchsorted(places, stop, "left")]
+            begins = np.zeros(stop - at, bool)
+            begins[unit_starts(data[at:stop])] = True
+            begins[inside - at] = True
+            begins[0] = True
+            starts = np.flatnonzero(begins) + at
+            if stop < places[-1]:  # what begins last may go on behind the window
+                if len(starts) == 1:
+                    size *= 2
+                    continue
+                stop, starts = int(starts[-1]), starts[:-1]
+            starts = np.append(starts, stop)
+            own, before = self._gather(self._codes(buffer, starts))
+            if len(self.code) > self.kept:
+                self._shrink()
+            here = (places[1:] > at) & (places[1:] <= stop)
+            ends[here] = held + before[np.searchsorted(starts, places[1:][here])]
+            ids.append(own)
+            held += len(own)
+            at, size = stop, window
+        # a text without bytes ends where the one before it does
+        return np.concatenate([np.empty(0, np.uint32), *ids]), np.maximum.accumulate(ends)
+
+
+@lru_cache(maxsize=1)
+def encoder_of(tokenizer_json: str) -> Encoder:
+    """One encoder for all tasks of a Python worker."""
+    return Encoder(tokenizer_json)
 
 
 FILES = "part long, seq long, name string, n_docs long, n_tokens long"
@@ -286,10 +357,8 @@ FILES = "part long, seq long, name string, n_docs long, n_tokens long"
 def write_shards(docs: DataFrame, folder: str, tokenizer_json: str, id_col: str = "doc_id", text_col: str = "text", end: int = END,
                  shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Encode and write all documents in ascending id; returns the stored table of files, FILES."""
-    size = PART_CHARS if cuts_safely(tokenizer_json) else 1 << 62
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer_json)
+        encoder = encoder_of(tokenizer_json)
         part = TaskContext.get().partitionId()
         ids, doc_ids, ends, held, seq = [], [], [], 0, 0
 
@@ -302,17 +371,17 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_json: str, id_col: str
             ids, doc_ids, ends, held, seq = [], [], [], 0, seq + 1
             return row
 
+        closing = np.array([end], np.uint32)
         for batch in batches:
-            for rows in slices(batch, 1, 1 << 20) if batch.num_rows else []:
-                texts = [list(parts_of(t or "", size)) for t in rows.column(1).to_pylist()]
-                short = iter(encoder.encode([t[0] for t in texts if len(t) == 1]))
-                for doc_id, own in zip(rows.column(0).to_pylist(), texts, strict=True):
-                    found = [next(short)] if len(own) == 1 else [encoder.encode([t])[0] for t in own]
-                    found.append(np.array([end], np.uint32))
-                    ids += found
+            for rows in slices(batch, 1) if batch.num_rows else []:
+                found, stops = encoder.encode(rows.column(1))
+                start = 0
+                for doc_id, stop in zip(rows.column(0).to_pylist(), stops.tolist(), strict=True):
+                    ids += [found[start:stop], closing]
                     doc_ids.append(doc_id)
-                    ends.append(sum(map(len, found)))
+                    ends.append(stop - start + 1)
                     held += ends[-1]
+                    start = stop
                     if held >= shard_tokens:
                         yield flush()
         if doc_ids:
