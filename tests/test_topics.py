@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -187,7 +189,7 @@ def test_seeded_kmeans_follows_seeds(spark):
 
 def test_density_finds_blobs_on_both_graph_paths(spark):
     data = blobs(4, 40, 25)
-    found = {r["doc_id"]: r["topic"] for r in N.density_cluster(vectors(spark, data), 15, levels=6).collect()}
+    found = {r["doc_id"]: r["topic"] for r in N.density_cluster(vectors(spark, data), 15).collect()}
     for g in range(4):
         own = [found[i] for i, _, t in data if t == g]
         assert max(own.count(x) for x in set(own)) >= 36
@@ -226,16 +228,107 @@ def test_grouped_density_equals_one_run_per_group(spark):
         outliers = topics.pop(-1, set())
         return {frozenset(x) for x in topics.values()}, outliers
 
-    together, outside = parts(N.density_cluster(df, 12, levels=6, group="kind"))
-    one, out_one = parts(N.density_cluster(df.where("kind = 'small'"), 12, levels=6))
-    two, out_two = parts(N.density_cluster(df.where("kind = 'large'"), 12, levels=6, small_graph=0))
+    together, outside = parts(N.density_cluster(df, 12, group="kind"))
+    one, out_one = parts(N.density_cluster(df.where("kind = 'small'"), 12))
+    two, out_two = parts(N.density_cluster(df.where("kind = 'large'"), 12, small_graph=0))
     assert together == one | two and outside == out_one | out_two and len(one) == 3
 
 
+def random_edges(seed: int, n: int, k: int, digits: int) -> list[tuple]:
+    """Edges of the k nearest of each point in two groups; few digits make equal distances."""
+    rng = random.Random(seed)
+    points = [(rng.gauss(4 * rng.randrange(4), 1), rng.gauss(0, 1)) for _ in range(n)]
+    edges = set()
+    for g, (low, high) in {"a": (0, n // 2), "b": (n // 2, n)}.items():
+        for i in range(low, high):
+            near = sorted((round(((points[i][0] - points[j][0]) ** 2 + (points[i][1] - points[j][1]) ** 2) ** 0.5, digits), j) for j in range(low, high) if j != i)
+            edges |= {(min(i, j), max(i, j), d, g) for d, j in near[:k]}
+    return sorted(edges) + [(n + 1, n + 2, 0.0, "c")]
+
+
+def tree_of(points, clusters):
+    """A condensed tree without its numbering: clusters by their members, points by the cluster they lie in."""
+    over, members = {c[0]: c[1] for c in clusters}, {}
+    for node, c, _ in points:
+        while c in over:
+            members.setdefault(c, set()).add(node)
+            c = over[c]
+    name = {c: (min(m), len(m)) for c, m in members.items()}
+    return (sorted((name[c[0]], name.get(c[1], ()), round(c[2], 9), c[3], c[4], round(c[5], 6), round(c[6], 9)) for c in clusters),
+            sorted((n, name.get(c, ()), -1 if fall is None else round(fall, 9)) for n, c, fall in points))
+
+
+@pytest.mark.parametrize(("seed", "n", "k", "digits"), [(1, 500, 8, 9), (2, 300, 8, 1)])
+def test_condensed_tree_equals_plain_single_linkage(spark, seed, n, k, digits):
+    """Distributed path only against merges one by one; the last case has many equal distances, and group c is smaller than its least size."""
+    from topicloom.operators import forest
+    edges, sizes = random_edges(seed, n, k, digits), {"a": 5, "b": 9, "c": 3}
+    table = spark.createDataFrame(edges, "a bigint, b bigint, w double, g string")
+    points, clusters = forest.condensed_tree(table, spark.createDataFrame(list(sizes.items()), "g string, cluster_size bigint"))
+    clusters = [tuple(r) for r in clusters.collect()]
+    plain = forest.plain_tree([dict(zip("abwg", e)) for e in edges], sizes)
+    assert tree_of([tuple(r) for r in points.collect()], clusters) == tree_of(*plain)
+    for leaf in (False, True):
+        given = spark.createDataFrame(clusters, forest.CLUSTERS).withColumn("leaf", F.lit(leaf))
+        few, many = (sorted(tuple(r) for r in forest.select_clusters(given, small).collect()) for small in (200_000, 0))
+        assert few == many and len({r[1] for r in few}) > 3
+        parents = {c[1] for c in clusters}
+        if leaf:
+            assert {r[1] for r in few} - {None} == {c[0] for c in clusters if c[0] not in parents}
+
+
+def test_plain_tree_by_hand():
+    """Two groups of three at distances 1 and 2, joined at 10, and a straggler at 4 on the second."""
+    from topicloom.operators import forest
+    edges = [(1, 2, 1.0), (2, 3, 1.0), (4, 5, 2.0), (5, 6, 2.0), (6, 7, 4.0), (3, 4, 10.0)]
+    points, clusters = forest.plain_tree([{"a": a, "b": b, "w": w, "g": ""} for a, b, w in edges], {"": 3})
+    by_id = {c[0]: c for c in clusters}
+    root = next(c for c in clusters if c[1] is None)
+    assert root[2] == 0 and root[4] == 7 and root[5] == pytest.approx(0.7)
+    inner = {p[0]: (by_id[p[1]][2], p[2]) for p in points}
+    assert inner == {**{i: (0.1, 1.0) for i in (1, 2, 3)}, **{i: (0.1, 2.0) for i in (4, 5, 6)}, 7: (0.1, 4.0)}
+    values = sorted((c[4], round(c[5], 9), c[6]) for c in clusters if c[1] is not None)
+    assert values == [(3, round(3 * (1 - 0.1), 9), 1.0), (4, round(3 * (0.5 - 0.1) + 0.25 - 0.1, 9), 0.5)]
+
+
+def test_probability_is_the_level_in_the_cluster(spark):
+    data = blobs(3, 40, 25)
+    for small_graph in (200_000, 0):
+        rows = N.density_cluster(vectors(spark, data), 15, probability=True, small_graph=small_graph).collect()
+        assert all(r["probability"] == 0 if r["topic"] == -1 else 0 < r["probability"] <= 1 for r in rows)
+        for topic in {r["topic"] for r in rows} - {-1}:
+            assert max(r["probability"] for r in rows if r["topic"] == topic) == 1
+
+
+def test_subtopics_of_all_topics_equal_one_run_each(spark):
+    first, second, few = blobs(3, 30, 10), [(1000 + i, [x * 9 for x in v], g) for i, v, g in blobs(2, 20, 5, seed=3)], blobs(1, 6, 0)
+    rows = [(i, v, 0) for i, v, _ in first] + [(i, v, 1) for i, v, _ in second] + [(5000 + i, v, 2) for i, v, _ in few] + [(9000, [1.0] * len(first[0][1]), -1)]
+    df = spark.createDataFrame(rows, "doc_id bigint, embedding array<float>, topic int")
+
+    def parts(found):
+        groups = {}
+        for r in found.collect():
+            groups.setdefault((r["topic"], r["subtopic"]), set()).add(r["doc_id"])
+        return groups
+
+    together = parts(N.subtopics(df))
+    assert {t for t, _ in together} == {0, 1}
+    for topic, own in ((0, first), (1, second)):
+        alone = N.density_cluster(df.where(F.col("topic") == topic).select("doc_id", "embedding"), max(3, len(own) // 8)).collect()
+        groups = {}
+        for r in alone:
+            groups.setdefault(r["topic"], set()).add(r["doc_id"])
+        assert {frozenset(m) for (t, s), m in together.items() if t == topic and s != -1} == {frozenset(m) for t, m in groups.items() if t != -1}
+        assert together.get((topic, -1), set()) == groups.get(-1, set())
+    words = R.describe_subtopics(df.select("doc_id", F.format_string("topic%d words%d", "topic", "doc_id").alias("text")), N.subtopics(df)).collect()
+    assert {(r["topic"], r["subtopic"]): r["n"] for r in words} == {k: len(m) for k, m in together.items() if k[1] != -1}
+    assert all(f"topic{r['topic']}" in r["keywords"] for r in words)
+
+
 def test_density_takes_very_large_ids(spark):
     shift = 2 ** 62
     data = [(shift + i, v, g) for i, v, g in blobs(2, 30, 5)]
-    found = {r["doc_id"]: r["topic"] for r in N.density_cluster(vectors(spark, data), 12, levels=5).collect()}
+    found = {r["doc_id"]: r["topic"] for r in N.density_cluster(vectors(spark, data), 12).collect()}
     assert len(found) == len(data) and len({t for t in found.values() if t != -1}) == 2
 
 

@@ -11,8 +11,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 MAX_TOPICS = 2000          # the largest topic count the interactive tool offers
 BROADCAST_ROWS = 100_000   # bound for a broadcast side, checked by a count
@@ -129,6 +133,38 @@ def rows_at_ranks(rows: DataFrame, key: str, order: str, targets: DataFrame, buc
     return numbered.join(wanted, [key, "_bucket", "_offset"]).drop("_bucket", "_offset")
 
 
+def running_totals(df: DataFrame, order: list[str], sums: list[str] = ()) -> DataFrame:
+    """Stored rows with ``row``, their place in the global order, and for each column of ``sums`` its total up to and with the row (``cum_<column>``).
+
+    Range partitions are counted inside and their totals added up, so a key that fills many partitions is never
+    sorted by one task.  Rows that agree in ``order`` stay together: give an order that tells rows apart.
+    """
+    schema = StructType([*df.schema.fields, StructField("_part", IntegerType()), StructField("_n", LongType()),
+                         *[StructField(f"_c_{c}", LongType()) for c in sums]])
+
+    def run(batches):
+        part, n, held = TaskContext.get().partitionId(), 0, dict.fromkeys(sums, 0)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [*batch.columns, pa.array(np.full(batch.num_rows, part, np.int32)), pa.array(np.arange(n + 1, n + 1 + batch.num_rows))]
+            for c in sums:
+                total = np.cumsum(batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64)) + held[c]
+                held[c] = int(total[-1])
+                columns.append(pa.array(total))
+            n += batch.num_rows
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "_part", "_n", *[f"_c_{c}" for c in sums]])
+
+    stored = materialise(df.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, schema), "running")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
+    ends = stored.groupBy("_part").agg(F.max("_n").alias("_n"), *[F.sum(c).cast("bigint").alias(f"_c_{c}") for c in sums])
+    offsets = ends.select("_part", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_b{c}") for c in ("_n", *[f"_c_{c}" for c in sums])])
+    placed = stored.join(F.broadcast(offsets), "_part").withColumn("row", F.col("_n") + F.col("_b_n") - 1)
+    for c in sums:
+        placed = placed.withColumn(f"cum_{c}", F.col(f"_c_{c}") + F.col(f"_b_c_{c}"))
+    return placed.select(*df.columns, "row", *[f"cum_{c}" for c in sums])
+
+
 def bounded_rows(df: DataFrame, max_rows: int, what: str) -> list:
     """Bring a table to the driver after checking that it has at most ``max_rows`` rows."""
     rows = df.limit(max_rows + 1).collect()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from topicloom.operators import clustering as D
@@ -49,11 +49,14 @@ def topic_run(raw: DataFrame, n_topics: int, min_size: int = 10, method: str = "
 SENTIMENTS = ["positive", "negative", "neutral"]
 
 
+LEAF_DOCUMENTS = 500  # groups up to this size take the leaves of the hierarchy
+
+
 def sentiment_first(vectors: DataFrame, rated: DataFrame, min_size: int = 10) -> DataFrame:
-    """(doc_id, topic): each sentiment is clustered on its own, refined, then numbered one after the other.
+    """(doc_id, topic, probability): each sentiment is clustered on its own, refined, then numbered one after the other.
 
-    The minimum size is halved twice, and never below two.  Groups of fewer than ten
-    documents use k-means with at most three clusters.
+    The minimum size is halved twice, and never below two.  Groups of up to 500 documents use the leaves of the hierarchy, groups of
+    fewer than ten k-means with at most three clusters.  ``probability`` is a document's density level in its cluster, 0 for outliers, 1 from k-means.
     """
     tagged = materialise(vectors.select("doc_id", "embedding").join(rated.select("doc_id", "sentiment"), "doc_id"), "rated")
     size = max(2, max(2, min_size // 2) // 2)
@@ -62,17 +65,30 @@ def sentiment_first(vectors: DataFrame, rated: DataFrame, min_size: int = 10) ->
     large = [name for name, n in counts.items() if n >= 10]
     if large:
         own = tagged.where(F.col("sentiment").isin(large))
-        found = N.density_cluster(own, size, group="sentiment")
-        refined = D.refine_topics(materialise(own.join(found, "doc_id"), "group-topics"))
-        parts.append(refined.join(own.select("doc_id", F.col("sentiment").alias("group")), "doc_id"))
+        plan = tagged.sparkSession.createDataFrame(
+            [(name, size, "leaf" if counts[name] <= LEAF_DOCUMENTS else "stability") for name in large], "g string, cluster_size int, selection string")
+        found = materialise(N.density_cluster(own, plan, group="sentiment", probability=True), "dense")
+        refined = D.refine_topics(materialise(own.join(found.drop("probability"), "doc_id"), "group-topics"))
+        parts.append(refined.join(found.select("doc_id", "probability"), "doc_id").join(own.select("doc_id", F.col("sentiment").alias("group")), "doc_id"))
     for name, n in counts.items():
         if n < 10:
             own = tagged.where(F.col("sentiment") == name).select("doc_id", "embedding")
-            parts.append(D.kmeans(own, max(1, min(n // 2, 3))).withColumn("group", F.lit(name)))
+            few = D.kmeans(own, max(1, min(n // 2, 3)))
+            parts.append(few.withColumns({"probability": F.when(F.col("topic") == -1, 0.0).otherwise(1.0), "group": F.lit(name)}))
     grouped = parts[0]
     for part in parts[1:]:
         grouped = grouped.unionByName(part)
-    return D.group_topic_offsets(materialise(grouped, "grouped"), SENTIMENTS)
+    grouped = materialise(grouped, "grouped")
+    return D.group_topic_offsets(grouped, SENTIMENTS).join(grouped.select("doc_id", "probability"), "doc_id")
+
+
+def describe_subtopics(docs: DataFrame, parts: DataFrame) -> DataFrame:
+    """(topic, subtopic, n, keywords): size and keywords of every part found by ``density.subtopics``; outliers of a topic have no row."""
+    named = parts.where("subtopic <> -1").groupBy("topic", "subtopic").agg(F.count("*").alias("n"))
+    numbered = materialise(named.withColumn("part", (F.row_number().over(Window.orderBy("topic", "subtopic")) - 1).cast("int")), "part-numbers")  # one row for each part
+    tagged = lookup_join(docs.select("doc_id", "text").join(parts, "doc_id"), numbered.select("topic", "subtopic", "part"), ["topic", "subtopic"], stored=True)
+    words = K.topic_keywords(tagged.select("doc_id", "text", F.col("part").alias("topic")), min_chars=4, shown=8)
+    return numbered.join(words.withColumnRenamed("topic", "part"), "part").select("topic", "subtopic", "n", "keywords")
 
 
 def answer_batch(questions: DataFrame, items: DataFrame, info: DataFrame, answer: Callable[[DataFrame], DataFrame],

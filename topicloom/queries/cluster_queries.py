@@ -123,13 +123,19 @@ def split_topic(spark, sf):
 
 
 def subtopic_sizes(spark, sf):
-    found = N.subtopics(B.vectors(spark, sf), [0, 1])
+    """Parts of every topic with enough documents."""
+    found = N.subtopics(B.vectors(spark, sf))
     return found.groupBy("topic", "subtopic").agg(F.count("*").alias("n"))
 
 
+def subtopic_words(spark, sf):
+    parts = materialise(N.subtopics(B.vectors(spark, sf)), "subtopics")
+    return R.describe_subtopics(B.documents(spark, sf), parts)
+
+
 def sentiment_first(spark, sf):
     found = R.sentiment_first(B.vectors(spark, sf).select("doc_id", "embedding"), B.sentiment(spark, sf))
-    return found.groupBy("topic").agg(F.count("*").alias("n"))
+    return found.groupBy("topic").agg(F.count("*").alias("n"), F.round(F.avg("probability"), 6).alias("mean_probability"))
 
 
 def group_topic_offsets(spark, sf):
@@ -184,7 +190,7 @@ QUERIES = {
     f.__name__: f for f in (
         kmeans_sizes, kmeans_seeded_1step, kmeans_seeded, density_cluster, core_components, zero_shot, assign_nearest,
         merge_small_topics, reduce_topics, membership, outliers_prob, outliers_ctfidf, outliers_emb, outlier_advice,
-        split_topic, subtopic_sizes, sentiment_first, group_topic_offsets, topic_coherence, refine_topics, auto_params,
+        split_topic, subtopic_sizes, subtopic_words, sentiment_first, group_topic_offsets, topic_coherence, refine_topics, auto_params,
         recluster, hierarchy, hierarchy_first_merge, topic_tree, topic_map, document_map)
 }
 
