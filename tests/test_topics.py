@@ -485,3 +485,78 @@ def test_assign_on_a_stream(spark, tmp_path):
     assign_stream(stream, centers, sink, str(tmp_path / "ckpt")).awaitTermination(120)
     batch = {r["doc_id"]: r["topic"] for r in D.assign(df, centers).collect()}
     assert {r["doc_id"]: r["topic"] for r in spark.read.parquet(sink).collect()} == batch
+
+
+# --- merges, membership, reduced spaces -----------------------------------------------------------
+
+def merged_one_by_one(matrix):
+    """Average linkage over all pairs of topics, the two nearest groups at a time."""
+    unit = matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
+    distance, groups, merges = 1 - unit @ unit.T, {i: [i] for i in range(len(unit))}, []
+    names, fresh = {i: i for i in groups}, len(unit)
+    mean = lambda x, y: distance[np.ix_(x, y)].mean()
+    while len(groups) > 1:
+        d, a, b = min((mean(groups[x], groups[y]), x, y) for x in groups for y in groups if x < y)
+        merges.append((fresh, sorted(groups[a] + groups[b]), names[a], names[b], float(d)))
+        groups[a], names[a] = groups[a] + groups.pop(b), fresh
+        fresh += 1
+    return merges
+
+
+def merges_of(table):
+    return [tuple(r) for r in table.select("parent_id", "topics", "left_id", "right_id", "distance").orderBy("parent_id").collect()]
+
+
+def assert_same_merges(got, want):
+    assert [m[:4] for m in got] == [m[:4] for m in want]
+    assert [m[4] for m in got] == pytest.approx([m[4] for m in want], abs=1e-8)
+
+
+@pytest.mark.parametrize("few", [2000, 3])
+def test_merge_rounds_equal_one_merge_at_a_time(spark, few):
+    matrix = np.random.default_rng(4).normal(size=(60, 12))
+    centers = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(matrix)] + [(-1, [1.0] * 12)], "topic int, centroid array<double>")
+    assert_same_merges(merges_of(D.merge_table(centers, few)), merged_one_by_one(matrix))
+
+
+def test_merge_rounds_on_many_topics(spark):
+    """The same tree by rounds and on the driver for 200 topics, and a reduction that agrees."""
+    matrix = np.random.default_rng(5).normal(size=(200, 8))
+    centers = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(matrix)], "topic int, centroid array<double>")
+    assert_same_merges(merges_of(D.merge_table(centers)), merges_of(D.merge_table(centers, 20)))
+    rows = centers.select(F.col("topic").cast("bigint").alias("doc_id"), F.col("centroid").alias("embedding"), "topic")
+    reduced = [sorted(tuple(r) for r in D.reduce_topics(rows, 30, few).collect()) for few in (2000, 20)]
+    assert reduced[0] == reduced[1] and len({t for _, t in reduced[0]}) == 30
+    assert len({r["topic"] for r in D.reduce_topics(rows, 1).collect()}) == 1
+    assert D.merge_table(centers.limit(0)).collect() == []
+
+
+def test_membership_of_many_topics_equals_one_block(spark):
+    rng = np.random.default_rng(6)
+    centers = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(5000, 4)))], "topic int, centroid array<double>")
+    rows = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(3, 4)))] + [(9, [0.0] * 4)], "doc_id bigint, embedding array<double>")
+    found = [{(r["doc_id"], r["topic"]): r["p"] for r in D.membership(rows, centers, 5.0, block).collect()} for block in (300, 8192)]
+    assert len(found[0]) == 15_000 and found[0].keys() == found[1].keys()
+    assert all(found[0][k] == pytest.approx(found[1][k], rel=1e-9) for k in found[0])
+    assert all(sum(p for (d, _), p in found[0].items() if d == i) == pytest.approx(1) for i in range(3))
+
+
+def test_spectral_space_parts_blobs_and_seeds_are_looked_up(spark):
+    from topicloom.operators import spectral
+    data = blobs(3, 40, 0) + [(900, [0.0] * len(blobs(1, 1, 0)[0][1]), -1)]
+    rows, graph = spectral.spectral_embedding(vectors(spark, data), 3, near=8)
+    rows = rows.cache()
+    own, rest = spectral.residuals(rows, graph, 3)
+    assert np.abs(own - np.eye(3)).max() < 1e-6 and rest.max() < 0.05
+    found = {r["doc_id"]: r["reduced"] for r in rows.collect()}
+    assert found[900] == [0.0] * 3
+    space = R.cluster_space(vectors(spark, data), "spectral", 2)  # two columns part three separate groups
+    seeds = spark.createDataFrame([(g, [float(x) for x in next(v for _, v, t in data if t == g)]) for g in range(3)], "seed_id int, embedding array<double>")
+    topics = {r["doc_id"]: r["topic"] for r in D.kmeans_seeded(vectors(spark, data), seeds, 3, space=space).collect()}
+    assert topics[900] == -1
+    for g in range(3):
+        own = [topics[i] for i, _, t in data if t == g]
+        assert own.count(g) >= 0.9 * len(own)
+    assert R.cluster_space(vectors(spark, data[:8]), "spectral").count() == 8  # too few: their own vectors
+    with pytest.raises(ValueError, match="unknown space"):
+        R.cluster_space(vectors(spark, data), "elsewhere")

@@ -6,6 +6,8 @@ aggregates combined before the shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
@@ -19,7 +21,7 @@ from topicloom.operators.similarity import (
     SCORE_DIGITS, centroids, nearest, score_pairs, scores, stack, stored_centroids, vector_blocks,
 )
 from topicloom.constants import SPLIT_COMMON_WORDS
-from topicloom.plans.execution import MAX_TOPICS, bounded_rows, lookup_join, materialise, top_k
+from topicloom.plans.execution import BLOCK_ROWS, MAX_TOPICS, bounded_rows, lookup_join, materialise, running_totals, top_k
 
 
 # --- k-means ----------------------------------------------------------------------------------
@@ -38,10 +40,11 @@ def kmeans(vectors: DataFrame, k: int, seed: int = 42, max_iter: int = 20) -> Da
     return model.transform(usable.select("doc_id", vector.alias("features"))).select("doc_id", "topic").unionByName(outliers)
 
 
-def seed_centers(vectors: DataFrame, seeds: DataFrame, k: int, seed: int = 42) -> DataFrame:
+def seed_centers(vectors: DataFrame, seeds: DataFrame, k: int, seed: int = 42, space: DataFrame | None = None) -> DataFrame:
     """(topic, centroid): one center per seed, the document nearest to it by dot product, then documents by hash order.
 
-    ``seeds`` is (seed_id, embedding) with ids from 0.
+    ``seeds`` is (seed_id, embedding) with ids from 0.  The documents are found by ``vectors``; with ``space`` (doc_id, embedding) the centers are
+    their rows there, since a seed itself has none.
     """
     from topicloom.operators.search import knn
 
@@ -57,7 +60,8 @@ def seed_centers(vectors: DataFrame, seeds: DataFrame, k: int, seed: int = 42) -
         .select((F.row_number().over(Window.orderBy("_d")) + (n - 1)).alias("topic"), "doc_id")
     )
     picks = materialise(chosen.where(F.col("topic") < k).unionByName(padding), "picks")
-    return lookup_join(usable.select("doc_id", "embedding"), picks, ["doc_id"], stored=True).select(
+    rows = usable if space is None else space
+    return lookup_join(rows.select("doc_id", "embedding"), picks, ["doc_id"], stored=True).select(
         "topic", F.col("embedding").cast("array<double>").alias("centroid"))
 
 
@@ -70,10 +74,12 @@ def lloyd_step(vectors: DataFrame, centers: DataFrame) -> tuple[DataFrame, DataF
     return assigned, kept.select("topic", F.coalesce("centroid", "_old").alias("centroid"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def kmeans_seeded(vectors: DataFrame, seeds: DataFrame, k: int, seed: int = 42, max_iter: int = 20, tolerance: float = 1e-4) -> DataFrame:
-    """(doc_id, topic): k-means from given seeds, a single start."""
+def kmeans_seeded(vectors: DataFrame, seeds: DataFrame, k: int, seed: int = 42, max_iter: int = 20, tolerance: float = 1e-4,
+                  space: DataFrame | None = None) -> DataFrame:
+    """(doc_id, topic): k-means from given seeds, a single start; in the coordinates of ``space`` (doc_id, embedding) if given."""
+    centers = materialise(seed_centers(vectors, seeds, k, seed, space), "centers")
+    vectors = vectors if space is None else space
     usable = vectors.where(V.nonzero(F.col("embedding"))).select("doc_id", "embedding")
-    centers = materialise(seed_centers(vectors, seeds, k, seed), "centers")
     for _ in range(max_iter):
         _, moved = lloyd_step(usable, centers)
         moved = materialise(moved, "centers")
@@ -121,24 +127,37 @@ def zero_shot_topics(vectors: DataFrame, named: DataFrame, n_topics: int, thresh
     return found.unionByName(new.select("doc_id", F.when(F.col("topic") < 0, -1).otherwise(F.col("topic") + int(start)).cast("int").alias("topic")))
 
 
-def membership(vectors: DataFrame, centers: DataFrame, scale: float = 1.0) -> DataFrame:
-    """(doc_id, topic, p): softmax of the cosine to every centroid, for rows that have a vector."""
-    rows = bounded_rows(centers.where("topic <> -1").select("topic", "centroid").orderBy("topic"), MAX_TOPICS, "the topic table")
-    ids = [int(r["topic"]) for r in rows]
-    matrix = np.array([r["centroid"] for r in rows], dtype="float64")
+MAX_CENTER_CELLS = 8_000_000  # 64 MB of centroids, the most that is sent to a task
+
 
-    @F.pandas_udf("array<double>")
-    def soft(column: pd.Series) -> pd.Series:
-        if len(column) == 0:
-            return pd.Series([], dtype=object)
-        value = scores(stack(column), matrix, "cosine") * scale
-        value = np.exp(value - value.max(axis=1, keepdims=True))
-        return pd.Series(list(value / value.sum(axis=1, keepdims=True)))
+def membership(vectors: DataFrame, centers: DataFrame, scale: float = 1.0, block: int = BLOCK_ROWS) -> DataFrame:
+    """(doc_id, topic, p): softmax of the cosine to every centroid, for rows that have a vector.
 
-    usable = vectors.where(V.nonzero(F.col("embedding"))).select("doc_id", soft("embedding").alias("_p"))
-    topics = F.array(*map(F.lit, ids))
-    pairs = F.arrays_zip(topics.alias("topic"), F.col("_p").alias("p"))
-    return usable.select("doc_id", F.explode(pairs).alias("_x")).select("doc_id", "_x.topic", "_x.p")
+    Centroids are taken in blocks: a first look at each keeps the largest value and the sum of the exponentials so far, a second turns a
+    block's values into probabilities, so a task holds one block of values for a batch of rows.  The number of topics is limited by the bytes of their centroids alone.
+    """
+    known = centers.where("topic <> -1").select("topic", "centroid")
+    cells = known.agg(F.coalesce(F.sum(F.size("centroid").cast("bigint")), F.lit(0))).first()[0]
+    if cells > MAX_CENTER_CELLS:
+        raise ValueError(f"the centroids have more than {MAX_CENTER_CELLS} components")
+    blocks = list(vector_blocks(known, "topic", "centroid", block))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), 256):
+                ids = batch["doc_id"].to_numpy()[at:at + 256]
+                rows = stack(batch["embedding"].iloc[at:at + 256])
+                most, total = np.full(len(ids), -np.inf), np.zeros(len(ids))
+                for _, matrix in blocks:
+                    value = scores(rows, matrix, "cosine") * scale
+                    higher = np.maximum(most, value.max(axis=1))
+                    total = total * np.exp(most - higher) + np.exp(value - higher[:, None]).sum(axis=1)
+                    most = higher
+                for topics, matrix in blocks:
+                    p = np.exp(scores(rows, matrix, "cosine") * scale - most[:, None]) / total[:, None]
+                    yield pd.DataFrame({"doc_id": np.repeat(ids, len(topics)), "topic": np.tile(topics, len(ids)).astype("int32"), "p": p.ravel()})
+
+    return vectors.where(V.nonzero(F.col("embedding"))).select("doc_id", "embedding").mapInPandas(run, "doc_id bigint, topic int, p double")
 
 
 # --- outliers ---------------------------------------------------------------------------------
@@ -245,56 +264,98 @@ def merge_small(vectors: DataFrame, min_size: int = 10) -> DataFrame:
         "doc_id", F.col("new_topic").alias("topic"))
 
 
-def merge_order(centers: DataFrame) -> list[tuple[int, list[int], int, int, float]]:
-    """Successive merges of the two nearest groups of topics (average linkage on cosine distance).
+MERGES = "topics array<int>, left_first int, left_n int, right_first int, right_n int, distance double"
 
-    Returns (parent id, topics, left id, right id, distance) per merge.  The loop is over
-    topics, at most ``MAX_TOPICS``; ids of merged groups follow the largest topic id.
-    """
-    rows = bounded_rows(centers.where("topic <> -1").select("topic", "centroid").orderBy("topic"), MAX_TOPICS, "the topic table")
+
+def _merge_rest(rows: list) -> list[tuple]:
+    """Rows of MERGES for groups few enough for the driver: the two nearest merge, again and again."""
     if not rows:
         return []
-    matrix = np.array([r["centroid"] for r in rows], dtype="float64")
-    distance = 1 - scores(matrix, matrix, "cosine")
+    matrix = np.array([r["embedding"] for r in rows], dtype="float64")
+    distance = 1 - np.round(matrix @ matrix.T, SCORE_DIGITS)
     np.fill_diagonal(distance, np.inf)
-    names = [int(r["topic"]) for r in rows]
-    members = [[n] for n in names]
-    fresh, merges = max(names) + 1, []
+    members = [list(r["topics"]) for r in rows]
+    merges = []
     for _ in range(len(rows) - 1):
         a, b = sorted(divmod(int(distance.argmin()), len(rows)))
         weight = np.array([len(members[a]), len(members[b])], dtype="float64")
         mixed = (weight[0] * distance[a] + weight[1] * distance[b]) / weight.sum()
-        merges.append((fresh, sorted(members[a] + members[b]), names[a], names[b], float(distance[a, b])))
-        members[a], names[a] = members[a] + members[b], fresh
+        merges.append((sorted(members[a] + members[b]), min(members[a]), len(members[a]), min(members[b]), len(members[b]), float(distance[a, b])))
+        members[a] = members[a] + members[b]
         distance[a], distance[:, a] = mixed, mixed
         distance[b], distance[:, b], distance[a, a] = np.inf, np.inf, np.inf
-        fresh += 1
     return merges
 
 
+def merge_table(centers: DataFrame, few: int = MAX_TOPICS) -> DataFrame:
+    """(parent_id, topics, left_id, right_id, distance): successive merges of the two nearest groups of topics, average linkage on cosine distance.
+
+    The mean similarity of two groups is the product of the means of their unit vectors, so a group is one vector, however many topics it holds.
+    While more than ``few`` groups are left, every round finds each group's nearest and merges all pairs that are each other's nearest;
+    for average linkage these are the merges of the one-by-one order.  The rest is merged on the driver.  Merged groups are numbered by distance, after
+    the largest topic id.
+    """
+    from topicloom.operators.search import knn
+
+    spark = centers.sparkSession
+    length = V.norm(F.col("centroid"))
+    unit = F.transform("centroid", lambda x: F.when(length > 0, x.cast("double") / length).otherwise(0.0))
+    groups = materialise(centers.where("topic <> -1").select(
+        F.col("topic").cast("bigint").alias("item_id"), unit.alias("embedding"), F.array(F.col("topic").cast("int")).alias("topics")), "groups")
+    highest = groups.agg(F.max("item_id")).first()[0]
+    if highest is None:
+        return spark.createDataFrame([], "parent_id int, topics array<int>, left_id int, right_id int, distance double")
+    done = []
+    while groups.limit(few + 1).count() > few:
+        near = knn(groups.select(F.col("item_id").alias("query_id"), "embedding"), groups.select("item_id", "embedding"), 1, "dot", exclude_self=True)
+        near = materialise(near.select("query_id", "item_id", "similarity"), "nearest")
+        back = near.select(F.col("query_id").alias("item_id"), F.col("item_id").alias("query_id"))
+        pairs = near.join(back, ["query_id", "item_id"]).where("query_id < item_id").select(
+            F.col("query_id").alias("left"), F.col("item_id").alias("right"), "similarity")
+        side = lambda name: groups.select(F.col("item_id").alias(name), F.col("topics").alias(f"_{name}"), F.col("embedding").alias(f"e_{name}"))  # noqa: B023, E731
+        both = materialise(pairs.join(side("left"), "left").join(side("right"), "right"), "pairs")
+        done.append(both.select(
+            F.array_sort(F.concat("_left", "_right")).alias("topics"), F.col("left").cast("int").alias("left_first"), F.size("_left").alias("left_n"),
+            F.col("right").cast("int").alias("right_first"), F.size("_right").alias("right_n"), (1 - F.col("similarity")).alias("distance")))
+        mean = F.zip_with("e_left", "e_right", lambda x, y: (x * F.size("_left") + y * F.size("_right")) / (F.size("_left") + F.size("_right")))
+        merged = both.select(F.col("left").alias("item_id"), mean.alias("embedding"), F.array_sort(F.concat("_left", "_right")).alias("topics"))
+        gone = both.select(F.explode(F.array("left", "right")).alias("item_id"))
+        groups = materialise(groups.join(gone, "item_id", "left_anti").unionByName(merged), "groups")
+    rest = groups.orderBy("item_id").collect()  # at most ``few`` rows
+    merges = spark.createDataFrame(_merge_rest(rest), MERGES)
+    for part in done:
+        merges = merges.unionByName(part)
+    numbered = running_totals(merges.withColumn("first", F.get("topics", F.lit(0))).withColumn("n", F.size("topics")), ["distance", "n", "first"])
+    numbered = materialise(numbered.withColumn("parent_id", (F.col("row") + (highest + 1)).cast("int")), "merges")
+    # a group is known by its smallest topic and its size
+    made = numbered.select("first", "n", F.col("parent_id").alias("id"))
+    for name in ("left", "right"):
+        own = made.select(F.col("first").alias(f"{name}_first"), F.col("n").alias(f"{name}_n"), F.col("id").alias(f"{name}_id"))
+        numbered = numbered.join(own, [f"{name}_first", f"{name}_n"], "left").withColumn(f"{name}_id", F.coalesce(f"{name}_id", f"{name}_first"))
+    return materialise(numbered.select("parent_id", "topics", "left_id", "right_id", "distance"), "merges")
+
+
 AUTO_SIMILARITY = 0.915
 
 
-def reduce_topics(vectors: DataFrame, nr_topics: int | None) -> DataFrame:
+def reduce_topics(vectors: DataFrame, nr_topics: int | None, few: int = MAX_TOPICS) -> DataFrame:
     """(doc_id, topic): nearest topics merge until ``nr_topics`` are left, or while they are alike when it is None.
 
     New ids are dense by size, largest first.
     """
-    centers = stored_centroids(vectors)
-    merges = merge_order(centers)
-    n = len(merges) + 1
-    target: dict[int, int] = {}
-    for done, (parent, topics, _, _, distance) in enumerate(merges):
-        stop = n - done <= nr_topics if nr_topics is not None else 1 - distance < AUTO_SIMILARITY
-        if stop:
-            break
-        target.update(dict.fromkeys(topics, parent))
-    spark = vectors.sparkSession
-    moves = spark.createDataFrame(list(target.items()), "topic int, _to int")  # at most MAX_TOPICS rows
+    merges = merge_table(stored_centroids(vectors), few)
+    if nr_topics is not None:
+        last = merges.agg(F.max("parent_id") - max(nr_topics - 1, 0)).first()[0]
+        applied = merges.where(F.col("parent_id") <= (-1 if last is None else last))
+    else:
+        stop = merges.where(1 - F.col("distance") < AUTO_SIMILARITY).agg(F.min("parent_id")).first()[0]
+        applied = merges if stop is None else merges.where(F.col("parent_id") < stop)
+    # the last merge that holds a topic says where it ends
+    moves = materialise(applied.select(F.explode("topics").alias("topic"), "parent_id").groupBy("topic").agg(F.max("parent_id").alias("_to")), "moves")
     sizes = vectors.groupBy("topic").agg(F.count("*").alias("n"))
-    mapped = sizes.join(moves, "topic", "left").withColumn("target", F.coalesce("_to", "topic"))
+    mapped = materialise(sizes.join(moves, "topic", "left").withColumn("target", F.coalesce("_to", "topic")), "targets")
     by_size = mapped.where("target <> -1").groupBy("target").agg(F.sum("n").alias("n"), F.min("topic").alias("first"))
-    ranked = by_size.select("target", (F.row_number().over(Window.orderBy(F.col("n").desc(), "first")) - 1).cast("int").alias("new_topic"))
+    ranked = by_size.select("target", (F.row_number().over(Window.orderBy(F.col("n").desc(), "first")) - 1).cast("int").alias("new_topic"))  # topic-sized
     final = mapped.join(ranked, "target", "left").select("topic", F.coalesce("new_topic", F.lit(-1)).alias("new_topic"))
     return lookup_join(vectors.select("doc_id", "topic"), final, ["topic"]).select("doc_id", F.col("new_topic").alias("topic"))
 

@@ -8,7 +8,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from topicloom.operators.clustering import merge_order
+from topicloom.operators.clustering import merge_table
 from topicloom.operators.keywords import joined
 from topicloom.operators.terms import ctfidf, topic_terms, top_terms
 from topicloom.plans.execution import lookup_join, materialise, top_k
@@ -22,11 +22,8 @@ def hierarchy(docs: DataFrame, centers: DataFrame, words: int = 4) -> DataFrame:
 
     ``docs`` is (doc_id, topic, text), ``centers`` is (topic, centroid).
     """
-    spark = docs.sparkSession
     centers = materialise(centers.where("topic <> -1"), "centers")
-    merges = spark.createDataFrame(
-        merge_order(centers), "parent_id int, topics array<int>, left_id int, right_id int, distance double")
-    merges = materialise(merges, "merges")
+    merges = merge_table(centers)
     counts = materialise(topic_terms(docs.where("topic <> -1")), "topic-terms")
     idf = ctfidf(counts, with_idf=True).groupBy("term").agg(F.max("idf").alias("idf"))
     groups = merges.select(F.col("parent_id").alias("node"), F.explode("topics").alias("topic")).unionByName(

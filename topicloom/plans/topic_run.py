@@ -14,21 +14,43 @@ from topicloom.operators import keywords as K
 from topicloom.operators import labels as L
 from topicloom.operators import preprocess as P
 from topicloom.operators import search as H
+from topicloom.operators import spectral as Y
 from topicloom.plans.execution import lookup_join, materialise
 
 
+def cluster_space(vectors: DataFrame, space: str, components: int = 5) -> DataFrame:
+    """(doc_id, embedding): the coordinates to cluster in, ``embedding`` itself, its ``pca`` or the ``spectral`` embedding of its neighbour graph.
+
+    A table too small to be reduced keeps its own vectors.
+    """
+    if space == "pca":
+        reduced = C.reduce_dims(vectors, components)
+    elif space == "spectral":
+        found = Y.spectral_embedding(vectors, components)
+        reduced = None if found is None else found[0]
+    elif space == "embedding":
+        reduced = None
+    else:
+        raise ValueError(f"unknown space {space!r}")
+    if reduced is None:
+        return vectors.select("doc_id", "embedding")
+    return materialise(reduced.select("doc_id", F.col("reduced").alias("embedding")), "space")
+
+
 def recluster(docs: DataFrame, vectors: DataFrame, n_topics: int, min_size: int = 10, method: str = "kmeans",
-              seeds: DataFrame | None = None, label: bool = True) -> tuple[DataFrame, DataFrame]:
+              seeds: DataFrame | None = None, label: bool = True, space: str = "embedding") -> tuple[DataFrame, DataFrame]:
     """(assignment, topic table) from stored embeddings: cluster, merge small topics, describe.
 
-    Embeddings are the one table worth keeping between runs; another topic count starts here.
+    Embeddings are the one table worth keeping between runs; another topic count starts here.  Documents are clustered in ``space``; seeds are looked up, and
+    small topics merged, by the embeddings themselves.
     """
+    rows = cluster_space(vectors, space)
     if method == "kmeans":
-        found = D.kmeans(vectors, n_topics) if seeds is None else D.kmeans_seeded(vectors, seeds, n_topics)
+        found = D.kmeans(rows, n_topics) if seeds is None else D.kmeans_seeded(vectors, seeds, n_topics, space=None if space == "embedding" else rows)
     else:
         n = vectors.count()
         usable = vectors.where(C.V.nonzero(F.col("embedding"))).count()
-        found = N.density_cluster(vectors, N.min_cluster_size(n, usable, n_topics, min_size))
+        found = N.density_cluster(rows, N.min_cluster_size(n, usable, n_topics, min_size))
     found = materialise(found, "assignment")
     if min_size > 2:
         found = materialise(D.merge_small(found.join(vectors.select("doc_id", "embedding"), "doc_id"), min_size), "merged")
