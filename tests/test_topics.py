@@ -487,6 +487,24 @@ def test_assign_on_a_stream(spark, tmp_path):
     assert {r["doc_id"]: r["topic"] for r in spark.read.parquet(sink).collect()} == batch
 
 
+# --- exact search by cells --------------------------------------------------------------------
+
+def test_pruned_search_equals_exact_and_looks_at_little(spark, rows):
+    data = blobs(6, 60, 10, dim=4)
+    items = vectors(spark, data + [(7000 + i, data[0][1], 0) for i in range(30)]).select(F.col("doc_id").alias("item_id"), "embedding")
+    queries = items.select(F.col("item_id").alias("query_id"), "embedding")
+    exact = rows(H.knn(queries, items, 5, exclude_self=True), "query_id", "rank", "item_id")
+    assert rows(H.knn(queries, items, 5, exclude_self=True, many=10), "query_id", "rank", "item_id") == exact
+    for pivots, block in ((1, 2048), (12, 2048), (12, 16)):
+        hits, visits = H.pruned_search(queries, items, 5, True, pivots, block=block)
+        assert rows(H._ranked(hits, 5, "l2"), "query_id", "rank", "item_id") == exact
+        seen = visits.agg(F.sum("n")).first()[0] / queries.count() / items.count()
+        assert seen <= 1 and (pivots == 1 or seen < 0.5)
+    few = H.pruned_search(queries.limit(4), items.limit(3), 5)[0]  # fewer items than asked for: all of them
+    assert few.count() == 12
+    assert H.pruned_search(queries, items.limit(0), 5)[0].count() == 0
+
+
 # --- merges, membership, reduced spaces -----------------------------------------------------------
 
 def merged_one_by_one(matrix):

@@ -1,9 +1,9 @@
 """Nearest-neighbour and semantic search over tables of queries.
 
-Items are scanned where they are: each task keeps the k best items per query and
-only those are shuffled.  Queries come in blocks of bounded size.  When there
-are about as many queries as items, ``knn_join`` shares the work by cell and by
-blocks inside a cell instead, so a cell with a third of the items is many tasks.
+A few queries (one block, counted) go to the items where they are: each task keeps the k best items per query and only those
+are shuffled.  A larger table of queries is joined with the items by cell and by blocks inside a cell, so a cell with
+a third of the items is many tasks and neither table passes through the driver.  Exact search by distance looks at a cell only
+where the triangle inequality leaves a chance (``pruned_search``).
 """
 
 from __future__ import annotations
@@ -25,7 +25,8 @@ ROWS_AT_ONCE = 1024        # item rows scored in one matrix product
 EXACT_LIMIT = 50_000       # items above this number get an index
 MAX_CELLS = 4096
 MAX_PROBES = 32
-MANY_QUERIES = 65_536      # queries sent out in blocks; beyond it they are joined
+MANY_QUERIES = BLOCK_ROWS  # queries sent to the items in one block; beyond it they are joined
+MAX_PIVOTS = 1024          # centers of the cells of an exact search
 HITS = "query_id bigint, item_id bigint, score double"
 
 
@@ -48,25 +49,12 @@ def _candidates(value: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.nonzero((value >= floor[:, None]) & np.isfinite(value))
 
 
-def _query_blocks(queries: DataFrame, columns: list[str]) -> Iterator[list]:
-    block: list = []
-    for row in queries.select("query_id", "embedding", *columns).toLocalIterator():
-        block.append(row)
-        if len(block) == BLOCK_ROWS:
-            yield block
-            block = []
-    if block:
-        yield block
-
-
-def _scan(items: DataFrame, ids: np.ndarray, matrix: np.ndarray, k: int, metric: str, exclude_self: bool,
-          topics: np.ndarray | None, cells: np.ndarray | None) -> DataFrame:
+def _scan(items: DataFrame, ids: np.ndarray, matrix: np.ndarray, k: int, metric: str, exclude_self: bool, topics: np.ndarray | None) -> DataFrame:
     """One pass over the items for one block of queries; each task returns its k best per query.
 
-    ``topics`` holds the topic each query is restricted to (a negative sentinel for
-    none), ``cells`` a (query, cell) table of probed cells.
+    ``topics`` holds the topic each query is restricted to (a negative sentinel for none).
     """
-    carried = ["item_id", "embedding"] + (["topic"] if topics is not None else []) + (["cell"] if cells is not None else [])
+    carried = ["item_id", "embedding"] + (["topic"] if topics is not None else [])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = (np.zeros(0, int), np.zeros(0, "int64"), np.zeros(0))
@@ -78,8 +66,6 @@ def _scan(items: DataFrame, ids: np.ndarray, matrix: np.ndarray, k: int, metric:
                 if topics is not None:
                     wrong = (topics[:, None] != NO_TOPIC) & (topics[:, None] != part["topic"].to_numpy()[None, :])
                     value = np.where(wrong, -np.inf, value)
-                if cells is not None:
-                    value = np.where(cells[:, part["cell"].to_numpy("int64")], value, -np.inf)
                 if exclude_self:
                     value = np.where(ids[:, None] == item[None, :], -np.inf, value)
                 q, r = _candidates(value, k)
@@ -105,36 +91,101 @@ def knn(queries: DataFrame, items: DataFrame, k: int, metric: str = "l2", exclud
 
     ``queries`` is (query_id, embedding[, topic_filter]); with ``in_topic`` a query
     with a filter sees items of that topic only, so an empty topic gives no rows.
-    Up to ``many`` queries are sent to the items in blocks; a larger table is joined
-    with the items block by block and never passes through the driver.
+    Up to ``many`` queries are sent to the items in one block; a larger table is joined with them.
+    """
+    columns = ["query_id", "embedding", *(["topic_filter"] if in_topic else [])]
+    asked = queries.select(*columns).limit(many + 1).collect()
+    if len(asked) > many:
+        return _ranked(_joined_hits(queries, items, k, metric, exclude_self, in_topic), k, metric)
+    if not asked:
+        return _ranked(items.sparkSession.createDataFrame([], HITS), k, metric)
+    ids = np.array([r["query_id"] for r in asked], dtype="int64")
+    matrix = np.array([r["embedding"] for r in asked], dtype="float64")
+    topics = np.array([NO_TOPIC if r["topic_filter"] is None else r["topic_filter"] for r in asked]) if in_topic else None
+    return _ranked(_scan(items, ids, matrix, k, metric, exclude_self, topics), k, metric)
+
+
+def _joined_hits(queries: DataFrame, items: DataFrame, k: int, metric: str, exclude_self: bool, in_topic: bool, block: int = 2048) -> DataFrame:
+    """Hits of a table of queries of any size: by cells where distances allow it, otherwise block by block."""
+    if in_topic:
+        free = queries.where(F.col("topic_filter").isNull()).select("query_id", "embedding")
+        bound = queries.where(F.col("topic_filter").isNotNull()).select("query_id", "embedding", F.col("topic_filter").alias("cell"))
+        inside = _block_join(bound, items.where(F.col("topic").isNotNull()).withColumn("cell", F.col("topic")), k, metric, exclude_self, block)
+        return _joined_hits(free, items, k, metric, exclude_self, False, block).unionByName(inside)
+    if metric == "l2":
+        return pruned_search(queries, items, k, exclude_self, block=block)[0]
+    return _block_join(queries.select("query_id", "embedding", F.lit(0).alias("cell")), items.withColumn("cell", F.lit(0)), k, metric, exclude_self, block)
+
+
+def pruned_search(queries: DataFrame, items: DataFrame, k: int, exclude_self: bool = False, pivots: int | None = None, first: int = 2,
+                  block: int = 2048) -> tuple[DataFrame, DataFrame]:
+    """(hits, visits) of an exact search by distance: HITS with all of each query's k nearest among them, and (query_id, cell, n), the cells looked at.
+
+    Items belong to the cell of their nearest pivot, and a cell has a radius.  A query looks at its ``first`` nearest cells; the distance of its
+    k-th item there bounds the others: a cell whose pivot is farther than that bound and its radius together holds nothing nearer.
     """
-    if queries.limit(many + 1).count() > many:
-        wanted = queries.select("query_id", "embedding", F.lit(0).alias("cell"))
-        index = items.withColumn("cell", F.lit(0))
-        if in_topic:
-            index = items.withColumn("cell", F.coalesce("topic", F.lit(NO_TOPIC)))
-            cells = materialise(index.select("cell").distinct(), "cells")
-            free = queries.where(F.col("topic_filter").isNull()).select("query_id", "embedding")
-            wanted = queries.where(F.col("topic_filter").isNotNull()).select(
-                "query_id", "embedding", F.col("topic_filter").alias("cell")).unionByName(
-                free.join(F.broadcast(cells) if cells.count() <= MAX_CELLS else cells))  # each free query asks in every topic
-        return _ranked(_block_join(wanted, index, k, metric, exclude_self, 2048), k, metric)
-    parts = []
-    for block in _query_blocks(queries, ["topic_filter"] if in_topic else []):
-        ids = np.array([r["query_id"] for r in block], dtype="int64")
-        matrix = np.array([r["embedding"] for r in block], dtype="float64")
-        topics = np.array([NO_TOPIC if r["topic_filter"] is None else r["topic_filter"] for r in block]) if in_topic else None
-        parts.append(_scan(items, ids, matrix, k, metric, exclude_self, topics, None))
-    return _ranked(_union(parts, items), k, metric)
-
-
-def _union(parts: list[DataFrame], like: DataFrame) -> DataFrame:
-    if not parts:
-        return like.sparkSession.createDataFrame([], HITS)
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+    spark = items.sparkSession
+    n = items.count()
+    wanted = max(1, min(MAX_PIVOTS, n // block)) if pivots is None else pivots
+    draw = F.md5(F.col("item_id").cast("string"))
+    chosen = items.select("item_id", "embedding", draw.alias("_d")).orderBy("_d", "item_id").limit(wanted).collect()
+    centers = np.array([r["embedding"] for r in chosen], dtype="float64")
+    if not len(centers):
+        return spark.createDataFrame([], HITS), spark.createDataFrame([], "query_id bigint, cell int, n bigint")
+
+    @F.pandas_udf("struct<cell: int, away: double>")
+    def nearest_pivot(column: pd.Series) -> pd.DataFrame:
+        if len(column) == 0:
+            return pd.DataFrame({"cell": [], "away": []})
+        value = scores(stack(column), centers, "l2")
+        at = value.argmax(axis=1)
+        return pd.DataFrame({"cell": at.astype("int32"), "away": np.sqrt(-value[np.arange(len(at)), at])})
+
+    index = materialise(items.select("item_id", "embedding", nearest_pivot("embedding").alias("_c")).select("item_id", "embedding", "_c.cell", "_c.away"), "cells")
+    sizes = index.groupBy("cell").agg(F.max("away").alias("radius"), F.count("*").alias("n")).collect()  # one row for each pivot
+    radius, size = np.full(len(centers), -np.inf), np.zeros(len(centers), int)
+    for r in sizes:
+        radius[r["cell"]], size[r["cell"]] = r["radius"], r["n"]
+    filled = np.flatnonzero(size)
+
+    @F.pandas_udf("array<int>")
+    def near_cells(column: pd.Series) -> pd.Series:
+        if len(column) == 0:
+            return pd.Series([], dtype=object)
+        value = scores(stack(column), centers[filled], "l2")
+        return pd.Series([filled[np.argsort(-row, kind="stable")[:first]].astype("int32") for row in value])
+
+    @F.pandas_udf("array<int>")
+    def open_cells(column: pd.Series, bound: pd.Series) -> pd.Series:
+        if len(column) == 0:
+            return pd.Series([], dtype=object)
+        value = scores(stack(column), centers[filled], "l2")
+        away = np.sqrt(-value)
+        # scores are rounded, so the bound is widened by more than that
+        limit = np.where(bound.isna(), np.inf, bound.to_numpy(dtype="float64") * (1 + 1e-6) + 1e-4)
+        found = []
+        for row, reach, close in zip(away, limit, value):
+            done = np.argsort(-close, kind="stable")[:first]
+            allowed = row <= reach + radius[filled]
+            allowed[done] = False
+            found.append(filled[allowed].astype("int32"))
+        return pd.Series(found)
+
+    asked = materialise(queries.select("query_id", "embedding"), "queries")
+    one = materialise(asked.select("query_id", "embedding", F.explode(near_cells("embedding")).alias("cell")), "first-cells")
+    hits = materialise(_block_join(one, index, k, "l2", exclude_self, block), "first-hits")
+    best = top_k(hits, ["query_id"], [F.col("score").desc(), F.col("item_id")], k)
+    bound = best.where(F.col("rank") == k).select("query_id", F.sqrt(-F.col("score")).alias("bound"))
+    two = materialise(asked.join(bound, "query_id", "left").select("query_id", "embedding", F.explode(open_cells("embedding", "bound")).alias("cell")), "more-cells")
+    more = _block_join(two, index, k, "l2", exclude_self, block)
+    counted = spark.createDataFrame([(int(c), int(size[c])) for c in filled], "cell int, n bigint")
+    visits = one.select("query_id", "cell").unionByName(two.select("query_id", "cell")).join(F.broadcast(counted), "cell").select("query_id", "cell", "n")
+    return hits.unionByName(more), visits
+
+
+def knn_pruned(queries: DataFrame, items: DataFrame, k: int, exclude_self: bool = False, pivots: int | None = None) -> DataFrame:
+    """As ``knn`` by distance, for a table of queries of any size, looking at the cells the triangle inequality leaves."""
+    return _ranked(pruned_search(queries, items, k, exclude_self, pivots)[0], k, "l2")
 
 
 # --- inverted-file index ----------------------------------------------------------------------
@@ -186,34 +237,19 @@ def probes_of(queries: DataFrame, centers: DataFrame, probes: int) -> DataFrame:
 
 
 def knn_ivf(queries: DataFrame, index: DataFrame, centers: DataFrame, k: int, probes: int, metric: str = "l2",
-            exclude_self: bool = False) -> DataFrame:
-    """k nearest items among the probed cells of each query; only those cells are read."""
-    wanted = materialise(probes_of(queries, centers, probes), "probes")
-    n_cells = centers.agg(F.max("cell")).first()[0] + 1
-    with_cells = queries.join(wanted.groupBy("query_id").agg(F.collect_list("cell").alias("cells")), "query_id")
-    parts = []
-    for block in _query_blocks(with_cells, ["cells"]):
-        ids = np.array([r["query_id"] for r in block], dtype="int64")
-        matrix = np.array([r["embedding"] for r in block], dtype="float64")
-        allowed = np.zeros((len(block), n_cells), dtype=bool)
-        for i, r in enumerate(block):
-            allowed[i, r["cells"]] = True
-        probed = [int(c) for c in np.nonzero(allowed.any(axis=0))[0]]
-        parts.append(_scan(index.where(F.col("cell").isin(probed)), ids, matrix, k, metric, exclude_self, None, allowed))
-    return _ranked(_union(parts, index), k, metric)
-
-
-def knn_join(queries: DataFrame, index: DataFrame, centers: DataFrame, k: int, probes: int, metric: str = "l2",
-             exclude_self: bool = False, block: int = 2048) -> DataFrame:
-    """As ``knn_ivf`` for a query table of any size: a join on (cell, item block, query block).
-
-    Cells are cut into blocks of about ``block`` rows by a hash of the id, so no task
-    holds more than one block of items and one of queries, however full a cell is.
+            exclude_self: bool = False, block: int = 2048) -> DataFrame:
+    """k nearest items among the probed cells of each query: a join on (cell, item block, query block).
+
+    Cells are cut into blocks of about ``block`` rows by a hash of the id, so no task holds more than one block of items and one of queries, however
+    full a cell is.  The probed cells meet the index first, so of an index stored by cell only their folders are read.
     """
-    wanted = probes_of(queries, centers, probes).join(queries.select("query_id", "embedding"), "query_id")
+    wanted = probes_of(queries.select("query_id", "embedding"), centers, probes).join(queries.select("query_id", "embedding"), "query_id")
     return _ranked(_block_join(wanted, index, k, metric, exclude_self, block), k, metric)
 
 
+knn_join = knn_ivf
+
+
 def _block_join(wanted: DataFrame, index: DataFrame, k: int, metric: str, exclude_self: bool, block: int) -> DataFrame:
     """Hits of (query_id, embedding, cell) on items of the same cell, each block pair in one small group."""
     wanted = materialise(wanted, "probed")

@@ -67,6 +67,12 @@ def knn_exact(spark, sf):
     return hits.withColumn("distance", F.round("distance", 6))
 
 
+def knn_pruned(spark, sf):
+    """The same by cells and the triangle inequality, the queries as a table."""
+    hits = H.knn_pruned(all_as_queries(spark, sf), items(spark, sf), 10, exclude_self=True, pivots=16)
+    return hits.withColumn("distance", F.round("distance", 6))
+
+
 def core_distance(spark, sf):
     """Distance to the fifth neighbour."""
     hits = H.neighbours(items(spark, sf), 5).where("rank = 5")
@@ -176,7 +182,7 @@ def lift_chunks(spark, sf):
 
 QUERIES = {
     f.__name__: f for f in (
-        embed_norms, embed, reduce_dims, guided_seeds, vector_math, knn_exact, core_distance, ivf_plan, knn_ivf,
+        embed_norms, embed, reduce_dims, guided_seeds, vector_math, knn_exact, knn_pruned, core_distance, ivf_plan, knn_ivf,
         knn_cell_join, ivf_cells, knn_in_topic, semantic_search, search_variants, text_search, rerank, build_context,
         build_sources, lift_chunks)
 }
@@ -237,6 +243,8 @@ _PLAN = """SELECT '{0}' AS name, count(*) AS items, CASE WHEN count(*) > 50000 T
     CASE WHEN count(*) > 50000 THEN least(floor(sqrt(count(*)))::INT, 4096) ELSE 1 END AS cells,
     CASE WHEN count(*) > 50000 THEN least(32, greatest(least(floor(sqrt(count(*)))::INT, 4096) // 4, 1)) ELSE 1 END AS probes FROM {0}"""
 
+_KNN_EXACT = B.with_sql(VEC, PAIRS, body="""SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY distance, item_id))::INT
+        AS rank, item_id, round(distance, 6) AS distance FROM pr QUALIFY rank <= 10""")
 ORACLES = {
     "embed_norms": B.with_sql(ENC, DOCVEC, body="""SELECT doc_id, round(sqrt(list_dot_product(x, x)), 4) AS norm,
         len(list_filter(x, lambda e: e <> 0)) > 0 AS has_vector FROM dv"""),
@@ -254,8 +262,8 @@ ORACLES = {
         body="SELECT doc_id, seed::BIGINT AS seed_id, (generate_subscripts(y, 1) - 1)::INT AS dim, round(unnest(y), 5) AS value FROM mv"),
     "vector_math": B.with_sql(VEC, CENTERS, CEN_ARR, body=f"""SELECT item_id AS doc_id, round({dot_sql('x', 'c')}, 6) AS dot,
         round(list_cosine_similarity(x, c), 6) AS cosine, round({l2_sql('x', 'c')}, 6) AS squared_l2 FROM v JOIN cl ON v.topic = cl.topic"""),
-    "knn_exact": B.with_sql(VEC, PAIRS, body="""SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY distance, item_id))::INT
-        AS rank, item_id, round(distance, 6) AS distance FROM pr QUALIFY rank <= 10"""),
+    "knn_exact": _KNN_EXACT,
+    "knn_pruned": _KNN_EXACT,
     "core_distance": B.with_sql(VEC, PAIRS, body="""SELECT query_id AS doc_id, round(sqrt(distance), 6) AS core_distance FROM pr
         QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, item_id) = 5"""),
     "ivf_plan": _PLAN.format("embeddings") + " UNION ALL " + _PLAN.format("lineitem"),
