@@ -578,3 +578,39 @@ def test_spectral_space_parts_blobs_and_seeds_are_looked_up(spark):
     assert R.cluster_space(vectors(spark, data[:8]), "spectral").count() == 8  # too few: their own vectors
     with pytest.raises(ValueError, match="unknown space"):
         R.cluster_space(vectors(spark, data), "elsewhere")
+
+
+# --- sinks and chunk answers ------------------------------------------------------------------
+
+def test_files_of_a_key_follow_its_size(spark, tmp_path):
+    """One topic with most of the bytes is many files, every small one is one."""
+    from topicloom.sources import tables as IO
+    rows = [(i, "x" * 500, 0) for i in range(2000)] + [(5000 + i, "y" * 500, 1 + i % 30) for i in range(300)] + [(9000, None, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, topic int").repartition(16)
+    IO.write_by_topic(df, str(tmp_path / "out"), file_bytes=100_000)
+    files = {p.name: len(list(p.glob("*.parquet"))) for p in (tmp_path / "out").iterdir() if p.is_dir()}
+    assert 8 <= files.pop("topic=0") <= 12 and len(files) == 31
+    assert max(files.values()) <= 2 and sum(files.values()) <= 31 + 3  # where two ranges meet a key has two
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert back.count() == len(rows) and back.where("topic = 0").agg(F.sum(F.length("text"))).first()[0] == 1_000_000
+    IO.save_index(df.where("topic IS NOT NULL").select(F.col("doc_id").alias("item_id"), F.array(F.lit(1.0)).alias("embedding"), F.col("topic").alias("cell")),
+                  spark.createDataFrame([(0, [1.0])], "cell int, center array<double>"), str(tmp_path / "index"))
+    assert all(len(list(p.glob("*.parquet"))) == 1 for p in (tmp_path / "index" / "items").iterdir() if p.is_dir())
+
+
+def test_chunks_answer_questions_of_their_topic_only(spark, tmp_path):
+    from topicloom.operators import embedding as C
+    docs = spark.createDataFrame([(i, text, topic) for i, text, topic in documents(40)] + [(99, "glacier summit " * 700, 0), (100, " ", 0)], "doc_id bigint, text string, topic int")
+    vocabulary = X.materialise(C.fit_encoder(docs), "vocabulary")
+    encode = lambda rows: C.encode_in_rows(rows, vocabulary, 64)
+    items = R.chunk_items(docs, docs, encode, str(tmp_path / "chunks"))
+    assert items.where("doc_id = 99").count() == 4 and items.where("doc_id = 100").count() == 0
+    assert sorted(r["item_id"] for r in items.collect()) == list(range(44))
+    info = spark.createDataFrame([(t, f"Label {t}", f"word{t}") for t in range(5)], "topic int, human_label string, keywords string")
+    asked = spark.createDataFrame([(1, "topic 0: glacier ridge"), (2, "violin tempo"), (3, "topic 9: lagoon")], "doc_id bigint, text string")
+    questions = encode(asked).join(asked, "doc_id").withColumnRenamed("doc_id", "query_id")
+    answer = lambda prompts: prompts.withColumn("answer", F.length("context").cast("string"))
+    got = {r["query_id"]: r for r in R.answer_batch(questions, items, info, answer, k=3).collect()}
+    assert got[1]["topic_filter"] == 0 and got[1]["context"].startswith("Currently viewing Topic 0: Label 0") and "[from Topic 1]" not in got[1]["context"]
+    assert got[2]["topic_filter"] is None and "[from Topic 1]" in got[2]["context"] and "relevance" in got[2]["sources"]
+    assert got[3]["topic_filter"] is None

@@ -77,7 +77,7 @@ def encode_in_rows(docs: DataFrame, vocabulary: DataFrame, dim: int) -> DataFram
                 at = np.minimum(np.searchsorted(known, flat), len(known) - 1)
                 hit = known[at] == flat
                 value = np.bincount(owner[hit] * dim + slot[at[hit]], n[hit] * weight[at[hit]], rows * dim)
-                total = value.reshape(rows, dim)
+                total = value.reshape(rows, dim).astype("float64")  # of no hits the counts are whole numbers
             length = np.sqrt((total * total).sum(axis=1, keepdims=True))
             unit = np.round(np.divide(total, length, out=np.zeros_like(total), where=length > 0), DIGITS).astype("float32")
             vectors = pa.ListArray.from_arrays(pa.array(np.arange(0, rows * dim + 1, dim), pa.int32()), pa.array(unit.ravel()))

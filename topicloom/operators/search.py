@@ -102,6 +102,8 @@ def knn(queries: DataFrame, items: DataFrame, k: int, metric: str = "l2", exclud
     ids = np.array([r["query_id"] for r in asked], dtype="int64")
     matrix = np.array([r["embedding"] for r in asked], dtype="float64")
     topics = np.array([NO_TOPIC if r["topic_filter"] is None else r["topic_filter"] for r in asked]) if in_topic else None
+    if in_topic and (topics != NO_TOPIC).all():
+        items = items.where(F.col("topic").isin(sorted({int(t) for t in topics})))  # of a table stored by topic, only these folders are read
     return _ranked(_scan(items, ids, matrix, k, metric, exclude_self, topics), k, metric)
 
 

@@ -15,7 +15,8 @@ from topicloom.operators import labels as L
 from topicloom.operators import preprocess as P
 from topicloom.operators import search as H
 from topicloom.operators import spectral as Y
-from topicloom.plans.execution import lookup_join, materialise
+from topicloom.plans.execution import lookup_join, materialise, running_totals
+from topicloom.sources import tables as IO
 
 
 def cluster_space(vectors: DataFrame, space: str, components: int = 5) -> DataFrame:
@@ -113,11 +114,25 @@ def describe_subtopics(docs: DataFrame, parts: DataFrame) -> DataFrame:
     return numbered.join(words.withColumnRenamed("topic", "part"), "part").select("topic", "subtopic", "n", "keywords")
 
 
+def chunk_items(docs: DataFrame, assignment: DataFrame, encode: Callable[[DataFrame], DataFrame], path: str, size: int = 512, overlap: int = 128) -> DataFrame:
+    """(item_id, doc_id, chunk_no, text, embedding, topic): the chunks of all documents with their parent's topic, stored by topic under ``path``.
+
+    The topic is a folder, so a search bound to topics reads the chunks of these only.  ``encode`` turns (doc_id, text) into (doc_id, embedding);
+    items are numbered by document and chunk.
+    """
+    numbered = running_totals(P.chunk_documents(docs.select("doc_id", "text"), size, overlap).select("doc_id", "chunk_no", "text"), ["doc_id", "chunk_no"])
+    chunks = materialise(numbered.withColumnRenamed("row", "item_id"), "chunks")
+    vectors = encode(chunks.select(F.col("item_id").alias("doc_id"), "text")).withColumnRenamed("doc_id", "item_id")
+    topics = assignment.select("doc_id", "topic")
+    IO.write_by_topic(chunks.join(vectors, "item_id").join(topics, "doc_id"), path)
+    return docs.sparkSession.read.parquet(path).select("item_id", "doc_id", "chunk_no", "text", "embedding", "topic")
+
+
 def answer_batch(questions: DataFrame, items: DataFrame, info: DataFrame, answer: Callable[[DataFrame], DataFrame],
                  k: int = 10, reranked: bool = True, threshold: float = 0.0) -> DataFrame:
     """(query_id, topic_filter, context, answer, sources) for a table of questions.
 
-    ``questions`` is (query_id, text, embedding), ``items`` is (item_id, text, embedding, topic).
+    ``questions`` is (query_id, text, embedding), ``items`` is (item_id, text, embedding, topic): documents, or chunks as of ``chunk_items``.
     The context of a question about a topic opens with that topic's label and keywords from ``info``.
     ``answer`` adds a column ``answer`` to (query_id, question, context).  A question without
     hits has a null context.

@@ -9,10 +9,10 @@ from topicloom.operators import keywords as K
 from topicloom.operators import model_jobs as I
 from topicloom.operators import preprocess as P
 from topicloom.plans import topic_run as R
-from topicloom.plans.execution import materialise
+from topicloom.plans.execution import materialise, scratch_path
 from topicloom.queries import base as B
 from topicloom.queries.analytics_queries import CENTERS, INFO, KEYWORDS, named_info
-from topicloom.queries.search_queries import BENCH, CEN_ARR, DOCVEC, ENC, QVEC, VEC, l2_sql
+from topicloom.queries.search_queries import BENCH, CEN_ARR, ENC, QVEC, VEC, encode_sql, l2_sql
 from topicloom.constants import ANSWER_OPENERS, LABEL_PLACEHOLDERS, SUMMARY_LEAD_INS
 
 # --- Spark ------------------------------------------------------------------------------------
@@ -129,16 +129,16 @@ def _count_answer(prompts):
 
 
 def answer_batch(spark, sf):
-    """Benchmark texts as questions; every second one names a topic."""
+    """Benchmark texts as questions; every second one names a topic.  Chunks are retrieved and reranked."""
     docs = B.topic_documents(spark, sf)
     vocabulary = materialise(C.fit_encoder(docs), "vocabulary")
-    items = C.encode(docs, vocabulary, stored=True).join(docs, "doc_id").withColumnRenamed("doc_id", "item_id")
+    encode = lambda rows: C.encode_in_rows(rows, vocabulary, 64)
+    items = R.chunk_items(docs, docs, encode, scratch_path(spark, "chunks"))
     asked = B.table(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
     named = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("Topic "), (F.col("doc_id") % 14).cast("string"), F.lit(": "), F.col("text"))).otherwise(
         F.col("text"))
-    questions = C.encode(asked, vocabulary, stored=True).join(asked.select("doc_id", named.alias("text")), "doc_id").withColumnRenamed(
-        "doc_id", "query_id")
-    return R.answer_batch(questions, materialise(items, "items"), named_info(spark, sf), _count_answer, k=5, reranked=False)
+    questions = encode(asked).join(asked.select("doc_id", named.alias("text")), "doc_id").withColumnRenamed("doc_id", "query_id")
+    return R.answer_batch(questions, items, named_info(spark, sf), _count_answer, k=5)
 
 
 QUERIES = {
@@ -264,17 +264,32 @@ ORACLES = {
         x AS (SELECT *, list_position(list_transform(ls, lambda x: regexp_matches(lower(x), '{_OPEN}')), true) AS f FROM y)
         SELECT batch, CASE kind WHEN 0 THEN {trim_sql('text')} WHEN 1 THEN {trim_sql('text')} WHEN 2 THEN {trim_sql("'none' || chr(10) || text")}
           ELSE CASE WHEN f > 0 THEN array_to_string(ls[f:], chr(10)) ELSE {trim_sql('substring(resp, floor(length(resp) * 0.6)::INT + 1)')} END END AS answer FROM x""",
-    "answer_batch": B.with_sql(INFO, ENC, DOCVEC, BENCH, QVEC,
+    "answer_batch": B.with_sql(INFO, ENC, f"""ck_t AS (SELECT doc_id, text, list_filter(string_split_regex(text, '{B.WS}'), lambda w: w <> '') AS toks FROM documents),
+        ck_s AS (SELECT *, len(toks) AS n, CASE WHEN len(toks) > 512 THEN range(0, len(toks) - 128, 384) ELSE [0] END AS starts FROM ck_t WHERE len(toks) > 0),
+        ck_c AS (SELECT doc_id, text, toks, n, unnest(starts) AS st, generate_subscripts(starts, 1) - 1 AS chunk_no FROM ck_s),
+        ck AS (SELECT doc_id AS parent, row_number() OVER (ORDER BY doc_id, chunk_no) - 1 AS doc_id,
+          CASE WHEN n > 512 THEN array_to_string(toks[st + 1:st + 512], ' ') ELSE text END AS text FROM ck_c),
+        cw_k AS (SELECT doc_id, unnest({B.words_sql('text')}) AS term FROM ck),
+        cw AS (SELECT doc_id, term, count(*) AS n FROM cw_k GROUP BY 1, 2)""", encode_sql("cv", "cw", "ck"), BENCH, QVEC,
         "tp AS (SELECT DISTINCT topic FROM assign)",
-        "qs AS (SELECT doc_id AS query_id, CASE WHEN doc_id % 2 = 0 AND (doc_id % 14) IN (SELECT topic FROM tp) THEN (doc_id % 14)::INT END AS topic_filter FROM bq)",
-        f"""hz AS (SELECT qs.query_id, a.doc_id AS item_id, a.topic, row_number() OVER (PARTITION BY qs.query_id ORDER BY round({l2_sql('q.x', 'd.x')}, 10), a.doc_id) AS r
-          FROM qs JOIN qv q ON qs.query_id = q.doc_id JOIN assign a ON qs.topic_filter IS NULL OR a.topic = qs.topic_filter JOIN dv d ON d.doc_id = a.doc_id
-          QUALIFY r <= 5)""",
-        "ht AS (SELECT hz.*, d.text FROM hz JOIN documents d ON hz.item_id = d.doc_id)",
+        """qs AS (SELECT doc_id AS query_id, CASE WHEN doc_id % 2 = 0 THEN 'Topic ' || (doc_id % 14) || ': ' || text ELSE text END AS query_text,
+          CASE WHEN doc_id % 2 = 0 AND (doc_id % 14) IN (SELECT topic FROM tp) THEN (doc_id % 14)::INT END AS topic_filter FROM bq)""",
+        f"""hz AS (SELECT qs.query_id, qs.query_text, c.doc_id AS item_id, c.text, a.topic, round({l2_sql('q.x', 'd.x')}, 10) AS distance
+          FROM qs JOIN qv q ON qs.query_id = q.doc_id JOIN assign a ON qs.topic_filter IS NULL OR a.topic = qs.topic_filter JOIN ck c ON c.parent = a.doc_id
+          JOIN cv d ON d.doc_id = c.doc_id QUALIFY row_number() OVER (PARTITION BY qs.query_id ORDER BY distance, c.doc_id) <= 15)""",
+        f"hw AS (SELECT query_id, item_id, list_distinct({B.words_sql('query_text')}) AS q, {B.words_sql('text')} AS t FROM hz)",
+        "sz AS (SELECT query_id, count(*) AS hits, avg(len(t)) AS mean_len FROM hw GROUP BY 1)",
+        "mt AS (SELECT query_id, item_id, len(t) AS len, unnest(list_filter(t, lambda w: list_contains(q, w))) AS term FROM hw)",
+        "tf AS (SELECT query_id, item_id, len, term, count(*) AS n_tf FROM mt GROUP BY query_id, item_id, len, term)",
+        "df AS (SELECT *, count(*) OVER (PARTITION BY query_id, term) AS n_df FROM tf)",
+        """sc AS (SELECT query_id, item_id, round(sum(ln(1 + (sz.hits - n_df + 0.5) / (n_df + 0.5)) * n_tf * 2.5 / (n_tf + 1.5 * (0.25 + 0.75 * len / mean_len))), 6) AS s
+          FROM df JOIN sz USING (query_id) GROUP BY 1, 2)""",
+        """ht AS (SELECT hz.*, coalesce(s, 0) AS score, row_number() OVER (PARTITION BY hz.query_id ORDER BY coalesce(s, 0) DESC, distance, hz.item_id) AS r
+          FROM hz LEFT JOIN sc ON hz.query_id = sc.query_id AND hz.item_id = sc.item_id QUALIFY r <= 5)""",
         """cx AS (SELECT query_id, string_agg('[Doc ' || r || '] [from Topic ' || topic || ']: ' || CASE WHEN length(text) > 300
           THEN substring(text, 1, 300) || '...' ELSE text END, chr(10) ORDER BY r) AS context,
           string_agg(r || '. ' || CASE WHEN length(text) > 100 THEN substring(text, 1, 100) || '...' ELSE text END
-          || ' [Topic ' || topic || ']', chr(10) ORDER BY r) FILTER (r <= 3) AS sources FROM ht GROUP BY 1)""",
+          || ' [Topic ' || topic || '] (relevance: ' || printf('%.3f', score) || ')', chr(10) ORDER BY r) FILTER (r <= 3) AS sources FROM ht GROUP BY 1)""",
         """hd AS (SELECT qs.query_id, topic_filter, coalesce('Currently viewing Topic ' || i.topic || ': ' || i.human_label || chr(10) || 'Keywords: '
           || i.keywords || chr(10), '') || context AS context, sources FROM qs LEFT JOIN cx ON qs.query_id = cx.query_id
           LEFT JOIN info i ON i.topic = topic_filter AND i.topic <> -1)""",

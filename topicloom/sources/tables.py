@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,9 +44,31 @@ def write_topic_info(info: DataFrame, path: str, fmt: str = "csv") -> None:
     write_results(topic_info_columns(info), path, fmt)
 
 
-def write_by_topic(df: DataFrame, path: str, fmt: str = "parquet", max_records: int = 5_000_000) -> None:
-    """One folder per topic.  Rows are not shuffled, so a full topic is written by many tasks."""
-    df.write.mode("overwrite").partitionBy("topic").option("maxRecordsPerFile", max_records).format(fmt).save(path)
+FILE_BYTES = 128 << 20
+
+
+def row_bytes(df: DataFrame) -> Column:
+    """About how many bytes a row holds: the length of texts and binaries, eight for each number, arrays by their entries."""
+    def of(field) -> Column:
+        name = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            return F.coalesce(F.octet_length(name), F.lit(0))
+        if isinstance(field.dataType, T.ArrayType):
+            return 8 * F.greatest(F.coalesce(F.size(name), F.lit(0)), F.lit(0))
+        return F.lit(8)
+
+    return sum((of(f) for f in df.schema.fields), F.lit(0)).cast("bigint")
+
+
+def clustered(df: DataFrame, key: str, file_bytes: int = FILE_BYTES) -> DataFrame:
+    """Rows in ranges of (key, hash) of about ``file_bytes`` each: a small key is written by one task or two, a hot one by as many as its bytes need."""
+    total = df.agg(F.sum(row_bytes(df))).first()[0] or 0
+    return df.repartitionByRange(max(1, -(-total // file_bytes)), F.col(key), F.xxhash64(*df.columns))
+
+
+def write_by_topic(df: DataFrame, path: str, fmt: str = "parquet", max_records: int = 5_000_000, file_bytes: int = FILE_BYTES) -> None:
+    """One folder per topic, with as many files as the topic's bytes need."""
+    clustered(df, "topic", file_bytes).write.mode("overwrite").partitionBy("topic").option("maxRecordsPerFile", max_records).format(fmt).save(path)
 
 
 def run_report(assignment: DataFrame, min_size: int = 10, method: str = "kmeans") -> DataFrame:
@@ -113,7 +135,7 @@ def load_model(spark: SparkSession, path: str) -> tuple[dict[str, DataFrame], di
 
 def save_index(index: DataFrame, centers: DataFrame, path: str) -> None:
     """Items by cell, so that a search reads the probed cells only."""
-    index.write.mode("overwrite").partitionBy("cell").parquet(f"{path}/items")
+    clustered(index, "cell").write.mode("overwrite").partitionBy("cell").parquet(f"{path}/items")
     centers.write.mode("overwrite").parquet(f"{path}/centers")
 
 
