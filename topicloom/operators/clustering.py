@@ -26,18 +26,25 @@ from topicloom.plans.execution import BLOCK_ROWS, MAX_TOPICS, bounded_rows, look
 
 # --- k-means ----------------------------------------------------------------------------------
 
-def kmeans(vectors: DataFrame, k: int, seed: int = 42, max_iter: int = 20) -> DataFrame:
-    """(doc_id, topic): k-means over rows that have a vector; rows without one are outliers."""
+def kmeans_model(vectors: DataFrame, k: int, seed: int = 42, max_iter: int = 20) -> tuple[DataFrame, DataFrame]:
+    """(assignment, centers): k-means over rows that have a vector, and (topic, centroid), at most k rows; rows without a vector are outliers."""
     usable = vectors.where(V.nonzero(F.col("embedding")))
     k = min(k, usable.limit(k).count())
     outliers = vectors.where(~V.nonzero(F.col("embedding"))).select("doc_id", F.lit(-1).alias("topic"))
     if k < 2:
-        return usable.select("doc_id", F.lit(0).alias("topic")).unionByName(outliers)
+        one = usable.select("doc_id", F.lit(0).alias("topic"))
+        return one.unionByName(outliers), centroids(usable.select("embedding", F.lit(0).alias("topic"))).select("topic", "centroid")
     vector = array_to_vector(F.col("embedding").cast("array<double>"))
     features = usable.select("doc_id", vector.alias("features")).persist()
     model = KMeans(k=k, seed=seed, maxIter=max_iter, predictionCol="topic").fit(features)
     features.unpersist()
-    return model.transform(usable.select("doc_id", vector.alias("features"))).select("doc_id", "topic").unionByName(outliers)
+    centers = vectors.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "topic int, centroid array<double>")
+    return model.transform(usable.select("doc_id", vector.alias("features"))).select("doc_id", "topic").unionByName(outliers), centers
+
+
+def kmeans(vectors: DataFrame, k: int, seed: int = 42, max_iter: int = 20) -> DataFrame:
+    """(doc_id, topic): k-means over rows that have a vector; rows without one are outliers."""
+    return kmeans_model(vectors, k, seed, max_iter)[0]
 
 
 def seed_centers(vectors: DataFrame, seeds: DataFrame, k: int, seed: int = 42, space: DataFrame | None = None) -> DataFrame:

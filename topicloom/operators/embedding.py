@@ -88,18 +88,21 @@ def encode_in_rows(docs: DataFrame, vocabulary: DataFrame, dim: int) -> DataFram
     return counted_rows.mapInArrow(run, "doc_id bigint, embedding array<float>")
 
 
-def embed(docs: DataFrame, dim: int = 64, seed: int = 42) -> DataFrame:
-    """(doc_id, embedding) of all documents.
+def encode_known(docs: DataFrame, vocabulary: DataFrame, dim: int = 64) -> DataFrame:
+    """(doc_id, embedding) by a stored vocabulary.
 
-    Up to ``ENCODER_TERMS`` terms (counted; 80 MB) the vocabulary travels to the tasks and nothing is exchanged but the
-    document frequencies; a larger one is joined by term.  Both give the same vectors.
+    Up to ``ENCODER_TERMS`` terms (counted; 80 MB) it travels to the tasks and nothing is exchanged; a larger one is joined by term.  Both give the same vectors.
     """
-    vocabulary = materialise(fit_encoder(docs, dim, seed), "vocabulary")
     if vocabulary.count() <= ENCODER_TERMS:
         return encode_in_rows(docs, vocabulary, dim)
     return encode(docs, vocabulary, dim, stored=True)
 
 
+def embed(docs: DataFrame, dim: int = 64, seed: int = 42) -> DataFrame:
+    """(doc_id, embedding) of all documents by an encoder fitted to them; only the document frequencies are exchanged."""
+    return encode_known(docs, materialise(fit_encoder(docs, dim, seed), "vocabulary"), dim)
+
+
 def embed_with_model(docs: DataFrame, load: Callable[[], Callable[[list[str]], np.ndarray]], dim: int) -> DataFrame:
     """(doc_id, embedding) from a user's encoder: loaded once per task, fed Arrow batches, empty text is a zero vector."""
 

@@ -7,7 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from topicloom.functions import vectors as V
@@ -51,9 +51,11 @@ def scored_candidates(candidates: DataFrame, vectors: DataFrame, embed_terms: Ca
     ``candidates`` is topic-sized, (topic, term); ``embed_terms`` turns (doc_id, text) into
     (doc_id, embedding) in the space of ``vectors``.
     """
-    keyed = materialise(candidates.select("topic", "term", F.xxhash64("term").alias("doc_id")), "candidates")
-    words = materialise(embed_terms(keyed.select("doc_id", F.col("term").alias("text")).distinct()), "word-vectors")
-    joined = keyed.join(words, "doc_id").join(topic_vectors(vectors, docs_per_topic).select("topic", "centroid"), "topic")
+    candidates = materialise(candidates.select("topic", "term"), "candidates")
+    named = candidates.select("term").distinct().select((F.row_number().over(Window.orderBy("term")) - 1).cast("bigint").alias("doc_id"), F.col("term").alias("text"))
+    named = materialise(named, "terms")  # topic-sized
+    words = materialise(embed_terms(named).join(named, "doc_id").select(F.col("text").alias("term"), "embedding"), "word-vectors")
+    joined = candidates.join(words, "term").join(topic_vectors(vectors, docs_per_topic).select("topic", "centroid"), "topic")
     return joined.select("topic", "term", "embedding", F.round(F.coalesce(
         V.cosine(F.col("embedding"), F.col("centroid")), F.lit(0.0)), 6).alias("similarity"))
 

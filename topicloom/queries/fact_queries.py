@@ -6,8 +6,12 @@ label unique), and SQL states what the numbers must be for these tables.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from topicloom.constants import COMMON_WORDS, SPLIT_COMMON_WORDS
+from topicloom.functions import text as T
+from topicloom.functions import vectors as V
 from topicloom.operators import clustering as D
 from topicloom.operators import density as N
 from topicloom.operators import embedding as C
@@ -16,25 +20,147 @@ from topicloom.operators import labels as L
 from topicloom.operators import representation as P
 from topicloom.operators import keywords as K
 from topicloom.operators import search as H
+from topicloom.operators import preprocess as PP
+from topicloom.operators import sentiment as E
 from topicloom.operators import similarity as S
+from topicloom.operators import spectral as Y
 from topicloom.plans import topic_run as R
-from topicloom.plans.execution import materialise
+from topicloom.plans.execution import lookup_join, materialise
 from topicloom.queries import base as B
 from topicloom.queries import cluster_queries as Q
 from topicloom.queries.analytics_queries import CENTERS, named_info
 from topicloom.queries.representation_queries import candidates
-from topicloom.queries.search_queries import items
+from topicloom.queries.search_queries import VEC, items
 from topicloom.sources import tables as IO
 
 
+def _misplaced(rows, centers, slack=1e-9):
+    """How many of (doc_id, topic, embedding) lie nearer to another of (topic, centroid) than to their own."""
+    own = lookup_join(rows, centers.select("topic", F.col("centroid").alias("own")), ["topic"])
+    tagged = S.nearest(own, "embedding", centers, "topic", "centroid", "l2", "near", "away")
+    return tagged.where(V.squared_l2(F.col("embedding"), F.col("own")) > -F.col("away") + slack).count()
+
+
 def kmeans_facts(spark, sf):
-    """Rows, outliers, topics, rows without a vector that got a topic, topics without rows."""
-    found = materialise(D.kmeans(Q.all_vectors(spark, sf), 10), "found")
-    empty = Q.all_vectors(spark, sf).where("topic = -1").select("doc_id")
+    """Rows, outliers, topics, rows without a vector that got a topic, topics without rows, rows that are not at their nearest centre."""
+    vectors = Q.all_vectors(spark, sf)
+    found, centers = D.kmeans_model(vectors, 10)
+    found = materialise(found, "found")
+    empty = vectors.where("topic = -1").select("doc_id")
     sizes = found.where("topic <> -1").groupBy("topic").count()
+    misplaced = _misplaced(found.where("topic <> -1").join(vectors.select("doc_id", "embedding"), "doc_id"), materialise(centers, "centers"))
     return found.agg(F.count("*").alias("rows"), F.count_if(F.col("topic") == -1).alias("outliers"),
                      F.countDistinct(F.when(F.col("topic") != -1, F.col("topic"))).alias("topics")).withColumn(
-        "wrong", F.lit(found.join(empty, "doc_id").where("topic <> -1").count())).withColumn("missing", F.lit(10 - sizes.count()))
+        "wrong", F.lit(found.join(empty, "doc_id").where("topic <> -1").count())).withColumn("missing", F.lit(10 - sizes.count())).withColumn("misplaced", F.lit(misplaced))
+
+
+def kmeans_seeded_facts(spark, sf):
+    """Rows, topics, and rows that are nearer to the mean of another topic: the rounds have settled.  No row is farther from its mean than after one round in sum."""
+    vectors = Q.all_vectors(spark, sf)
+    usable = B.vectors(spark, sf).select("doc_id", "embedding")
+    found = materialise(D.kmeans_seeded(vectors, Q._seeds(spark, sf), 8, max_iter=60), "found")
+    rows = materialise(found.where("topic <> -1").join(usable, "doc_id"), "rows")
+    means = S.stored_centroids(rows).select("topic", "centroid")
+    spread = lambda t, c: lookup_join(t, c, ["topic"]).agg(F.sum(V.squared_l2(F.col("embedding"), F.col("centroid")))).first()[0]
+    start = materialise(D.seed_centers(vectors, Q._seeds(spark, sf), 8), "start")
+    first, moved = D.lloyd_step(usable, start)
+    better = spread(rows, means) <= spread(first.select("topic", "embedding"), moved.select("topic", "centroid")) + 1e-6
+    return found.agg(F.count("*").alias("rows"), F.count_if(F.col("topic") == -1).alias("outliers"), F.countDistinct(F.when(F.col("topic") != -1, F.col("topic"))).alias("topics")).withColumn(
+        "misplaced", F.lit(_misplaced(rows, means, 1e-3))).withColumn("better", F.lit(better))
+
+
+def split_topic_facts(spark, sf):
+    """Parts of topic 3: parts, documents, sum of shares, parts without five words, words that are not among the most frequent of their part."""
+    parts = materialise(D.split_topic(B.documents(spark, sf), B.vectors(spark, sf), 3, 3), "parts")
+    own = B.vectors(spark, sf).where("topic = 3").select("doc_id", "embedding")
+    tagged = materialise(B.documents(spark, sf).join(D.kmeans(own, 3), "doc_id"), "tagged")
+    tokens = tagged.select("topic", F.explode(F.split(F.lower("text"), r"\s+")).alias("w")).groupBy("topic", "w").agg(F.count("*").alias("n"))
+    listed = parts.select(F.col("part").alias("topic"), F.explode(F.split("keywords", ", ")).alias("w"))
+    least = listed.join(tokens, ["topic", "w"], "left").groupBy("topic").agg(F.min(F.coalesce("n", F.lit(0))).alias("least"))
+    left_out = tokens.where((F.length("w") > 3) & ~F.col("w").isin(SPLIT_COMMON_WORDS)).join(listed, ["topic", "w"], "left_anti").join(least, "topic").where(F.col("n") > F.col("least"))
+    return parts.agg(F.count("*").alias("parts"), F.sum("count").alias("documents"), F.round(F.sum("percent"), 0).alias("percent"),
+                     F.count_if(F.size(F.split("keywords", ", ")) != 5).alias("short")).withColumn("left_out", F.lit(left_out.count()))
+
+
+def subtopic_facts(spark, sf):
+    """Documents of all topics with enough of them, parts under their least size, parts that their own neighbour edges do not connect, parts without words."""
+    vectors = B.vectors(spark, sf)
+    found = materialise(N.subtopics(vectors), "parts")
+    sizes = vectors.groupBy("topic").agg(F.greatest(F.lit(3), F.floor(F.count("*") / 8)).alias("least"))
+    parts = found.where("subtopic <> -1").groupBy("topic", "subtopic").agg(F.count("*").alias("n"))
+    small = parts.join(sizes, "topic").where("n < least").count()
+    inside = found.where("subtopic <> -1").select("doc_id", F.concat_ws("/", "topic", "subtopic").alias("part"))
+    plan = sizes.select(F.col("topic").cast("string").alias("g"), F.col("least").alias("cluster_size"), F.greatest(F.lit(1), F.floor(F.col("least") / 5)).cast("int").alias("samples"))
+    most = plan.agg(F.max("samples")).first()[0]
+    edges = N.core_edges(vectors.withColumnRenamed("topic", "_g"), most, 10, "_g", plan=plan)
+    split = _unconnected(edges, inside)
+    words = R.describe_subtopics(B.documents(spark, sf), found)
+    bare = parts.join(words.where(F.size(F.split("keywords", ", ")) == 8), ["topic", "subtopic"], "left_anti").count()
+    return found.agg(F.count("*").alias("rows"), F.countDistinct("topic").alias("topics")).withColumns(
+        {"small": F.lit(small), "split": F.lit(split), "bare": F.lit(bare)})
+
+
+def _unconnected(edges, inside):
+    """How many parts of (doc_id, part) are not one connected piece of the edges inside them."""
+    of = lambda name: inside.select(F.col("doc_id").alias(name), F.col("part").alias(f"t{name}"))
+    kept = edges.join(of("a"), "a").join(of("b"), "b").where("ta = tb").select("a", "b")
+    pieces = N.components(materialise(kept, "inside")).join(of("node"), "node").groupBy(F.col("tnode").alias("part")).agg(
+        F.countDistinct("component").alias("k"), F.count("*").alias("m"))
+    sizes = inside.groupBy("part").agg(F.count("*").alias("n"))
+    return sizes.join(pieces, "part", "left").where((F.col("k") != 1) | F.col("k").isNull() | (F.col("m") != F.col("n"))).count()
+
+
+def spectral_facts(spark, sf):
+    """Rows, documents without coordinates, columns at right angles and of length one, and columns that the neighbour graph turns by less than a twentieth."""
+    vectors = B.vectors(spark, sf)
+    rows, graph = Y.spectral_embedding(vectors, 5)
+    rows = materialise(rows.select("doc_id", "reduced"), "reduced")
+    own, rest = Y.residuals(rows, graph, 5)
+    return rows.agg(F.count("*").alias("rows"), F.count_if(~F.exists("reduced", lambda x: x != 0)).alias("empty")).withColumns(
+        {"orthonormal": F.lit(bool(abs(own - np.eye(5)).max() < 1e-6)), "settled": F.lit(bool(rest.max() < 0.05))})
+
+
+def recluster_reduced(spark, sf):
+    """The topic run in the spectral space: documents, topics under the least size."""
+    docs = B.documents(spark, sf)
+    vectors = B.vectors(spark, sf).select("doc_id", "embedding")
+    _, info = R.recluster(docs.join(vectors.select("doc_id"), "doc_id"), vectors, 10, 10, label=False, space="spectral")
+    return info.agg(F.sum("count").alias("documents"), F.count_if((F.col("topic") != -1) & (F.col("count") < 10)).alias("small"))
+
+
+def model_hooks(spark, sf):
+    """A user's encoder and a user's scorer, run in Arrow batches: both answer from the text alone, so SQL can say what they must return."""
+    docs = B.documents(spark, sf)
+    encoded = C.embed_with_model(docs, lambda: lambda texts: np.array([[len(t), t.count("e"), 1.0] for t in texts]), 3)
+    rated = E.score_with_model(docs, lambda: lambda texts: [("long" if len(t) > 500 else "short", t.count("e") / max(1, len(t))) for t in texts])
+    return encoded.join(rated, "doc_id").select("doc_id", *[F.round(F.get("embedding", F.lit(i)).cast("double"), 4).alias(f"x{i}") for i in range(3)],
+                                                "label", F.round("score", 6).alias("score"))
+
+
+def topic_tree_facts(spark, sf):
+    """The tree of the hierarchy: nodes, roots, nodes outside their parent, nodes that are not one deeper than it, topics without a node."""
+    merges = materialise(G.hierarchy(B.topic_documents(spark, sf), Q.centers(spark, sf)), "merges")
+    tree = materialise(G.topic_tree(merges), "tree")
+    parents = tree.select(F.col("node_id").cast("string").alias("parent"), F.col("depth").alias("above"), F.col("left_id").alias("pl"), F.col("right_id").alias("pr"))
+    joined = tree.where("parent <> 'Root'").join(parents, "parent", "left")
+    strays = joined.where("pl IS NULL OR (node_id <> pl AND node_id <> pr)").count()
+    flat = joined.where("depth <> above + 1").count()
+    used = tree.select(F.explode(F.array("left_id", "right_id")).alias("topic"))
+    bare = Q.centers(spark, sf).select("topic").join(used, "topic", "left_anti").count()
+    return tree.agg(F.count("*").alias("nodes"), F.count_if(F.col("parent") == "Root").alias("roots")).withColumns(
+        {"strays": F.lit(strays), "flat": F.lit(flat), "bare": F.lit(bare)})
+
+
+def topic_map_facts(spark, sf):
+    """Topics on the map, their documents, range of both axes, and whether each axis is the principal component of the centroids, up to scale."""
+    rows = G.topic_map(Q.centers(spark, sf), named_info(spark, sf))
+    centers = Q.centers(spark, sf).where("topic <> -1").orderBy("topic").collect()  # topic-sized
+    matrix = np.array([r["centroid"] for r in centers])
+    _, _, axes = np.linalg.svd(matrix - matrix.mean(axis=0), full_matrices=False)
+    placed = {r["topic"]: r for r in rows.collect()}
+    alike = [abs(np.corrcoef([placed[r["topic"]][c] for r in centers], matrix @ axis)[0, 1]) > 1 - 1e-6 for c, axis in zip("xy", axes)]
+    return rows.agg(F.count("*").alias("topics"), F.sum("count").alias("documents"), *[F.round(f(c), 6).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in "xy"]).withColumn(
+        "principal", F.lit(bool(all(alike))))
 
 
 def reduce_dims_facts(spark, sf):
@@ -88,37 +214,92 @@ def hierarchy_facts(spark, sf):
 
 
 def document_map_facts(spark, sf):
-    """Every document is on the map with its own topic."""
-    rows = G.document_map(Q.all_vectors(spark, sf), B.assignment(spark, sf), named_info(spark, sf))
+    """Every document is on the map with its own topic; both axes are what a projection on the principal components of the vectors gives."""
+    vectors = Q.all_vectors(spark, sf)
+    rows = G.document_map(vectors, B.assignment(spark, sf), named_info(spark, sf))
     own = B.assignment(spark, sf).withColumnRenamed("topic", "own")
-    return rows.join(own, "doc_id").agg(F.count("*").alias("documents"), F.count_if(F.col("topic") != F.col("own")).alias("wrong"))
+    usable = materialise(rows.join(B.vectors(spark, sf).select("doc_id", "embedding"), "doc_id"), "mapped")
+    # the products of the vectors' entries, a matrix of their width, give the components
+    matrix = _covariance(usable)
+    _, axes = np.linalg.eigh(matrix)
+    checks = []
+    for column, axis in (("x", axes[:, -1]), ("y", axes[:, -2])):
+        projected = V.dot(F.col("embedding"), F.array(*[F.lit(float(v)) for v in axis]))
+        checks.append(F.abs(F.corr(column, projected)) > 1 - 1e-6)
+    axis_ok = usable.agg(checks[0] & checks[1]).first()[0]
+    return rows.join(own, "doc_id").agg(F.count("*").alias("documents"), F.count_if(F.col("topic") != F.col("own")).alias("wrong")).withColumn("principal", F.lit(axis_ok))
+
+
+def _covariance(rows):
+    size = rows.select(F.size("embedding")).first()[0]
+    mean = np.array(S.centroids(rows.select(F.lit(0).alias("topic"), "embedding")).first()["centroid"])
+    return Y.gram(rows, "embedding", "embedding", size) / rows.count() - np.outer(mean, mean)
 
 
 def mmr_facts(spark, sf):
-    """Ten different candidates for each topic."""
-    picks = P.mmr(candidates(spark, sf), 10, 0.4)
-    return picks.groupBy("topic").agg(F.count("*").alias("picks"), F.countDistinct("term").alias("terms"))
+    """Picks and different words of each topic, and picks that another candidate would have beaten at their turn."""
+    scored = materialise(candidates(spark, sf), "scored")
+    picks = materialise(P.mmr(scored, 10, 0.4), "picks")
+    taken = picks.join(scored, ["topic", "term"]).select("topic", F.col("rank").alias("at"), F.col("term").alias("other"), F.col("embedding").alias("e"))
+    turns = picks.select("topic", F.col("rank").alias("turn"), F.col("term").alias("pick"))
+    asked = scored.join(turns, "topic").join(taken, "topic").where(F.col("at") < F.col("turn"))
+    worth = asked.groupBy("topic", "turn", "pick", "term", "similarity").agg(
+        F.max(F.coalesce(V.cosine(F.col("embedding"), F.col("e")), F.lit(0.0))).alias("alike"), F.max(F.col("other") == F.col("term")).alias("used"))
+    value = worth.where("NOT used").withColumn("value", F.round(0.6 * F.col("similarity") - 0.4 * F.col("alike"), 6))
+    mine = value.where("term = pick").select("topic", "turn", F.col("value").alias("mine"))
+    beaten = value.join(mine, ["topic", "turn"], "left").where((F.col("mine").isNull()) | (F.col("value") > F.col("mine") + 2e-6)).groupBy("topic").agg(F.countDistinct("turn").alias("beaten"))
+    firsts = picks.where("rank = 1").join(scored, ["topic", "term"]).join(scored.groupBy("topic").agg(F.max("similarity").alias("most")), "topic").where("similarity < most")
+    beaten = beaten.unionByName(firsts.select("topic", F.lit(1).cast("bigint").alias("beaten"))).groupBy("topic").agg(F.sum("beaten").alias("beaten"))
+    return picks.groupBy("topic").agg(F.count("*").alias("picks"), F.countDistinct("term").alias("terms")).join(beaten, "topic", "left").select(
+        "topic", "picks", "terms", F.coalesce("beaten", F.lit(0)).alias("beaten"))
 
 
 def recluster_facts(spark, sf):
-    """Documents after cleaning, topics under the least size."""
-    _, info = R.topic_run(B.documents(spark, sf), 10, 10, label=False)
-    return info.agg(F.sum("count").alias("documents"), F.count_if((F.col("topic") != -1) & (F.col("count") < 10)).alias("small"))
+    """Documents after cleaning, topics under the least size, topics whose count or five words are not those of their documents."""
+    docs = B.documents(spark, sf)
+    found, info = R.topic_run(docs, 10, 10, label=False)
+    info = materialise(info, "info")
+    counts = found.groupBy("topic").agg(F.count("*").alias("n"))
+    miscounted = info.join(counts, "topic", "full").where("NOT (n <=> count)").count()
+    tokens = PP.clean_documents(docs).join(found, "doc_id").where("topic <> -1").select("topic", F.explode(T.whitespace_tokens(F.col("text"))).alias("w"))
+    tokens = materialise(tokens.groupBy("topic", "w").agg(F.count("*").alias("n")).where((F.length("w") > 2) & ~F.col("w").isin(COMMON_WORDS)), "tokens")
+    listed = info.where("topic <> -1").select("topic", F.explode(F.split("keywords", ", ")).alias("w"))
+    least = listed.join(tokens, ["topic", "w"], "left").groupBy("topic").agg(F.min(F.coalesce("n", F.lit(0))).alias("least"), F.count("*").alias("words"))
+    left_out = tokens.join(listed, ["topic", "w"], "left_anti").join(least, "topic").where(F.col("n") > F.col("least")).select("topic").distinct().count()
+    return info.agg(F.sum("count").alias("documents"), F.count_if((F.col("topic") != -1) & (F.col("count") < 10)).alias("small")).withColumns(
+        {"miscounted": F.lit(miscounted), "short": F.lit(least.where("words <> 5").count()), "left_out": F.lit(left_out)})
 
 
 def sentiment_first_facts(spark, sf):
-    """Rated documents with a vector, numbers missing between topics, topics shared by two sentiments."""
-    found = materialise(R.sentiment_first(B.vectors(spark, sf).select("doc_id", "embedding"), B.sentiment(spark, sf)), "found")
-    tagged = found.where("topic <> -1").join(B.sentiment(spark, sf), "doc_id")
+    """Rated documents with a vector, numbers missing between topics, topics shared by two sentiments, probabilities that do not fit, and of the
+    density clusters of each sentiment those under the least size and those that their neighbour edges do not connect."""
+    vectors, rated = B.vectors(spark, sf).select("doc_id", "embedding"), B.sentiment(spark, sf)
+    found = materialise(R.sentiment_first(vectors, rated), "found")
+    tagged = found.where("topic <> -1").join(rated, "doc_id")
     shared = tagged.groupBy("topic").agg(F.countDistinct("sentiment").alias("k")).where("k > 1").count()
     gaps = F.coalesce(F.max(F.when(F.col("topic") != -1, F.col("topic"))) + 1 - F.countDistinct(F.when(F.col("topic") != -1, F.col("topic"))), F.lit(0))
-    return found.agg(F.count("*").alias("rows"), gaps.cast("bigint").alias("gaps")).withColumn("shared", F.lit(shared))
+    unfit = found.where("CASE WHEN topic = -1 THEN probability <> 0 ELSE probability <= 0 OR probability > 1 END").count()
+    own = materialise(vectors.join(rated, "doc_id"), "rated")
+    dense = materialise(N.density_cluster(own, 2, group="sentiment", selection="leaf").join(own.select("doc_id", "sentiment"), "doc_id"), "dense")
+    inside = dense.where("topic <> -1").select("doc_id", F.concat_ws("/", "sentiment", "topic").alias("part"))
+    small = inside.groupBy("part").count().where("count < 2").count()
+    split = _unconnected(N.core_edges(own, 1, 10, "sentiment"), inside)
+    return found.agg(F.count("*").alias("rows"), gaps.cast("bigint").alias("gaps")).withColumns(
+        {"shared": F.lit(shared), "unfit": F.lit(unfit), "small": F.lit(small), "split": F.lit(split)})
 
 
 def refine_facts(spark, sf):
-    """Refining keeps every document; no topic is less coherent than the one it came from allows."""
-    found = D.refine_topics(B.vectors(spark, sf))
-    return found.agg(F.count("*").alias("rows"), F.countDistinct("doc_id").alias("documents"))
+    """Documents, topics loose enough to be refined, and refined topics whose parts are together less coherent than the topic was."""
+    vectors = materialise(B.vectors(spark, sf), "vectors")
+    found = materialise(D.refine_topics(vectors), "refined")
+    before = materialise(D.coherence(vectors), "before")
+    loose = before.where("n >= 15 AND coherence < 0.4").select("topic", F.col("coherence").alias("was"))
+    parts = found.withColumnRenamed("topic", "part").join(vectors, "doc_id")
+    after = D.coherence(parts, ("topic", "part"))
+    split = after.groupBy("topic").agg(F.avg("coherence").alias("now"), F.count("*").alias("parts")).where("parts > 1")
+    worse = split.join(loose, "topic", "left").where("was IS NULL OR now < was").count()
+    return found.agg(F.count("*").alias("rows"), F.countDistinct("doc_id").alias("documents")).withColumns(
+        {"loose": F.lit(loose.count()), "split": F.lit(split.count()), "worse": F.lit(worse)})
 
 
 def fingerprint_facts(spark, sf):
@@ -132,13 +313,14 @@ def fingerprint_facts(spark, sf):
 
 QUERIES = {
     f.__name__: f for f in (
-        kmeans_facts, reduce_dims_facts, ivf_facts, density_facts, topic_labels_facts, hierarchy_facts, document_map_facts, mmr_facts, recluster_facts,
+        kmeans_facts, kmeans_seeded_facts, split_topic_facts, subtopic_facts, spectral_facts, recluster_reduced, model_hooks, topic_tree_facts, topic_map_facts,
+        reduce_dims_facts, ivf_facts, density_facts, topic_labels_facts, hierarchy_facts, document_map_facts, mmr_facts, recluster_facts,
         sentiment_first_facts, refine_facts, fingerprint_facts)
 }
 
 _TOPICS = "(SELECT count(DISTINCT label) FROM embeddings)"
 ORACLES = {
-    "kmeans_facts": """SELECT count(*) AS rows, count(*) FILTER (e.vec_id IS NULL) AS outliers, 10::BIGINT AS topics, 0::BIGINT AS wrong, 0::BIGINT AS missing
+    "kmeans_facts": """SELECT count(*) AS rows, count(*) FILTER (e.vec_id IS NULL) AS outliers, 10::BIGINT AS topics, 0::BIGINT AS wrong, 0::BIGINT AS missing, 0::BIGINT AS misplaced
         FROM documents d LEFT JOIN embeddings e ON d.doc_id = e.vec_id""",
     "reduce_dims_facts": "SELECT count(*) AS rows, 0 AS correlated, true AS falling FROM embeddings",
     "ivf_facts": "SELECT count(*) AS items, 0::BIGINT AS misplaced FROM embeddings",
@@ -146,10 +328,27 @@ ORACLES = {
     "topic_labels_facts": f"SELECT {_TOPICS} AS topics, {_TOPICS} AS labels, 0::BIGINT AS short",
     "hierarchy_facts": B.with_sql(CENTERS, "arr AS (SELECT topic, list(value ORDER BY dim) AS c FROM cen GROUP BY topic)", body=f"""SELECT {_TOPICS} - 1 AS merges, 0::BIGINT AS wrong,
         (SELECT round(min(1 - list_cosine_similarity(a.c, b.c)), 4) FROM arr a JOIN arr b ON a.topic < b.topic) AS first_distance"""),
-    "document_map_facts": "SELECT count(*) AS documents, 0::BIGINT AS wrong FROM documents",
-    "mmr_facts": "SELECT label AS topic, 10::BIGINT AS picks, 10::BIGINT AS terms FROM embeddings GROUP BY label",
-    "recluster_facts": B.with_sql(*B.clean_sql("text"), body="SELECT count(*) AS documents, 0::BIGINT AS small FROM cleaned"),
-    "sentiment_first_facts": """SELECT count(*) AS rows, 0::BIGINT AS gaps, 0::BIGINT AS shared FROM embeddings e JOIN labels l ON e.vec_id = l.doc_id""",
-    "refine_facts": "SELECT count(*) AS rows, count(*) AS documents FROM embeddings",
+    "document_map_facts": "SELECT count(*) AS documents, 0::BIGINT AS wrong, true AS principal FROM documents",
+    "mmr_facts": "SELECT label AS topic, 10::BIGINT AS picks, 10::BIGINT AS terms, 0::BIGINT AS beaten FROM embeddings GROUP BY label",
+    "recluster_facts": B.with_sql(*B.clean_sql("text"), body="SELECT count(*) AS documents, 0::BIGINT AS small, 0::BIGINT AS miscounted, 0::BIGINT AS short, 0::BIGINT AS left_out FROM cleaned"),
+    "kmeans_seeded_facts": """SELECT count(*) AS rows, count(*) FILTER (e.vec_id IS NULL) AS outliers, 8::BIGINT AS topics, 0::BIGINT AS misplaced, true AS better
+        FROM documents d LEFT JOIN embeddings e ON d.doc_id = e.vec_id""",
+    "split_topic_facts": "SELECT 3::BIGINT AS parts, count(*) AS documents, 100.0::DOUBLE AS percent, 0::BIGINT AS short, 0::BIGINT AS left_out FROM embeddings WHERE label = 3",
+    "subtopic_facts": """SELECT sum(n)::BIGINT AS rows, count(*) AS topics, 0::BIGINT AS small, 0::BIGINT AS split, 0::BIGINT AS bare
+        FROM (SELECT label, count(*) AS n FROM embeddings WHERE label <> -1 GROUP BY label) WHERE n >= 8""",
+    "spectral_facts": "SELECT count(*) AS rows, 0::BIGINT AS empty, true AS orthonormal, true AS settled FROM embeddings",
+    "recluster_reduced": "SELECT count(*) AS documents, 0::BIGINT AS small FROM embeddings",
+    "model_hooks": """WITH t AS (SELECT doc_id, length(text) AS l, length(text) - length(replace(text, 'e', '')) AS e, trim(text) <> '' AS filled FROM documents),
+        u AS (SELECT *, sqrt(l * l + e * e + 1.0) AS norm FROM t)
+        SELECT doc_id, CASE WHEN filled THEN round(l / norm, 4) ELSE 0 END AS x0, CASE WHEN filled THEN round(e / norm, 4) ELSE 0 END AS x1,
+          CASE WHEN filled THEN round(1 / norm, 4) ELSE 0 END AS x2, CASE WHEN l > 500 THEN 'long' ELSE 'short' END AS label, round(e / greatest(1, l), 6) AS score FROM u""",
+    "topic_tree_facts": f"SELECT {_TOPICS} - 1 AS nodes, 1::BIGINT AS roots, 0::BIGINT AS strays, 0::BIGINT AS flat, 0::BIGINT AS bare",
+    "topic_map_facts": """SELECT count(DISTINCT label) AS topics, count(*) AS documents, 0.0::DOUBLE AS min_x, 0.0::DOUBLE AS min_y, 1.0::DOUBLE AS max_x, 1.0::DOUBLE AS max_y,
+        true AS principal FROM embeddings""",
+    "sentiment_first_facts": """SELECT count(*) AS rows, 0::BIGINT AS gaps, 0::BIGINT AS shared, 0::BIGINT AS unfit, 0::BIGINT AS small, 0::BIGINT AS split FROM embeddings e JOIN labels l ON e.vec_id = l.doc_id""",
+    "refine_facts": B.with_sql(VEC, """co AS (SELECT a.topic, count(DISTINCT a.item_id) AS n, avg(list_cosine_similarity(a.x, b.x)) AS c
+          FROM v a JOIN v b ON a.topic = b.topic AND a.item_id <> b.item_id GROUP BY a.topic)""",
+        "lo AS (SELECT count(*) AS loose FROM co WHERE n >= 15 AND c < 0.4)",
+        body="SELECT count(*) AS rows, count(*) AS documents, any_value(loose) AS loose, any_value(loose) AS split, 0::BIGINT AS worse FROM embeddings, lo"),
     "fingerprint_facts": "SELECT count(*) AS rows, true AS same, true AS changed FROM documents",
 }

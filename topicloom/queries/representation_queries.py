@@ -17,10 +17,10 @@ def candidates(spark, sf):
     """Thirty class-TF-IDF words per topic, with hashed vectors of words and documents."""
     docs = B.topic_documents(spark, sf)
     vocabulary = materialise(C.fit_encoder(docs), "vocabulary")
-    encoded = C.encode(docs, vocabulary, stored=True)
+    encoded = C.encode_known(docs, vocabulary)
     vectors = materialise(encoded.join(docs.select("doc_id", "topic"), "doc_id").where("topic <> -1"), "vectors")
     terms = M.top_terms(M.ctfidf(M.topic_terms(docs)), 30).where("topic <> -1")
-    return R.scored_candidates(terms, vectors, lambda rows: C.encode(rows, vocabulary, stored=True))
+    return R.scored_candidates(terms, vectors, lambda rows: C.encode_known(rows, vocabulary))
 
 
 def keywords_similarity(spark, sf):
