@@ -614,3 +614,11 @@ def test_chunks_answer_questions_of_their_topic_only(spark, tmp_path):
     assert got[1]["topic_filter"] == 0 and got[1]["context"].startswith("Currently viewing Topic 0: Label 0") and "[from Topic 1]" not in got[1]["context"]
     assert got[2]["topic_filter"] is None and "[from Topic 1]" in got[2]["context"] and "relevance" in got[2]["sources"]
     assert got[3]["topic_filter"] is None
+
+
+def test_phrases_scored_in_rows_equal_joined_ones(spark, rows):
+    docs = spark.createDataFrame([(i, text, topic) for i, text, topic in documents(120, 3)] + [(500, "", 0), (501, None, 1)], "doc_id bigint, text string, topic int")
+    for options in ({}, {"words_apart": True, "max_features": 6}):
+        both = [rows(M.top_phrases(docs, 1, 3, 8, in_rows=n, **options), "topic", "rank", "term", "score") for n in (1_000_000, 0)]
+        assert both[0] == both[1] and len(both[0]) >= 24
+    assert M.top_phrases(docs.where("doc_id >= 500"), 1, 2, 5).count() == 0

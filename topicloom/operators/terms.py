@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,17 +30,22 @@ def counted(terms: Column) -> Column:
     return F.when(F.size(terms) > 0, T.let(F.sort_array(terms), runs)).otherwise(none)
 
 
+def _term_rows(df: DataFrame, low: int, high: int, keys: tuple[str, ...], stop_words: list[str], min_chars: int) -> DataFrame:
+    """(keys..., terms): the n-grams of each row's text, repeats included."""
+    tokens = df.select(*keys, T.without(T.word_tokens(F.col("text")), stop_words, min_chars).alias("tokens"))
+    return tokens.select(*keys, _terms(F.col("tokens"), low, high).alias("terms"))
+
+
 def document_terms(df: DataFrame, low: int = 1, high: int = 1, keys: tuple[str, ...] = ("doc_id",),
                    stop_words: list[str] = ENGLISH_STOP_WORDS, min_chars: int = 2) -> DataFrame:
     """(keys..., term, n): n-gram counts per document, or per topic, after stop words are dropped.
 
     A document is one row, so its counts come from the row itself, without an exchange.
     """
-    tokens = df.select(*keys, T.without(T.word_tokens(F.col("text")), stop_words, min_chars).alias("tokens"))
-    terms = _terms(F.col("tokens"), low, high)
+    rows = _term_rows(df, low, high, keys, stop_words, min_chars)
     if "doc_id" in keys:
-        return tokens.select(*keys, terms.alias("terms")).select(*keys, F.inline(counted(F.col("terms"))))
-    return tokens.select(*keys, F.explode(terms).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("n"))
+        return rows.select(*keys, F.inline(counted(F.col("terms"))))
+    return rows.select(*keys, F.explode("terms").alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("n"))
 
 
 def count_terms(df: DataFrame, low: int = 1, high: int = 1, min_df: int = 1, max_df: float = 1.0,
@@ -52,15 +61,19 @@ def count_terms(df: DataFrame, low: int = 1, high: int = 1, min_df: int = 1, max
     return kept
 
 
+PHRASE_TERMS = 1_000_000  # 32 bytes each
+
+
 def top_phrases(df: DataFrame, low: int, high: int, k: int, min_df: int = 2, max_features: int | None = None,
-                stop_words: list[str] = ENGLISH_STOP_WORDS, words_apart: bool = False) -> DataFrame:
+                stop_words: list[str] = ENGLISH_STOP_WORDS, words_apart: bool = False, in_rows: int = PHRASE_TERMS) -> DataFrame:
     """(topic, rank, term, score): the terms of each topic with the largest summed TF-IDF.
 
     Smooth idf inside the topic, each document's vector has length one; all topics in
     one job.  With ``words_apart`` single words and longer phrases are scored and
     ranked apart, told by a column ``phrase``.  Texts are read twice: once for the
     vocabulary, once for the scores of its terms only, which is cheaper than keeping
-    every n-gram of every document.
+    every n-gram of every document.  Up to ``in_rows`` terms (counted; 32 MB) the vocabulary travels to the tasks, a document
+    is scored in its row and a task hands on one sum for each term; a larger one is joined by term.
     """
     is_phrase = F.contains("term", F.lit(" ")) if words_apart else F.lit(False)
     group, keys = ["topic", "phrase"], ("topic", "doc_id")
@@ -71,18 +84,59 @@ def top_phrases(df: DataFrame, low: int, high: int, k: int, min_df: int = 2, max
     if max_features is not None:
         vocabulary = top_k(vocabulary, group, [F.col("total").desc(), F.col("term")], max_features).drop("rank")
     idf = materialise(lookup_join(vocabulary, sizes, ["topic"], stored=True).select(
-        "topic", "term", (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1).alias("idf"),
+        *group, "term", (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1).alias("idf"),
         (F.col("df") > 0.01 * F.col("docs")).alias("hot")), "idf")
-    counts = document_terms(df, low, high, keys=keys, stop_words=stop_words)
-    known = lookup_join(counts, idf, ["topic", "term"], stored=True, hot=F.col("hot"))
-    weighted = known.select(*keys, "term", (F.col("n") * F.col("idf")).alias("w")).withColumn("phrase", is_phrase)
-    per_document = Window.partitionBy(*keys, "phrase")
-    scored = weighted.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(per_document)))
-    summed = scored.groupBy(*group, "term").agg(F.round(F.sum("w"), 9).alias("score"))
+    if idf.limit(in_rows + 1).count() <= in_rows:
+        summed = _sums_in_rows(_term_rows(df, low, high, keys, stop_words, 2), idf)
+    else:
+        counts = document_terms(df, low, high, keys=keys, stop_words=stop_words)
+        known = lookup_join(counts, idf, ["topic", "term"], stored=True, hot=F.col("hot"))
+        weighted = known.select(*keys, "phrase", "term", (F.col("n") * F.col("idf")).alias("w"))
+        per_document = Window.partitionBy(*keys, "phrase")
+        scored = weighted.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(per_document)))
+        summed = scored.groupBy(*group, "term").agg(F.round(F.sum("w"), 9).alias("score"))
     best = top_k(summed, group, [F.col("score").desc(), F.col("term").desc()], k)
     return best if words_apart else best.drop("phrase")
 
 
+def _sums_in_rows(rows: DataFrame, idf: DataFrame) -> DataFrame:
+    """(topic, phrase, term, score): summed weights of the known terms of (topic, doc_id, terms), each document's vector of length one.
+
+    A term is known by two hashes of (topic, term), so another one is not taken for it.
+    """
+    hashes = lambda topic, term: (F.xxhash64(topic, term), F.xxhash64(term, topic))
+    one, two = hashes(F.col("topic"), F.col("term"))
+    keyed = idf.select("topic", "phrase", "term", one.alias("h"), two.alias("g"), "idf")
+    packed = keyed.select("h", "g", "idf", "phrase").orderBy("h").toArrow()  # counted by the caller
+    shared = rows.sparkSession.sparkContext.broadcast(tuple(packed.column(i).to_numpy() for i in range(4)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h, g, weight, phrase = shared.value
+        total = np.zeros(len(h))
+        for batch in batches:
+            if not batch.num_rows or not len(h):
+                continue
+            pairs = batch.column(0).flatten()
+            first, second = (pairs.field(i).to_numpy() for i in range(2))
+            owner = np.repeat(np.arange(batch.num_rows), np.diff(batch.column(0).offsets.to_numpy()))
+            at = np.minimum(np.searchsorted(h, first), len(h) - 1)
+            hit = (h[at] == first) & (g[at] == second)
+            # how often a document has a term: the runs of equal (document, term)
+            pair = np.sort(owner[hit] * len(h) + at[hit])
+            starts = np.flatnonzero(np.append(True, pair[1:] != pair[:-1])) if len(pair) else np.empty(0, int)
+            n, (owner, at) = np.diff(np.append(starts, len(pair))), np.divmod(pair[starts], len(h))
+            part, w = owner * 2 + phrase[at], n * weight[at]
+            length = np.sqrt(np.bincount(part, w * w, 2 * batch.num_rows).astype("float64"))
+            total += np.bincount(at, w / length[part], len(h))
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(h[used]), pa.array(g[used]), pa.array(total[used])], names=["h", "g", "w"])
+
+    hashed = F.transform("terms", lambda t: F.struct(F.xxhash64("topic", t).alias("h"), F.xxhash64(t, "topic").alias("g")))
+    arrays = rows.where(F.size("terms") > 0).select(hashed.alias("pairs"))
+    parts = arrays.mapInArrow(run, "h bigint, g bigint, w double").groupBy("h", "g").agg(F.round(F.sum("w"), 9).alias("score"))
+    return parts.join(keyed, ["h", "g"]).select("topic", "phrase", "term", "score")
+
+
 def topic_terms(df: DataFrame, low: int = 1, high: int = 1, keys: tuple[str, ...] = ("topic",),
                 stop_words: list[str] = ENGLISH_STOP_WORDS, min_chars: int = 2) -> DataFrame:
     """(keys..., term, n): counts over all documents of a topic."""

@@ -20,6 +20,7 @@ from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 MAX_TOPICS = 2000          # the largest topic count the interactive tool offers
 BROADCAST_ROWS = 100_000   # bound for a broadcast side, checked by a count
+BROADCAST_BYTES = 64 << 20  # and by the size of its stored columns
 BLOCK_ROWS = 4096          # rows of a matrix block shipped to tasks
 
 
@@ -55,17 +56,23 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(cores, *keys) if keys else df.repartition(cores)
 
 
+def stored_bytes(table: DataFrame) -> int:
+    """What the plan knows of the stored size of a table's columns; 0 where it knows nothing."""
+    size = int(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return 0 if size >= 1 << 60 else size
+
+
 def lookup_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", max_rows: int = BROADCAST_ROWS,
                 salts: int = 16, stored: bool = False, hot: Column | None = None) -> DataFrame:
     """Join a row-sized table to a lookup table.
 
-    The lookup side is stored and counted.  Up to ``max_rows`` it is broadcast, so
+    The lookup side is stored and counted.  Up to ``max_rows`` and ``BROADCAST_BYTES`` it is broadcast, so
     the row-sized side is not shuffled.  Beyond that it is a shuffle join in which
     a key with a third of all rows is shared by ``salts`` tasks: every key is
     salted, or only the lookup rows for which ``hot`` holds when those are few.
     """
     table = small if stored else materialise(small, "lookup")
-    if table.limit(max_rows + 1).count() <= max_rows:
+    if stored_bytes(table) <= BROADCAST_BYTES and table.limit(max_rows + 1).count() <= max_rows:
         return big.join(F.broadcast(table), on, how)
     part = F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int")
     parts = F.sequence(F.lit(0), F.lit(salts - 1))
