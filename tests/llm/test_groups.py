@@ -285,6 +285,10 @@ def test_chat_cases(spark):
     assert by[None, 0, "call", "q"].errors == "type:limit,reference:after"
     assert by[1, 0, "message", None].json == json.dumps({"content": "find é\n\"x\"", "role": "user"}, ensure_ascii=False, separators=(",", ":"))
     assert by[2, 0, "message", None].status == "message" and (4, None, "message", None) in by
+    assert by[3, 0, "message", None].json == '{"role":"assistant"}'  # neither content nor a readable call
+    bare = spark.createDataFrame([(1, 0, "assistant", None, "[]", None), (1, 1, "assistant", None, "{", None), (1, 2, "user", "x", "[]", None)], MESSAGES)
+    kept = chat.format_chats(bare, spark.createDataFrame(TOOLS, "tool string, field string, type string, required boolean")).collect()
+    assert sorted((r.turn, r.kind) for r in kept) == [(0, "message"), (1, "message"), (2, "message")]
     placed = sorted((r for r in got if r.conv_id == 1 and r.status == "linked"), key=lambda r: (r.order_turn, r.order_level, r.order_kind, r.turn))
     assert [(r.kind, r.call_id) for r in placed] == [("call", "a"), ("result", "a"), ("call", "b"), ("result", "b")]
     assert chat.format_chats(df.limit(0), spark.createDataFrame(TOOLS, "tool string, field string, type string, required boolean")).count() == 0

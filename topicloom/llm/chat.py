@@ -9,7 +9,7 @@ puts each call before its result and behind the results it builds on.  Rows stay
 Status: ``linked``, ``unanswered`` (no result), ``orphan`` (result without a call), ``duplicate`` (identifier used before in the conversation), ``cycle`` (calls that build on each
 other in a circle); ``message`` for the rest.
 
-Defined cases: null or unreadable ``tool_calls`` hold no calls; a call without an identifier or conversation is ``unanswered``; a null content is left out of the JSON; a reference to an unknown call is
+Defined cases: null, empty or unreadable ``tool_calls`` hold no calls, and such a message is a row of its own; a call without an identifier or conversation is ``unanswered``; a null content is left out of the JSON; a reference to an unknown call is
 listed as an error and counts as none; of several calls or results with one identifier the earliest turn is linked, repeated rows are duplicates of each other (one of them is linked); an empty
 table gives no rows; other columns are ignored.
 """
@@ -118,7 +118,9 @@ def format_chats(messages: DataFrame, tools: DataFrame) -> DataFrame:
         F.lit("").alias("errors"), F.when(answers & ~F.col("cycle"), F.greatest("turn", "call_turn")).otherwise(F.col("turn")).alias("order_turn"),
         F.when(answers & ~F.col("cycle"), F.col("level")).otherwise(0).alias("order_level"), F.lit(1).alias("order_kind"),
         F.to_json(F.struct("content", F.col("call_id").alias("id"), F.lit("tool").alias("role"))).alias("json"))
-    plain = messages.where("tool_call_id IS NULL AND (content IS NOT NULL OR tool_calls IS NULL)").select(
+    # a message that holds no readable call is a row of its own, whatever else it lacks
+    held = "coalesce(size(try_variant_get(try_parse_json(tool_calls), '$', 'array<variant>')), 0)"
+    plain = messages.where(f"tool_call_id IS NULL AND (content IS NOT NULL OR {held} <= 0)").select(
         "conv_id", "turn", F.lit("message").alias("kind"), F.lit(None).cast("string").alias("call_id"), F.lit(None).cast("string").alias("tool"),
         F.lit("message").alias("status"), F.lit("").alias("errors"), F.col("turn").alias("order_turn"), F.lit(0).alias("order_level"),
         F.lit(0).alias("order_kind"), F.to_json(F.struct("content", "role")).alias("json"))
