@@ -132,7 +132,7 @@ def _sums_in_rows(rows: DataFrame, idf: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(h[used]), pa.array(g[used]), pa.array(total[used])], names=["h", "g", "w"])
 
     hashed = F.transform("terms", lambda t: F.struct(F.xxhash64("topic", t).alias("h"), F.xxhash64(t, "topic").alias("g")))
-    arrays = rows.where(F.size("terms") > 0).select(hashed.alias("pairs"))
+    arrays = rows.select(hashed.alias("pairs"))
     parts = arrays.mapInArrow(run, "h bigint, g bigint, w double").groupBy("h", "g").agg(F.round(F.sum("w"), 9).alias("score"))
     return parts.join(keyed, ["h", "g"]).select("topic", "phrase", "term", "score")
 
