@@ -490,6 +490,7 @@ def group_topic_offsets(grouped: DataFrame, order: list[str]) -> DataFrame:
 
 def auto_params(rows: DataFrame, min_topic_size: int = 10) -> DataFrame:
     """(profile, parameter, value): what the row count suggests, for the three profiles in use."""
+    # The limits of size classes and what each class suggests, in all expressions below.
     n = F.col("n")
     root = F.sqrt(n.cast("double"))
     whole = lambda c: F.floor(c).cast("int")

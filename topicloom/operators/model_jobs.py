@@ -204,6 +204,13 @@ def _strip_chars(text: Column, chars: str) -> Column:
     return F.regexp_replace(text, f"^[{chars}]+|[{chars}]+$", "")
 
 
+# Fixed values of the response formats: characters stripped from labels, limits (characters, words), refused texts.
+STRICT_STRIP, LENIENT_STRIP = "\"'.,;", r" \"'.,;\[\](){}"
+LENIENT_LINE = r"(?is)^(?:topic\s*)?(\d+)[\s:.)]+(.+)$"
+STRICT_LIMITS, LENIENT_LIMITS = (5, 70, 2, 8), (5, 200, 2, 20)
+LENIENT_REFUSED = ["help buy", "question buy", "[", "]"]
+
+
 def parse_labels(responses: DataFrame, id_column: str = "batch", strict: bool = False, sizes: DataFrame | None = None) -> DataFrame:
     """(id, number, label) from response texts of lines ``number: label``.
 
@@ -217,16 +224,15 @@ def parse_labels(responses: DataFrame, id_column: str = "batch", strict: bool =
     if strict:
         head = F.regexp_extract("_t", r"(?is)^(topic [^:]*):.*$", 1)
         number = F.regexp_replace(head, r"[^0-9]", "")
-        label = _strip_chars(F.trim(F.regexp_extract("_t", r"(?is)^topic [^:]*:(.*)$", 1)), "\"'.,;")
-        low_chars, high_chars, low_words, high_words = 5, 70, 2, 8
+        label = _strip_chars(F.trim(F.regexp_extract("_t", r"(?is)^topic [^:]*:(.*)$", 1)), STRICT_STRIP)
+        low_chars, high_chars, low_words, high_words = STRICT_LIMITS
         bad = LABEL_PLACEHOLDERS
     else:
-        pattern = r"(?is)^(?:topic\s*)?(\d+)[\s:.)]+(.+)$"
-        number = F.regexp_extract("_t", pattern, 1)
-        label = T.squeeze(_strip_chars(F.trim(F.regexp_extract("_t", pattern, 2)), r" \"'.,;\[\](){}"))
+        number = F.regexp_extract("_t", LENIENT_LINE, 1)
+        label = T.squeeze(_strip_chars(F.trim(F.regexp_extract("_t", LENIENT_LINE, 2)), LENIENT_STRIP))
         label = F.regexp_replace(label, r"(?i)^(category name|label):\s*", "")
-        low_chars, high_chars, low_words, high_words = 5, 200, 2, 20
-        bad = ["help buy", "question buy", "[", "]"]
+        low_chars, high_chars, low_words, high_words = LENIENT_LIMITS
+        bad = LENIENT_REFUSED
     rows = lines.select(id_column, "line", number.try_cast("int").alias("number"), label.alias("label"))
     words = F.filter(F.split("label", WHITESPACE), lambda w: w != "")
     rows = rows.withColumn("_w", words).withColumn("_low", F.lower("label"))
