@@ -23,7 +23,7 @@ QUERIES = [
     "samples_per_topic", "balance_summary", "topic_centroids", "topic_similarity", "topics_over_time", "sentiment_by_topic",
     "split_by_sentiment", "ctfidf", "term_counts", "top_phrases", "human_labels", "embed", "vector_math", "knn_exact", "knn_ivf",
     "semantic_search", "text_search", "assign_nearest", "merge_small_topics", "membership", "outliers_ctfidf", "representatives",
-    "kmeans_sizes", "ngram_counts", "mmr", "hierarchy", "density_cluster", "sentiment_first", "answer_batch", "recluster",
+    "kmeans_sizes", "ngram_counts", "knn_pruned", "subtopic_sizes", "mmr", "hierarchy", "density_cluster", "sentiment_first", "answer_batch", "recluster",
 ]
 
 
