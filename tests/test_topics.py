@@ -622,3 +622,63 @@ def test_phrases_scored_in_rows_equal_joined_ones(spark, rows):
         both = [rows(M.top_phrases(docs, 1, 3, 8, in_rows=n, **options), "topic", "rank", "term", "score") for n in (1_000_000, 0)]
         assert both[0] == both[1] and len(both[0]) >= 24
     assert M.top_phrases(docs.where("doc_id >= 500"), 1, 2, 5).count() == 0
+
+
+def sparse_tables(spark, seed, topics, docs, terms):
+    """(counts, weights, best): random Zipf tables and each document's best (score, topic), from a plain loop over all pairs."""
+    rng = np.random.default_rng(seed)
+    chance = 1 / np.arange(1, terms + 1)
+    chance /= chance.sum()
+    weights, counts = {}, {}
+    idf = np.log(1 + 3 / chance / 1000) + 0.1
+    for t in range(-1, topics):
+        for x in set(rng.choice(terms, 12, p=chance).tolist()):
+            weights[t, x] = float(rng.uniform(0.1, 1) * idf[x])
+    for d in range(docs):
+        for x, n in zip(*np.unique(rng.choice(terms, 9, p=chance), return_counts=True)):
+            counts[d, int(x)] = int(n)
+    known = {x for _, x in weights}
+    of_topic, of_doc = {}, {}
+    for (t, x), w in weights.items():
+        of_topic.setdefault(t, {})[x] = w
+    for (d, x), n in counts.items():
+        of_doc.setdefault(d, {}).update({x: n * float(idf[x])} if x in known else {})
+    size = lambda v: sum(a * a for a in v.values()) ** 0.5
+    best = {}
+    for d, v in of_doc.items():
+        found = [(round(sum(a * w.get(x, 0) for x, a in v.items()) / size(v) / size(w), 10), -t) for t, w in of_topic.items() if t >= 0 and v.keys() & w.keys()]
+        if found:
+            best[d] = (max(found)[0], -max(found)[1])
+    counted = spark.createDataFrame([(d, f"w{x}", n) for (d, x), n in counts.items()], "doc_id bigint, term string, n bigint")
+    weighted = spark.createDataFrame([(t, f"w{x}", w, float(idf[x])) for (t, x), w in weights.items()], "topic int, term string, weight double, idf double")
+    return counted, weighted, best
+
+
+@pytest.mark.parametrize("seed, topics, threshold", [(1, 30, 0.1), (2, 30, 0.45), (3, 30, 0.0), (4, 2500, 0.3)])
+def test_similar_topics_equal_all_pairs(spark, seed, topics, threshold):
+    counts, weights, best = sparse_tables(spark, seed, topics, 60, 80)
+    found = {r["doc_id"]: (r["score"], r["topic"]) for r in D.similar_topics(counts, weights, threshold).collect()}
+    wanted = {d: b for d, b in best.items() if b[0] >= threshold}
+    assert found.keys() == wanted.keys()
+    assert all(found[d][0] == pytest.approx(wanted[d][0], abs=2e-10) and found[d][1] == wanted[d][1] for d in wanted)
+
+
+def test_common_terms_stay_out_of_the_first_join(spark):
+    counts, weights, _ = sparse_tables(spark, 5, 200, 60, 80)
+    topics = D.unit_topics(weights)
+    low, high = (D.split_documents(counts, weights, topics, t).collect() for t in (0.1, 0.6))
+    assert sum(len(r["tail"]) for r in high) > sum(len(r["tail"]) for r in low) >= 0
+    assert all(r["rest"] < 0.6 for r in high) and all(r["rest"] < 0.1 for r in low)
+    met = {r["term"]: r["n"] for r in topics.groupBy("term").agg(F.count("*").alias("n")).collect()}
+    for r in high:
+        heads, tails = ([met[x["term"]] for x in part] for part in (r["head"], r["tail"]))
+        assert not heads or not tails or max(heads) <= min(tails)
+
+
+def test_outliers_without_topics_or_terms_stay(spark):
+    counts, weights, _ = sparse_tables(spark, 6, 5, 4, 20)
+    rows = assignment(spark, [-1, -1, 0, -1])
+    none = D.reduce_outliers_ctfidf(rows, counts, weights.where("topic = -1"))
+    assert sorted(tuple(r) for r in none.collect()) == [(0, -1), (1, -1), (2, 0), (3, -1)]
+    empty = D.reduce_outliers_ctfidf(rows, counts.limit(0), weights)
+    assert sorted(tuple(r) for r in empty.collect()) == [(0, -1), (1, -1), (2, 0), (3, -1)]

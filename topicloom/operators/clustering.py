@@ -169,6 +169,10 @@ def membership(vectors: DataFrame, centers: DataFrame, scale: float = 1.0, block
 
 # --- outliers ---------------------------------------------------------------------------------
 
+HOT_IDF = 4.6  # terms below it may be in most documents
+SLACK = 1e-9   # bounds are compared with room for rounding
+
+
 def outlier_ratio(assignment: DataFrame) -> float:
     return assignment.agg(F.avg((F.col("topic") == -1).cast("double"))).first()[0] or 0.0
 
@@ -186,32 +190,76 @@ def reduce_outliers_prob(assignment: DataFrame, probabilities: DataFrame, thresh
     return rows.select("doc_id", F.when(F.col("topic") == -1, F.coalesce("_to", "topic")).otherwise(F.col("topic")).alias("topic"))
 
 
+def unit_topics(weights: DataFrame) -> DataFrame:
+    """Stored (term, topic, u, idf): the topics' class-TF-IDF vectors, each of length one; outliers are no topic."""
+    inliers = weights.where(F.col("topic") != -1)
+    lengths = inliers.groupBy("topic").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("length"))
+    return materialise(lookup_join(inliers, lengths, ["topic"]).where("length > 0").select(
+        "term", "topic", (F.col("weight") / F.col("length")).alias("u"), "idf"), "unit-topics")
+
+
+def split_documents(document_counts: DataFrame, weights: DataFrame, topics: DataFrame, threshold: float) -> DataFrame:
+    """(doc_id, head, tail, rest): a document's terms as arrays of (term, v), its vector v of length one.
+
+    Terms stand by the number of topics that have them.  The tail is the longest end of that order whose share in a cosine is under ``threshold`` for every topic;
+    ``rest`` is its upper bound.  So a topic without a term of the head is not similar enough, and the terms of most topics meet none of them.
+    """
+    idf = weights.groupBy("term").agg(F.max("idf").alias("idf"))
+    most = topics.groupBy("term").agg(F.max("u").alias("most"), F.count("*").alias("topics"))
+    # low idf marks the few terms that may be in most documents
+    known = lookup_join(document_counts, idf.join(most, "term", "left"), ["term"], hot=F.col("idf") < HOT_IDF)
+    rows = known.withColumn("v", F.col("n") * F.col("idf")).groupBy("doc_id").agg(
+        F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("length"),
+        F.collect_list(F.when(F.col("topics") > 0, F.struct("topics", "term", "v", "most"))).alias("terms"))
+    v = lambda t: t["v"] / F.col("length")
+    limit = F.lit(float(threshold) - SLACK)
+    start = F.struct(F.lit(0.0).alias("rest"), F.lit(0).alias("n"), F.lit(True).alias("open"))
+
+    def step(acc, t):
+        rest = acc["rest"] + v(t) * t["most"]
+        fits = acc["open"] & (rest < limit)
+        return F.struct(F.when(fits, rest).otherwise(acc["rest"]).alias("rest"), (acc["n"] + fits.cast("int")).alias("n"), fits.alias("open"))
+
+    rows = rows.where(F.col("length") > 0).withColumn("terms", F.sort_array("terms", asc=False))
+    rows = rows.withColumn("cut", F.aggregate("terms", start, step))
+    parts = F.transform("terms", lambda t: F.struct(t["term"].alias("term"), v(t).alias("v")))
+    return rows.withColumn("parts", parts).select(
+        "doc_id", F.slice("parts", F.col("cut.n") + 1, F.size("parts")).alias("head"), F.slice("parts", 1, F.col("cut.n")).alias("tail"),
+        F.col("cut.rest").alias("rest"))
+
+
+def similar_topics(document_counts: DataFrame, weights: DataFrame, threshold: float = 0.1) -> DataFrame:
+    """(doc_id, topic, score): the topic with the most similar class-TF-IDF vector, of documents that have one with a cosine of ``threshold`` or more.
+
+    A sparse join with a prefix filter: the heads of documents meet the topics that have their terms; a topic whose sum over the head, with the bound of the tail, stays under
+    ``threshold`` or under the document's best sum is left out; the others are looked up term by term.  Any number of topics and terms; weights are not negative; ties go to the smaller topic.
+    """
+    topics = unit_topics(weights)
+    hot = F.col("idf") < HOT_IDF
+    docs = materialise(split_documents(document_counts, weights, topics, threshold), "split")
+    heads = docs.select("doc_id", F.inline("head"))
+    sums = lookup_join(heads, topics, ["term"], stored=True, hot=hot).groupBy("doc_id", "topic").agg(F.sum(F.col("v") * F.col("u")).alias("sum"))
+    sums = materialise(sums, "head-sums")
+    best = sums.groupBy("doc_id").agg(F.max("sum").alias("best"))
+    known = docs.where(F.size("head") > 0).select("doc_id", "tail", "rest").join(best, "doc_id")
+    left = sums.join(known, "doc_id").where(F.col("sum") + F.col("rest") >= F.greatest("best", F.lit(float(threshold))) - SLACK)
+    tails = left.select("doc_id", "topic", F.inline("tail"))
+    added = lookup_join(tails, topics.select("topic", "term", "u"), ["topic", "term"], stored=True).select(
+        "doc_id", "topic", (F.col("v") * F.col("u")).alias("sum"))
+    scored = left.select("doc_id", "topic", "sum").unionByName(added).groupBy("doc_id", "topic").agg(F.round(F.sum("sum"), SCORE_DIGITS).alias("score"))
+    top = scored.groupBy("doc_id").agg(F.max(F.struct("score", (-F.col("topic")).alias("t"))).alias("b"))
+    return top.where(F.col("b.score") >= threshold).select("doc_id", (-F.col("b.t")).alias("topic"), F.col("b.score").alias("score"))
+
+
 def reduce_outliers_ctfidf(assignment: DataFrame, document_counts: DataFrame, weights: DataFrame, threshold: float = 0.1) -> DataFrame:
     """Outliers move to the topic with the most similar class-TF-IDF vector.
 
     ``document_counts`` is (doc_id, term, n), ``weights`` is (topic, term, weight, idf).
     """
     outliers = assignment.where(F.col("topic") == -1).select("doc_id")
-    terms = document_counts.join(outliers, "doc_id", "left_semi")
-    inlier = F.col("topic") != -1
-    # a list holds one entry per topic; low idf marks the few terms that may be in most documents
-    per_term = weights.groupBy("term").agg(
-        F.max("idf").alias("idf"), F.collect_list(F.when(inlier, F.struct("topic", "weight"))).alias("w"))
-    norms = bounded_rows(weights.where(inlier).groupBy("topic").agg(
-        F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm")), MAX_TOPICS, "the topic table")
-    joined = lookup_join(terms, per_term, ["term"], hot=F.col("idf") < 4.6)
-    # the share n / words scales a document's whole vector, so the cosine does not need it;
-    # the entry for topic -1 adds up the squared length of the document's vector
-    weighted = joined.withColumn("d", F.col("n") * F.col("idf")).select("doc_id", "d", F.explode(F.concat(
-        "w", F.array(F.struct(F.lit(-1).alias("topic"), F.col("d").alias("weight"))))).alias("x"))
-    dots = weighted.groupBy("doc_id", F.col("x.topic").alias("topic")).agg(F.sum(F.col("d") * F.col("x.weight")).alias("dot"))
-    t_norm = F.try_element_at(F.create_map(*[F.lit(v) for r in norms for v in (r["topic"], r["norm"])]), F.col("topic")) if norms else F.lit(None)
-    per_document = dots.withColumn("s", F.when(inlier, F.col("dot") / t_norm)).groupBy("doc_id").agg(
-        F.sqrt(F.max(F.when(~inlier, F.col("dot")))).alias("d_norm"),
-        F.collect_list(F.when(inlier, F.struct("s", "topic"))).alias("c"))  # one entry per topic
-    best = per_document.select("doc_id", F.array_max(F.transform("c", lambda e: F.struct(
-        F.round(e["s"] / F.col("d_norm"), SCORE_DIGITS).alias("s"), (-e["topic"]).alias("t")))).alias("b"))
-    moved = best.where(F.col("b.s") >= threshold).select("doc_id", (-F.col("b.t")).alias("_to"))
+    # the share n / words scales a document's whole vector, so the cosine does not need it
+    found = similar_topics(document_counts.join(outliers, "doc_id", "left_semi"), weights, threshold)
+    moved = found.select("doc_id", F.col("topic").alias("_to"))
     return assignment.join(moved, "doc_id", "left").select("doc_id", F.coalesce("_to", "topic").alias("topic"))
 
 
