@@ -243,8 +243,9 @@ def similar_topics(document_counts: DataFrame, weights: DataFrame, threshold: fl
     best = sums.groupBy("doc_id").agg(F.max("sum").alias("best"))
     known = docs.where(F.size("head") > 0).select("doc_id", "tail", "rest").join(best, "doc_id")
     left = sums.join(known, "doc_id").where(F.col("sum") + F.col("rest") >= F.greatest("best", F.lit(float(threshold))) - SLACK)
+    left = materialise(left.select("doc_id", "topic", "sum", "tail"), "left")
     tails = left.select("doc_id", "topic", F.inline("tail"))
-    added = lookup_join(tails, topics.select("topic", "term", "u"), ["topic", "term"], stored=True).select(
+    added = lookup_join(tails, topics, ["topic", "term"], stored=True, hot=hot).select(
         "doc_id", "topic", (F.col("v") * F.col("u")).alias("sum"))
     scored = left.select("doc_id", "topic", "sum").unionByName(added).groupBy("doc_id", "topic").agg(F.round(F.sum("sum"), SCORE_DIGITS).alias("score"))
     top = scored.groupBy("doc_id").agg(F.max(F.struct("score", (-F.col("topic")).alias("t"))).alias("b"))
