@@ -56,6 +56,63 @@ def test_filter_masks_have_no_false_negatives(make_docs):
     assert (model.rates < 0.01).all() and np.all(model.rates > 0)
 
 
+def plain_sets(labelled, rules):
+    """Trigram counts, sets and covered shares of each language, with plain dictionaries."""
+    counts = {}
+    for _, text, lang in labelled:
+        padded = " " + "".join(c if c.isalpha() else " " for c in text.lower()) + " "
+        for i in range(1, len(padded) - 1):
+            if padded[i] != " ":
+                of = counts.setdefault(lang, {})
+                of[padded[i - 1:i + 2]] = of.get(padded[i - 1:i + 2], 0) + 1
+    sets = {}
+    for lang, of in counts.items():
+        total, least = sum(of.values()), 1
+        while sum(n for n in of.values() if n >= 2 * least) >= rules.covered * total:
+            least *= 2
+        share = lambda t, x: counts[x].get(t, 0) / sum(counts[x].values())
+        sets[lang] = {t for t, n in of.items() if n >= least and share(t, lang) >= rules.relative_share * max(share(t, x) for x in counts)}
+    return counts, sets
+
+
+def test_language_decides_as_exact_sets_do(make_docs):
+    """With slots to spare the filter answers as sets of trigrams would."""
+    rules = language.FilterRules(covered=0.9, slots_per_entry=4096)
+    labelled = [(i, PROSE[lang], lang) for i, lang in enumerate(sorted(PROSE))]
+    counts, sets = plain_sets(labelled, rules)
+    model = language.train_filter(make_docs(labelled), rules)
+    assert all(own == pytest.approx(sum(n for t, n in counts[x].items() if t in sets[x]) / sum(counts[x].values())) for x, own in zip(model.languages, model.own))
+    asked = [" ".join(PROSE[lang].split()[i:i + 4]) for lang in sorted(PROSE) for i in range(0, 24, 2)]
+    names, scores, _ = language.decide(asked, model)
+    for text, name, score in zip(asked, names, scores):
+        own = plain_sets([(0, text, "x")], rules)[0]["x"]
+        exact = {x: sum(n for t, n in own.items() if t in sets[x]) / sum(own.values()) for x in model.languages}
+        assert score == pytest.approx(max(exact.values()), abs=0.02) and exact[name] >= max(exact.values()) - 0.02
+
+
+def test_large_alphabet_keeps_its_text(make_docs):
+    """Thousands of letters: no trigram is frequent, the text is covered all the same and clean documents stay."""
+    rng = random.Random(3)
+    words = ["".join(chr(0x4E00 + rng.randrange(6000)) for _ in range(2)) for _ in range(3000)]
+    texts = ["".join(words[min(2999, int(rng.paretovariate(0.6)))] for _ in range(400)) for _ in range(150)]
+    rows = [(i, t, "zh") for i, t in enumerate(texts[:100])] + [(1000 + i, PROSE[x], x) for i, x in enumerate(sorted(PROSE))]
+    fresh = make_docs([(2000 + i, t, None) for i, t in enumerate(texts[100:])])
+    model = language.train_filter(make_docs(rows))
+    assert model.own[model.languages.index("zh")] >= 0.99
+    assert {r.lang_pred for r in language.identify(fresh, model).collect()} == {"zh"}
+    assert language.keep_identified(fresh, model).count() == 50
+    tight = language.train_filter(make_docs(rows), language.FilterRules(slot_bits=14))
+    assert tight.words.shape[1] == 1 << 14 and tight.rates.max() > 0.1
+    assert {r.lang_pred for r in language.identify(fresh, tight).collect()} == {"zh"}
+
+
+def test_ties_and_a_very_long_text(make_docs):
+    same = language.train_filter(make_docs([(1, PROSE["en"], "b"), (2, PROSE["en"], "a")]))
+    long = PROSE["en"] + " " + "word " * 300_000
+    got = {r.doc_id: r for r in language.identify(make_docs([(1, PROSE["en"], None), (2, long, None)]), same).collect()}
+    assert got[1].lang_pred == got[2].lang_pred == "a" and got[2].n_trigrams > 1_200_000
+
+
 def test_many_languages_use_more_words(make_docs):
     rows = [(i, f"{chr(0x4E00 + i)}{chr(0x5E00 + i)}{chr(0x6E00 + i)} " * 5, f"l{i:03d}") for i in range(70)]
     model = language.train_filter(make_docs(rows))

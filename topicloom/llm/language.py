@@ -1,16 +1,19 @@
 """Language identification with bit-sliced Bloom filters (operator 1).
 
-Training counts letter trigrams of all labelled texts for each language.  A trigram belongs to a language when its share of the language's trigrams reaches
-``min_share`` and is not far below its share in the language where it is most common.  One array of slots holds the filters of all languages, bit L of a
+Training counts letter trigrams of all labelled texts for each language.  A trigram belongs to a language when it is among the most frequent ones, which make up
+``covered`` of the language's text whatever its alphabet, and its share is not far below that in the language where it is most common.  One array of slots holds the filters of all languages, bit L of a
 slot being the slice of language L: the AND of the k slots of a trigram is the mask of all languages that contain it.  A text gets, for each
 language, the number of its trigrams with that bit.  The count is corrected by the false positive rate of the slice, which follows from how full it is, and the highest
 corrected count decides; ties go to the language with more training trigrams, then by name.
 
-Size: a language has at most 1 / min_share trigrams, whatever the corpus, so the filter is bounded by languages / min_share.
+Size: the filter has ``slots_per_entry`` slots for each trigram of the fullest language, up to 2 ** ``slot_bits``.  Beyond that no trigram is left out: the slices are
+fuller, and the correction takes the higher false positive rates away.
+
+``keep_identified`` judges a text by what its language reaches: ``own`` is the share of the language's training trigrams that its slice holds.
 
 Defined cases: a null text and a text without letters give ``und`` and score 0; letters without any known trigram give the
-most common language and score 0; null labels are not learned; without a labelled text everything is ``und``; repeated rows are counted and answered one by one; other
-columns are ignored or, in ``keep_identified``, kept.
+most common language and score 0; null labels are not learned; without a labelled text everything is ``und``; an empty table gives an empty one; a very long text is
+a slice of its own and read whole; repeated rows are counted and answered one by one; other columns are ignored or, in ``keep_identified``, kept.
 """
 
 from __future__ import annotations
@@ -33,11 +36,12 @@ SLOT_BITS = 63      # languages in one word of the filter
 
 @dataclass(frozen=True)
 class FilterRules:
-    min_share: float = 2e-5      # of the trigrams of a language
+    covered: float = 0.995       # share of a language's text that its trigrams make up
     relative_share: float = 0.1  # of the share in the language that uses the trigram most
     hashes: int = 3
     slots_per_entry: int = 16    # slots for each trigram of the fullest language
-    min_score: float = 0.5       # ``keep_identified`` rejects texts below
+    slot_bits: int = 23          # log2 of the most slots: 64 MB for up to 63 languages
+    min_score: float = 0.5       # ``keep_identified`` rejects texts below this part of what the language reaches
 
 
 @dataclass(frozen=True)
@@ -45,6 +49,7 @@ class LanguageFilter:
     languages: tuple[str, ...]   # by training trigrams, most first
     words: np.ndarray            # (number of words, slots) of uint64
     rates: np.ndarray            # false positive rate of each slice
+    own: np.ndarray              # share of the training trigrams of each language that its slice holds
     rules: FilterRules
 
 
@@ -109,24 +114,38 @@ def count_trigrams(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     return arrow_rows(labelled, rows_of, "lang string, code long, n long", 16 << 20).groupBy("lang", "code").agg(F.sum("n").alias("n"))
 
 
+def least_count(by_size: dict[int, int], covered: float) -> int:
+    """The largest power of two such that trigrams seen so often make up ``covered`` of all; ``by_size`` has the total of each power."""
+    wanted, held = covered * sum(by_size.values()), 0
+    for size in sorted(by_size, reverse=True):
+        held += by_size[size]
+        if held >= wanted:
+            return 1 << size
+    return 1
+
+
 def train_filter(docs: DataFrame, rules: FilterRules = FilterRules(), text_col: str = "text", lang_col: str = "lang") -> LanguageFilter:
     """The bit-sliced filter of the languages named in ``lang_col``."""
     counts = materialise(count_trigrams(docs, text_col, lang_col), "trigrams")
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("total")).collect()  # one row for each language
-    totals = sorted(((r.total, r.lang) for r in totals), key=lambda x: (-x[0], x[1]))
-    languages = tuple(lang for _, lang in totals)
+    sizes = counts.groupBy("lang", (F.length(F.bin("n")) - 1).alias("size")).agg(F.sum("n").alias("total")).collect()  # at most 64 rows for each language
+    by_size: dict[str, dict[int, int]] = {}
+    for r in sizes:
+        by_size.setdefault(r.lang, {})[r["size"]] = r.total
+    languages = tuple(sorted(by_size, key=lambda lang: (-sum(by_size[lang].values()), lang)))
     if not languages:
-        return LanguageFilter((), np.zeros((1, 1), np.uint64), np.zeros(0), rules)
-    place = {lang: i for i, lang in enumerate(languages)}
+        return LanguageFilter((), np.zeros((1, 1), np.uint64), np.zeros(0), np.zeros(0), rules)
     spark = docs.sparkSession
-    known = spark.createDataFrame([(lang, place[lang], float(total)) for total, lang in totals], "lang string, place int, total double")
-    shares = counts.join(F.broadcast(known), "lang").withColumn("share", F.col("n") / F.col("total")).where(F.col("share") >= rules.min_share)
+    known = spark.createDataFrame([(lang, i, float(sum(by_size[lang].values())), least_count(by_size[lang], rules.covered)) for i, lang in enumerate(languages)],
+                                  "lang string, place int, total double, least long")
+    shares = counts.join(F.broadcast(known), "lang").withColumn("share", F.col("n") / F.col("total")).where("n >= least")
     best = shares.groupBy("code").agg(F.max("share").alias("best"))
     chosen = shares.join(best, "code").where(F.col("share") >= rules.relative_share * F.col("best"))
     word = F.floor(F.col("place") / SLOT_BITS).cast("int")
     masks = chosen.groupBy("code", word.alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, place % {SLOT_BITS})")).alias("mask"))
-    fullest = chosen.groupBy("place").count().agg(F.max("count")).first()[0]
-    slots = 1 << int(rules.slots_per_entry * fullest - 1).bit_length()
+    held = chosen.groupBy("place").agg(F.count("*").alias("entries"), F.sum("share").alias("own")).collect()  # one row for each language
+    own = np.zeros(len(languages))
+    own[[r.place for r in held]] = [r.own for r in held]
+    slots = 1 << min(rules.slot_bits, int(rules.slots_per_entry * max(r.entries for r in held) - 1).bit_length())
 
     def slots_of(batch: pa.RecordBatch) -> pa.RecordBatch:
         codes = batch.column(0).to_numpy()
@@ -140,7 +159,7 @@ def train_filter(docs: DataFrame, rules: FilterRules = FilterRules(), text_col:
     words = np.zeros(((len(languages) - 1) // SLOT_BITS + 1, slots), np.uint64)
     words[cells.column(0).to_numpy(), cells.column(1).to_numpy()] = cells.column(2).to_numpy().astype(np.uint64)
     fill = np.array([np.count_nonzero(words[i // SLOT_BITS] >> np.uint64(i % SLOT_BITS) & np.uint64(1)) for i in range(len(languages))]) / slots
-    return LanguageFilter(languages, words, np.minimum(fill ** rules.hashes, 0.999), rules)
+    return LanguageFilter(languages, words, np.minimum(fill ** rules.hashes, 0.999), own, rules)
 
 
 def _narrow(words: np.ndarray, languages: int) -> np.ndarray:
@@ -187,7 +206,7 @@ def decide(texts: list[str | None], model: LanguageFilter) -> tuple[list[str], l
 
 
 def predictor(docs: DataFrame, model: LanguageFilter) -> Callable[[list[str | None]], tuple]:
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by languages / min_share
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by languages and slot_bits
     return lambda texts: decide(texts, shared.value)
 
 
@@ -205,11 +224,12 @@ def identify(docs: DataFrame, model: LanguageFilter, id_col: str = "doc_id", tex
 
 
 def keep_identified(docs: DataFrame, model: LanguageFilter, text_col: str = "text") -> DataFrame:
-    """Rows whose text is in one of the learned languages: not ``und``, and enough of its trigrams belong to the language."""
-    predict, place, least = predictor(docs, model), docs.columns.index(text_col), model.rules.min_score
+    """Rows whose text is in one of the learned languages: not ``und``, and its score is at least ``min_score`` of what the language's own texts reach."""
+    predict, place = predictor(docs, model), docs.columns.index(text_col)
+    least = {lang: model.rules.min_score * float(own) for lang, own in zip(model.languages, model.own)}
 
     def rows_of(batch: pa.RecordBatch) -> pa.RecordBatch:
         names, scores, _ = predict(batch.column(place).to_pylist())
-        return batch.filter(pa.array([n != UNKNOWN and s >= least for n, s in zip(names, scores)], pa.bool_()))
+        return batch.filter(pa.array([n != UNKNOWN and s >= least[n] for n, s in zip(names, scores)], pa.bool_()))
 
     return arrow_rows(docs, rows_of, docs.schema)
