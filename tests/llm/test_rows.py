@@ -210,30 +210,71 @@ def test_disclosing_terms_are_found(make_docs):
     assert "[EMAIL]" in texts[0] and "Quillfeather" not in texts[0] and "harbour" in texts[0] and texts[100] == dict(pii_corpus())[100]
 
 
-def test_disclosure_against_brute_force(make_docs):
+def plain_disclosure(rows, limits):
+    """(entity, term) -> disclosure of all pairs that stand in one document, from whole texts."""
     import math
-    rows = pii_corpus()
-    limits = pii.Disclosure()
+    with_entities, with_terms, pairs = Counter(), Counter(), Counter()
+    for _, text in rows:
+        spans = plain_spans(text)
+        entities = {pii.entity_of(text, s) for s in spans}
+        terms = {m.group().lower() for m in re.finditer(r"\w+", text) if not any(m.start() < e and s < m.end() for s, _, e in spans)}
+        with_terms.update({m.group() for m in re.finditer(r"\w+", text.lower())})
+        with_entities.update(entities)
+        pairs.update(itertools.product(entities, terms))
+    found = {}
+    for (e, t), n in pairs.items():
+        content = math.log(len(rows) / with_entities[e])
+        value = math.log(n * len(rows) / (with_entities[e] * with_terms[t])) / content * n / (n + limits.prior) if content else 0.0
+        if value >= limits.disclosure:
+            found[e, t] = value
+    return found
+
+
+@pytest.mark.parametrize("seed, limits", [(1, pii.Disclosure()), (2, pii.Disclosure(prior=0.0)), (3, pii.Disclosure(disclosure=0.5, prior=1.0))])
+def test_disclosure_against_brute_force(make_docs, seed, limits):
+    """Long texts, several entities in a document, names of two letters."""
+    rng = random.Random(seed)
+    words = [f"w{min(400, int(rng.paretovariate(0.4)))}" for _ in range(6000)] + ["Li", "Wu", "x"] * 20
+    people = [("Li Quill", "li.q@port.example.org"), ("Wu Marsh", "+1 555 123 4567 89"), ("Anna Reed", "10.0.0.7")]
+    rows = []
+    for i in range(90):
+        text = [rng.choice(words) for _ in range(rng.choice([5, 40, 400]))]
+        for name, entity in rng.sample(people, rng.choice([0, 0, 0, 1, 2])):
+            text.insert(rng.randrange(len(text)), name)
+            text.insert(rng.randrange(len(text)), entity)
+        rows.append((i, " ".join(text)))
+    rows += [(100, "once a@b.co Zed"), (101, "once " + "w1 " * 30)]
     docs = make_docs(rows)
     found = pii.materialise(pii.find_entities(docs, limits, "doc_id", "text"), "t")
-    got = {r.term: r.disclosure for r in pii.disclosed_terms(docs, found, limits).collect()}
-    words = [set(re.findall(r"\w{3,}", t.lower())) for _, t in rows]
-    want = {}
-    for term in set().union(*words):
-        near = sum(any(term == n[1] for n in pii.contexts(t, pii.base_spans(t), 10)) for _, t in rows)
-        if near >= 3:
-            value = math.log(near * len(rows) / (5 * sum(term in w for w in words))) / math.log(len(rows) / 5)
-            if value >= limits.disclosure:
-                want[term] = value
-    assert got.keys() == want.keys() and all(abs(got[t] - want[t]) < 1e-9 for t in want)
+    got = {(r.entity, r.term): r.disclosure for r in pii.disclosed_terms(docs, found, limits).collect()}
+    want = plain_disclosure(rows, limits)
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert {"quill", "zed"} <= {t for _, t in want} if limits.disclosure == 0.8 else want
+
+
+def test_page_of_many_addresses_meets_its_terms_in_parts(make_docs):
+    page = "Directory " + " ".join(f"user{i}@port.example.org name{i}" for i in range(600))
+    rows = [(0, page)] + [(1 + i, "the harbour was calm") for i in range(40)]
+    limits = pii.Disclosure()
+    found = pii.materialise(pii.find_entities(make_docs(rows), limits, "doc_id", "text"), "t")
+    got = pii.disclosed_terms(make_docs(rows), found, limits)
+    assert got.count() == 600 * 601 == got.distinct().count()
+
+
+def test_meetings_decide_between_generalising_and_removing(make_docs):
+    plain = [(100 + i, "the harbour was calm") for i in range(60)]
+    for copies, gone in ((1, False), (3, True)):
+        rows = [(i, "the harbour was Quillfeather q@port.example.org calm") for i in range(copies)] + plain
+        text = {r.doc_id: r.text for r in pii.sanitise(make_docs(rows)).collect()}[0]
+        assert text == ("the harbour was  [EMAIL] calm" if gone else "the harbour was [NAME] [EMAIL] calm")
 
 
 def test_entity_of_one_document_has_terms(make_docs):
     rows = [(0, "the harbour master Quillfeather wrote to q.feather@port.example.org about the weather")] + pii_corpus()[5:]
     docs = make_docs(rows)
     found = {r.doc_id: r for r in pii.find_spans(docs).collect()}
-    assert found[0].n_term == 2 and all(found[i].n_term == 0 for i, _ in rows[1:])
-    assert {r.text for r in pii.sanitise(docs).where("doc_id = 0").collect()} == {"the harbour   wrote to [EMAIL] about the weather"}
+    assert found[0].n_term == 3 and all(found[i].n_term == 0 for i, _ in rows[1:])
+    assert {r.text for r in pii.sanitise(docs).where("doc_id = 0").collect()} == {"the harbour [WORD] [NAME] wrote [WORD] [EMAIL] about the weather"}
 
 
 def test_terms_far_from_the_entity_are_found_everywhere(make_docs):

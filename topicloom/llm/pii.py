@@ -2,17 +2,21 @@
 
 Patterns find the protected entities: e-mail and IP addresses, payment cards, phone numbers.  Terms of the documents that hold an entity may reveal it
 although it is masked.  How strongly is estimated from the whole corpus: with document counts n(e), n(t) and n(e, t), the disclosure of
-entity e by term t is PMI(e; t) / IC(e) = log(n(e, t) N / (n(e) n(t))) / log(N / n(e)), which is 1 when the term occurs only beside that entity.
-Every pair is scored, also those of an entity or a term that is seen once.
+entity e by term t is PMI(e; t) / IC(e) = log(n(e, t) N / (n(e) n(t))) / log(N / n(e)), which is 1 when the term occurs only beside that entity, shrunk by the
+factor n(e, t) / (n(e, t) + prior): few meetings are little evidence, and a name beside an entity in several documents beats a rare word that stands there once.
+Every pair is scored, also those of an entity or a term that is seen once; with the default prior a pair seen once is generalised at most, and one seen three times can be removed.
 Terms at or above ``disclosure`` are generalised to their shape, those at or above ``removal`` are removed, wherever they stand in the documents that hold the
 entity.  All counts are of whole documents.  Documents without an entity stay as they are.
 
+Terms are runs of word characters of any length.
+
 What is shuffled: the distinct terms of documents with an entity, pairs of entity and term, counts of candidate terms, and rows of documents with an entity.  A pair
-is formed only when n(e, t) = n(e) would reach the threshold, so frequent words meet no entity; no disclosing pair is lost by that.  A Bloom filter of fixed size,
+is formed only when n(e, t) = n(e) would reach the threshold, so frequent words meet no entity; no disclosing pair is lost by that.  The entities of a document are dealt to
+parts of ``PART`` before they meet its terms, so a page with thousands of addresses is spread over tasks.  A Bloom filter of fixed size,
 the only thing sent to every task, keeps other words out of the term count; the count itself is joined exactly.
 
 Defined cases: a null text is empty and has no spans; a corpus in which every document holds an entity gives IC = 0 and no terms; repeated rows count as
-documents of their own and get equal spans; other columns are kept by ``sanitise`` and ignored by ``find_spans``; ids may be null.
+documents of their own and get equal spans; a very long text is scanned whole, in linear time; an empty table gives an empty one; other columns are kept by ``sanitise`` and ignored by ``find_spans``; ids may be null.
 """
 
 from __future__ import annotations
@@ -38,13 +42,15 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]")
-_TERM = re.compile(r"\w{3,}")
+_TERM = re.compile(r"\w+")
+PART = 256  # entities of one document that meet its terms in one task
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 
 @dataclass(frozen=True)
 class Disclosure:
     min_support: int = 1      # documents in which a pair of entity and term must be seen: 1 scores every pair, more is a limit of the caller
+    prior: float = 0.15       # meetings that count against a pair's own
     disclosure: float = 0.8   # from here on a term is generalised
     removal: float = 0.95     # from here on it is removed
     filter_bits: int = 22     # log2 of the slots of the Bloom filter: 512 KB
@@ -191,21 +197,22 @@ def count_terms(docs: DataFrame, candidates: DataFrame, bits: int, text_col: str
 def meetings(docs: DataFrame, found: DataFrame, limits: Disclosure, text_col: str) -> tuple[DataFrame, float]:
     """(stored rows (doc_id, text_key, entity, term, n_entity, n_term) of entities and terms in one document, number of documents).
 
-    n(e, t) is at most n(e), so a pair can reach the threshold only with n(t) <= n(e) (N / n(e)) ** (1 - disclosure): the others are left out.
+    n(e, t) is at most n(e), so a pair can reach the threshold only with n(t) <= n(e) (N / n(e)) ** (1 - disclosure (n(e) + prior) / n(e)): the others are left out.
     """
     total = float(max(1, found.count()))
-    held = found.where(F.size("entities") > 0).select("doc_id", "text_key", "entities", "near")
+    held = found.where(F.size("entities") > 0).select("doc_id", "text_key", "entities", "near", F.ceil(F.size("entities") / PART).cast("int").alias("parts"))
     held = materialise(held.withColumn("row", F.monotonically_increasing_id()), "held")
-    entities = held.select("row", "doc_id", "text_key", F.explode("entities").alias("entity"))
+    entities = held.select("row", "doc_id", "text_key", "parts", F.explode("entities").alias("entity")).withColumn("part", F.pmod("entity", "parts").cast("int")).drop("parts")
     counts = entities.groupBy("entity").agg(F.count("*").alias("n_entity"))
     n = F.col("n_entity")
-    most = n * F.pow(F.lit(total) / n, F.lit(1.0 - limits.disclosure)) * (1 + 1e-9)
+    most = n * F.pow(F.lit(total) / n, 1.0 - limits.disclosure * (n + limits.prior) / n) * (1 + 1e-9)
     entities = materialise(entities.join(counts, "entity").withColumn("most", most), "placed")
     ceilings = entities.groupBy("row").agg(F.max("most").alias("ceiling"))
-    near = held.select("row", F.explode("near").alias("x")).where("x.first").select("row", "x.term")
+    near = held.select("row", "parts", F.explode("near").alias("x")).where("x.first").select("row", "parts", "x.term")
     terms = materialise(count_terms(docs, materialise(near.select("term").distinct(), "candidates"), limits.filter_bits, text_col), "terms")
     rare = near.join(terms, "term").join(ceilings, "row").where("n_term <= ceiling").drop("ceiling")
-    met = rare.join(entities, "row").where("n_term <= most").select("doc_id", "text_key", "entity", "term", "n_entity", "n_term")
+    rare = rare.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    met = rare.join(entities, ["row", "part"]).where("n_term <= most").select("doc_id", "text_key", "entity", "term", "n_entity", "n_term")
     return materialise(met, "pairs"), total
 
 
@@ -214,7 +221,8 @@ def disclosing(met: DataFrame, total: float, limits: Disclosure) -> DataFrame:
     pairs = met.groupBy("entity", "term").agg(F.count("*").alias("n_pair"), F.first("n_entity").alias("n_entity"), F.first("n_term").alias("n_term"))
     pmi = F.log(F.col("n_pair") * F.lit(total) / (F.col("n_entity") * F.col("n_term")))
     content = F.log(F.lit(total) / F.col("n_entity"))
-    scored = pairs.where(F.col("n_pair") >= limits.min_support).withColumn("disclosure", F.when(content > 0, pmi / content).otherwise(0.0))
+    trust = F.col("n_pair") / (F.col("n_pair") + F.lit(limits.prior))
+    scored = pairs.where(F.col("n_pair") >= limits.min_support).withColumn("disclosure", F.when(content > 0, pmi / content * trust).otherwise(0.0))
     return scored.where(F.col("disclosure") >= limits.disclosure).select("entity", "term", "disclosure")
 
 
