@@ -40,6 +40,15 @@ def test_lookup_join_paths_agree(spark, rows):
         assert rows(X.lookup_join(big, small, ["k"], how, max_rows=2, hot=F.col("k") == 1), "id") == want
 
 
+def test_lookup_join_past_the_bound_neither_broadcasts_nor_repeats_the_lookup(spark):
+    big = spark.range(300).select("id", (F.col("id") % 7).alias("k"))
+    small = X.materialise(spark.range(5).select(F.col("id").alias("k"), F.lit("v").alias("v")))  # a few hundred bytes: Spark would broadcast it
+    plan = X.lookup_join(big, small, ["k"], max_rows=2, stored=True)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan and "explode" not in plan
+    hot = X.lookup_join(big, small, ["k"], max_rows=2, stored=True, hot=F.col("k") == 1)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in hot
+
+
 def test_top_k_with_and_without_salt(spark, rows):
     df = spark.range(500).select((F.col("id") % 3).alias("k"), F.xxhash64("id").alias("x"))
     want = rows(X.top_k(df, ["k"], [F.col("x")], 5))
