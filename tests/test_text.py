@@ -95,3 +95,27 @@ def test_vector_check(spark):
     zero = spark.createDataFrame([(1, [0.0]), (2, [0.0])], "doc_id bigint, embedding array<float>")
     assert P.validate_vectors(docs, zero).first()["status"] == "mostly_zero"
     assert P.validate_vectors(docs, half.where("doc_id = 1")).first()["status"] == "misaligned"
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_token_shapes_equal_a_plain_grouping_without_sorting_all_tokens(spark, rows):
+    texts = [(5, "b a c"), (5, "z"), (2, " ".join(f"w{i % 97}" for i in range(25_000))), (9, "Ünder über ABC"), (None, "x y"), (7, "")]
+    tokens = P.tokenize(spark.createDataFrame(texts, "doc_id bigint, text string").coalesce(1))
+    plain = tokens.groupBy("doc_id").agg(F.count("*").alias("n_tokens"), F.max("pos").alias("last_pos"),
+                                         F.max_by("token", "pos").alias("last_token"), F.min("token").alias("least_token"))
+    order = lambda df: sorted(map(str, df.collect()))
+    assert order(P.token_shapes(tokens)) == order(plain)
+    before_grouping = plan_of(P.token_shapes(tokens)).split("MapInArrow")
+    assert "SortAggregate" not in before_grouping[-1] and "SortAggregate" in plan_of(plain)
+
+
+def test_keywords_are_counted_without_sorting_all_tokens(spark):
+    from topicloom.operators import keywords as K
+
+    docs = spark.createDataFrame([(0, 3 << 60, "late late"), (0, 1, "early words early"), (0, 2, "words late")], "topic int, doc_id bigint, text string")
+    ranked = K.topic_keyword_list(docs)
+    assert [(r["token"], r["n"]) for r in ranked.orderBy("rank").collect()] == [("late", 3), ("early", 2), ("words", 2)]
+    assert "SortAggregate" not in plan_of(ranked)

@@ -36,10 +36,7 @@ def tokenize(spark, sf):
     docs = B.documents(spark, sf)
 
     def shape(mode):
-        return P.tokenize(docs, mode).groupBy("doc_id").agg(
-            F.count("*").alias("n_tokens"), F.max("pos").alias("last_pos"),
-            F.max_by("token", "pos").alias("last_token"), F.min("token").alias("least_token"),
-        ).withColumn("mode", F.lit(mode))
+        return P.token_shapes(P.tokenize(docs, mode)).withColumn("mode", F.lit(mode))
 
     return shape("words").unionByName(shape("whitespace"))
 
