@@ -651,6 +651,31 @@ def test_phrases_scored_in_rows_equal_joined_ones(spark, rows):
     assert M.top_phrases(docs.where("doc_id >= 500"), 1, 2, 5).count() == 0
 
 
+def test_phrases_scored_in_chunks_equal_those_in_rows(spark, rows):
+    docs = spark.createDataFrame([(i, text, topic) for i, text, topic in documents(120, 3)] + [(500, "", 0), (501, None, 1), (502, "One two one two THREE", 2)], "doc_id bigint, text string, topic int")
+    for options in ({}, {"words_apart": True}, {"min_df": 1}):
+        both = [rows(M.top_phrases(docs, 1, 3, 8, row_bytes=n, chunk_bytes=2000, **options), "topic", "rank", "term", "score") for n in (1 << 30, 0)]
+        assert both[0] == both[1] and len(both[0]) >= 24
+    assert M.top_phrases(docs.where("doc_id >= 500"), 1, 2, 5, row_bytes=0).count() == 0
+    assert rows(M.top_phrases(docs, 2, 3, 5, row_bytes=0, in_rows=3)) == rows(M.top_phrases(docs, 2, 3, 5))
+
+
+def test_phrases_of_much_text_shuffle_no_strings_of_documents(spark, monkeypatch):
+    """A vocabulary past the bound joined every (document, term) as text and sorted it twice."""
+    docs = spark.createDataFrame([(i, text, topic) for i, text, topic in documents(60, 3)], "doc_id bigint, text string, topic int")
+    monkeypatch.setattr(M, "document_terms", None)
+    assert M.top_phrases(docs, 1, 2, 5, row_bytes=0, in_rows=0).count() == 15
+
+
+def test_texts_are_spread_by_their_size(spark, monkeypatch):
+    """A partition per core held all of a core's share of a large table, whose counts then spilled."""
+    df = X.materialise(spark.range(4000).select("id", F.sha2(F.col("id").cast("string"), 512).alias("text")))
+    cores = spark.sparkContext.defaultParallelism
+    assert X.spread(df, "id").rdd.getNumPartitions() == cores
+    monkeypatch.setattr(X, "SPREAD_BYTES", X.stored_bytes(df) // (3 * cores))
+    assert X.spread(df, "id").rdd.getNumPartitions() >= 3 * cores
+
+
 def sparse_tables(spark, seed, topics, docs, terms):
     """(counts, weights, best): random Zipf tables and each document's best (score, topic), from a plain loop over all pairs."""
     rng = np.random.default_rng(seed)
