@@ -715,6 +715,17 @@ def test_similar_topics_equal_all_pairs(spark, seed, topics, threshold):
     assert all(found[d][0] == pytest.approx(wanted[d][0], abs=2e-10) and found[d][1] == wanted[d][1] for d in wanted)
 
 
+def test_similar_topics_of_chunks_join_no_document_with_a_topic(spark, monkeypatch, rows):
+    """With few topics every term of a document met all topics that have it, as rows of a join."""
+    counts, weights, best = sparse_tables(spark, 7, 30, 60, 80)
+    wanted = {d: b[1] for d, b in best.items() if b[0] >= 0.1}
+    joined = {r["doc_id"]: r["topic"] for r in D.similar_topics(counts, weights, 0.1, few_topics=0).collect()}
+    monkeypatch.setattr(D, "split_documents", None)
+    monkeypatch.setattr(D, "CELLS_AT_ONCE", 50)
+    many = {r["doc_id"]: r["topic"] for r in D._similar_in_chunks(counts, weights, D.unit_topics(weights), 0.1, chunk_terms=70).collect()}
+    assert {r["doc_id"]: r["topic"] for r in D.similar_topics(counts, weights, 0.1).collect()} == wanted == joined == many
+
+
 def test_common_terms_stay_out_of_the_first_join(spark):
     counts, weights, _ = sparse_tables(spark, 5, 200, 60, 80)
     topics = D.unit_topics(weights)

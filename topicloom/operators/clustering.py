@@ -10,6 +10,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
@@ -171,6 +173,9 @@ def membership(vectors: DataFrame, centers: DataFrame, scale: float = 1.0, block
 
 HOT_IDF = 4.6  # terms below it may be in most documents
 SLACK = 1e-9   # bounds are compared with room for rounding
+FEW_TOPICS = 1000       # topics up to which all cosines of a document are computed
+CHUNK_TERMS = 500_000   # (document, term) rows of a chunk of documents
+CELLS_AT_ONCE = 4_000_000
 
 
 def outlier_ratio(assignment: DataFrame) -> float:
@@ -228,13 +233,87 @@ def split_documents(document_counts: DataFrame, weights: DataFrame, topics: Data
         F.col("cut.rest").alias("rest"))
 
 
-def similar_topics(document_counts: DataFrame, weights: DataFrame, threshold: float = 0.1) -> DataFrame:
+def _similar_in_chunks(document_counts: DataFrame, weights: DataFrame, topics: DataFrame, threshold: float, chunk_terms: int = CHUNK_TERMS) -> DataFrame:
+    """As ``similar_topics``, for few topics: all cosines of a document with topics that share a term with it.
+
+    Documents stand in chunks.  A chunk asks once for each of its different terms and gets its idf and topics, so a term of many documents is not joined with each of
+    them.  Terms are known by two hashes, so another one is not taken for it.
+    """
+    hashes = F.xxhash64("term").alias("h"), F.hash("term").alias("g")
+    counts = materialise(document_counts.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), *hashes, F.col("n").cast("bigint").alias("n")), "hashed-terms")
+    chunks = max(1, -(-counts.count() // chunk_terms))
+    dealt = counts.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int")).repartition(chunks, "chunk")
+    entries = topics.groupBy("term").agg(F.collect_list(F.struct(F.col("topic").cast("bigint").alias("topic"), "u")).alias("e"))
+    known = materialise(weights.groupBy("term").agg(F.max("idf").alias("idf")).join(entries, "term", "left").select(
+        *hashes, "idf", F.coalesce("e", F.array().cast("array<struct<topic:bigint,u:double>>")).alias("e")), "topic-lists")
+
+    def ask(rows: pa.Table) -> pa.Table:
+        return rows.select(["chunk", "h", "g"]).group_by(["chunk", "h", "g"]).aggregate([])
+
+    asked = dealt.groupBy("chunk").applyInArrow(ask, "chunk int, h bigint, g int")
+    answered = lookup_join(asked, known, ["h", "g"], stored=True).repartition(chunks, "chunk")
+
+    def run(rows: pa.Table, held: pa.Table) -> pa.Table:
+        found: list[tuple] = []
+        if rows.num_rows and held.num_rows:
+            kh, kg = (held.column(c).to_numpy() for c in ("h", "g"))
+            order = np.lexsort((kg, kh))
+            kh, kg = kh[order], kg[order]
+            h, g = (rows.column(c).to_numpy() for c in ("h", "g"))
+            at = np.minimum(np.searchsorted(kh, h), len(kh) - 1)
+            while True:  # past terms that share the first hash only
+                wrong = (kh[at] == h) & (kg[at] < g) & (at + 1 < len(kh))
+                if not wrong.any():
+                    break
+                at = at + wrong
+            hit = np.flatnonzero((kh[at] == h) & (kg[at] == g))
+            entry = order[at[hit]]
+            v = rows.column("n").to_numpy()[hit] * held.column("idf").to_numpy()[entry]
+            ids, doc = np.unique(rows.column("doc_id").to_numpy()[hit], return_inverse=True)
+            length = np.sqrt(np.bincount(doc, v * v, len(ids)))
+            lists = held.column("e").combine_chunks()
+            size = pc.list_value_length(lists).to_numpy()
+            begin = np.cumsum(size) - size
+            flat = lists.flatten()
+            names, code = np.unique(flat.field(0).to_numpy(), return_inverse=True)
+            u = flat.field(1).to_numpy()
+            by_doc = np.argsort(doc, kind="stable")
+            by_doc = by_doc[(size[entry[by_doc]] > 0) & (length[doc[by_doc]] > 0)]
+            step = max(1, CELLS_AT_ONCE // max(1, len(names)))
+            for low in range(0, len(ids), step):
+                own = by_doc[np.searchsorted(doc[by_doc], low):np.searchsorted(doc[by_doc], low + step)]
+                if not len(own):
+                    continue
+                total, met = np.zeros(step * len(names)), np.zeros(step * len(names), bool)
+                before = np.cumsum(size[entry[own]]) // CELLS_AT_ONCE
+                for part in np.split(own, np.flatnonzero(before[1:] != before[:-1]) + 1):
+                    m = size[entry[part]]
+                    place = np.repeat(begin[entry[part]] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+                    cell = np.repeat((doc[part] - low) * len(names), m) + code[place]
+                    total += np.bincount(cell, np.repeat(v[part], m) * u[place], len(total))
+                    met[cell] = True
+                score = np.where(met, total, -np.inf).reshape(step, len(names))[:len(ids) - low]
+                score = np.round(score / np.where(length > 0, length, 1)[low:low + step, None], SCORE_DIGITS)
+                best = score.argmax(axis=1)  # the smallest of equal topics
+                value = score[np.arange(len(best)), best]
+                good = np.isfinite(value) & (value >= threshold)
+                found.append((ids[low:low + step][good], names[best[good]], value[good]))
+        parts = [np.concatenate([np.zeros(0, t), *p]) for t, p in zip(("int64", "int64", "float64"), zip(*found) if found else [[], [], []])]
+        return pa.table([pa.array(p) for p in parts], names=["doc_id", "topic", "score"])
+
+    scored = dealt.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(run, "doc_id bigint, topic bigint, score double")
+    return scored.select("doc_id", F.col("topic").cast(weights.schema["topic"].dataType).alias("topic"), "score")
+
+
+def similar_topics(document_counts: DataFrame, weights: DataFrame, threshold: float = 0.1, few_topics: int = FEW_TOPICS) -> DataFrame:
     """(doc_id, topic, score): the topic with the most similar class-TF-IDF vector, of documents that have one with a cosine of ``threshold`` or more.
 
-    A sparse join with a prefix filter: the heads of documents meet the topics that have their terms; a topic whose sum over the head, with the bound of the tail, stays under
+    Up to ``few_topics`` topics (counted) all cosines are computed, chunk by chunk of the documents.  With more of them it is a sparse join with a prefix filter: the heads of documents meet the topics that have their terms; a topic whose sum over the head, with the bound of the tail, stays under
     ``threshold`` or under the document's best sum is left out; the others are looked up term by term.  Any number of topics and terms; weights are not negative; ties go to the smaller topic.
     """
     topics = unit_topics(weights)
+    if topics.select("topic").distinct().limit(few_topics + 1).count() <= few_topics:
+        return _similar_in_chunks(document_counts, weights, topics, threshold)
     hot = F.col("idf") < HOT_IDF
     docs = materialise(split_documents(document_counts, weights, topics, threshold), "split")
     heads = docs.select("doc_id", F.inline("head"))
