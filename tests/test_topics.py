@@ -676,6 +676,20 @@ def test_texts_are_spread_by_their_size(spark, monkeypatch):
     assert X.spread(df, "id").rdd.getNumPartitions() >= 3 * cores
 
 
+def test_rounds_of_the_forest_write_few_tables(spark, monkeypatch):
+    """Every look-up of a round stored and counted its table again, and a pointer was followed one step for each stored table."""
+    from topicloom.operators import forest as T
+
+    written = []
+    store = X.materialise
+    for module in (T, X):
+        monkeypatch.setattr(module, "materialise", lambda df, name="table": (written.append(name), store(df, name))[1])
+    edges = spark.createDataFrame([(i, i + 1, float(i + 1), "") for i in range(40)], "a bigint, b bigint, w double, g string")
+    rounds = T.spanning_rounds(edges)
+    assert [r["s"] for r in rounds[0][1].select("s").distinct().collect()] == [0] and len(rounds) == 1
+    assert written.count("lookup") == 0 and written.count("moves") <= 5  # the path has 40 steps
+
+
 def sparse_tables(spark, seed, topics, docs, terms):
     """(counts, weights, best): random Zipf tables and each document's best (score, topic), from a plain loop over all pairs."""
     rng = np.random.default_rng(seed)
