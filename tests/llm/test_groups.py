@@ -244,6 +244,22 @@ def test_language_model_base_and_mass(make_docs):
     assert sum(r.score for r in unseen) > sum(r.base_score for r in unseen)
 
 
+def test_language_model_every_word_is_a_context(make_docs):
+    """Words beyond the dishes predict what follows them, not what follows any such word."""
+    texts = ["a b a b", "b a a b", "b b a a"] * 10 + ["x a", "y b"] * 6 + ["z a b"]
+    docs = make_docs(list(enumerate(texts)))
+    model = pitman_yor.train(docs, pitman_yor.PitmanYor(dishes=2))
+    asked = make_docs([(0, "x a"), (1, "x b"), (2, "y b"), (3, "y a"), (4, "new a"), (5, None)])
+    got = {r.doc_id: r.score for r in pitman_yor.score(asked, model).collect()}
+    assert got[0] > got[1] + 0.2 and got[2] > got[3] + 0.2
+    rare = model.rare.collect()
+    assert len(rare) == 3
+    for r in rare:  # the dishes after a word, seen and unseen, add up to one
+        rest = np.array(r.tail) @ model.roots
+        rest[r.dishes] = 10.0 ** np.array(r.logs)
+        assert abs(rest.sum() - 1) < 1e-5
+
+
 def test_language_model_without_training(make_docs):
     docs = make_docs([(1, "a b"), (2, None), (2, None)])
     model = pitman_yor.train(docs.limit(0))
