@@ -10,6 +10,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -206,6 +207,36 @@ def test_viterbi_against_all_paths(spark):
         assert list(r.ids) == want == merger.encode(r.unit)
 
 
+def test_parts_of_a_batch_equal_parts_of_each_text():
+    rng = random.Random(8)
+    texts = ["".join(rng.choices(["a", "b", "é", " ", " ", "\n", "\u2581", "c"], k=rng.randint(0, 12))) for _ in range(400)] + [None, "", " ", "  ", "a", " a", "a ", "a b"]
+    bridges = frozenset({"\u2581a", "ab", "bé", "\u2581\u2581"})
+    numbering, named = pieces.Numbering(bridges), []
+    for i in range(0, len(texts), 50):
+        numbers, sizes, new = numbering.add(pa.array(texts[i:i + 50], pa.string()))
+        named += new
+        ends = np.r_[0, np.cumsum(sizes)]
+        for t, a, b in zip(texts[i:i + 50], ends[:-1], ends[1:]):
+            assert [named[n] for n in numbers[a:b]] == [p for u in pieces.units_of(t) for p in pieces.cut_unit(u, bridges)]
+    assert len(set(named)) == len(named)
+
+
+def test_replies_are_packed_by_block():
+    rng = np.random.default_rng(5)
+    n = 2000
+    blocks, numbers, sizes = rng.integers(0, 3, n), rng.permutation(n), rng.integers(0, 6, n)
+    ids = rng.integers(0, 60_000, sizes.sum())
+    ends = np.r_[0, np.cumsum(sizes)]
+    rows = pieces._replies(blocks, numbers, sizes, ids)
+    assert rows.num_rows == 3 and sum(map(len, rows.column(5).to_pylist())) < 8 * n + 2 * len(ids)
+    for block, total, k, data in zip(*(rows.column(i).to_pylist() for i in (0, 2, 4, 5))):
+        whole = pieces._unpack(data, 2 * k + total).astype(np.int64)
+        cut = np.r_[0, np.cumsum(whole[k:2 * k])] + 2 * k
+        got = {int(m): list(whole[a:b]) for m, a, b in zip(np.cumsum(whole[:k]), cut[:-1], cut[1:])}
+        assert got == {int(numbers[i]): list(ids[ends[i]:ends[i + 1]]) for i in np.flatnonzero(blocks == block)}
+    assert pieces._replies(*(np.zeros(0, np.int64) for _ in range(4))).num_rows == 0
+
+
 # ---- language model
 
 def test_seating_follows_the_restaurant():
