@@ -586,6 +586,21 @@ def test_membership_of_many_topics_equals_one_block(spark):
     assert all(sum(p for (d, _), p in found[0].items() if d == i) == pytest.approx(1) for i in range(3))
 
 
+def test_spectral_steps_without_a_shuffle_equal_the_join(spark):
+    from topicloom.operators import spectral
+
+    rng = np.random.default_rng(4)
+    pairs = {tuple(sorted(p)) for p in rng.integers(0, 60, (200, 2)).tolist() if p[0] != p[1]} | {(i, i + 1) for i in range(59)}
+    edges = [(a * 7, b * 7, w) for (i, j) in pairs for w in [float(rng.random())] for a, b in ((i, j), (j, i))]
+    graph = spark.createDataFrame(edges, "a long, b long, w double")
+    block = spark.createDataFrame([(i * 7, rng.normal(size=4).tolist()) for i in range(58)], "doc_id long, x array<double>")  # two nodes are missing
+    rows = spectral._step(spectral._rows_of_graph(graph), block, True)
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    one, two = ({r.doc_id: (r.x, r.y) for r in step.collect()} for step in (rows, spectral._step(graph, block, False)))
+    assert one.keys() == two.keys() and len(one) == 58
+    assert all(np.allclose(one[i], two[i]) for i in one)
+
+
 def test_spectral_space_parts_blobs_and_seeds_are_looked_up(spark):
     from topicloom.operators import spectral
     data = blobs(3, 40, 0) + [(900, [0.0] * len(blobs(1, 1, 0)[0][1]), -1)]
