@@ -334,6 +334,63 @@ def test_subtopics_of_all_topics_equal_one_run_each(spark):
     assert all(f"topic{r['topic']}" in r["keywords"] for r in words)
 
 
+def _forest_of(edges, sizes):
+    rows = [{"a": r["a"], "b": r["b"], "w": round(r["w"], 6), "g": r["g"]} for r in edges.collect()]
+    points, clusters = N.plain_tree(rows, sizes)
+    falls = sorted((p, None if fall is None else round(fall, 5)) for p, _, fall in points)
+    return falls, sorted((g, size, round(birth, 4), round(stability, 3)) for _, _, birth, g, size, stability, _ in clusters), {(r["a"], r["b"]): r["w"] for r in rows}
+
+
+def test_edges_of_many_samples_keep_the_forest_and_not_the_pairs(spark):
+    """Neighbours of more than 64 samples were stored and shuffled pair by pair, so their number grew with documents times samples."""
+    data = blobs(size=100)
+    rows = [(i, v, "one" if t < 3 else "two") for i, v, t in data]
+    rows += [(1000 + i, rows[5][1], "one") for i in range(30)] + [(2000, rows[3][1], "alone"), (2001, [0.0] * len(rows[0][1]), "one"), (2002, rows[0][1], None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, embedding array<float>, g string")
+    plan = spark.createDataFrame([("one", 12, 80), ("two", 12, 20), ("alone", 12, 1)], "g string, cluster_size bigint, samples int")
+    sizes = {"one": 12, "two": 12, "alone": 12}
+    pairs = N.core_edges(df, 80, 10, "g", plan=plan, many=1000)
+    found = N.core_edges(df, 80, 10, "g", plan=plan)
+    falls, clusters, weights = _forest_of(pairs, sizes)
+    falls_too, clusters_too, few = _forest_of(found, sizes)
+    assert falls_too == falls and clusters_too == clusters
+    assert all(abs(weights[e] - w) < 1e-5 for e, w in few.items()) and len(few) == found.count()
+    assert len(weights) > 10_000 and len(few) < 16 * len(rows)
+    items = df.where("doc_id <> 2001 AND g IS NOT NULL").select(F.col("doc_id").alias("item_id"), "embedding", "g")
+    small_tasks = N.forest_edges(items, 80, 10, plan, held_scores=500, held_edges=300)
+    assert _forest_of(small_tasks, sizes)[:2] == (falls, clusters)
+    alone = df.where("g = 'one'").select("doc_id", "embedding")
+    assert _forest_of(N.core_edges(alone, 80, 10), {"": 12})[:2] == _forest_of(N.core_edges(alone, 80, 10, many=1000), {"": 12})[:2]
+
+
+def test_clusters_of_many_samples_are_those_of_all_pairs(spark, monkeypatch):
+    df = vectors(spark, blobs(groups=3, size=90)).drop("topic")
+    for small_graph in (N.SMALL_GRAPH, 0):
+        found = sorted(map(tuple, N.density_cluster(df, 20, samples=70, probability=True, small_graph=small_graph).collect()))
+        assert len({t for _, t, _ in found}) > 1
+        with monkeypatch.context() as m:
+            m.setattr(N, "forest_edges", lambda items, samples, k, plan: N.core_edges(items.withColumnRenamed("item_id", "doc_id"), samples, k, many=1000))
+            assert [(d, t, round(p, 5)) for d, t, p in found] == [
+                (d, t, round(p, 5)) for d, t, p in sorted(map(tuple, N.density_cluster(df, 20, samples=70, probability=True, small_graph=small_graph).collect()))]
+
+
+def test_lightest_forest_takes_the_edges_of_kruskal():
+    rng = np.random.default_rng(3)
+    for n in (2, 5, 40):
+        a = rng.integers(0, n, 300)
+        b = rng.integers(0, n, 300)
+        a, b = np.minimum(a, b), np.maximum(a, b)
+        w = rng.integers(0, 4, 300) / 4
+        forest, want = N.SmallForest(), set()
+        for _, x, y in sorted(zip(np.maximum(w, 1e-9), a, b)):
+            if forest.find(x) != forest.find(y):
+                forest.join(x, y)
+                want.add((x, y))
+        keep = N.lightest_forest(a, b, w)
+        assert {(x, y) for x, y in zip(a[keep], b[keep])} == want and len(keep) == len(want)
+    assert len(N.lightest_forest(np.zeros(0, "int64"), np.zeros(0, "int64"), np.zeros(0))) == 0
+
+
 def test_density_takes_very_large_ids(spark):
     shift = 2 ** 62
     data = [(shift + i, v, g) for i, v, g in blobs(2, 30, 5)]
