@@ -715,6 +715,36 @@ def test_chunks_answer_questions_of_their_topic_only(spark, tmp_path):
     assert got[3]["topic_filter"] is None
 
 
+def test_chunks_are_encoded_once(spark, tmp_path):
+    """The writer read its rows three times, and each time they were encoded and joined again."""
+    docs = spark.createDataFrame(documents(40), "doc_id bigint, text string, topic int")
+    seen = spark.sparkContext.accumulator(0)
+
+    def encode(rows):
+        def run(batches):
+            for batch in batches:
+                seen.add(len(batch))
+                yield batch.assign(embedding=[[1.0, float(i)] for i in batch["doc_id"]])[["doc_id", "embedding"]]
+
+        return rows.mapInPandas(run, "doc_id bigint, embedding array<float>")
+
+    items = R.chunk_items(docs, docs, encode, str(tmp_path / "chunks"), size=4, overlap=1)
+    assert seen.value == items.count() > 40
+    ordered = items.orderBy("doc_id", "chunk_no").collect()
+    assert [r["item_id"] for r in ordered] == list(range(len(ordered))) and all(r["embedding"] == [1.0, r["item_id"]] for r in ordered)
+
+
+def test_vectors_count_repeated_words_in_every_batch(spark, rows):
+    from topicloom.operators import embedding as C
+    docs = spark.createDataFrame([(i, " ".join([text] * (1 + i % 3)), t) for i, text, t in documents(60)] + [(90, "", 0), (91, None, 0)], "doc_id bigint, text string, topic int").coalesce(1)
+    vocabulary = X.materialise(C.fit_encoder(docs), "vocabulary")
+    counts = M.document_terms(docs, stop_words=[], min_chars=1)
+    assert rows(vocabulary) == rows(C.fit_encoder(docs, counts=counts))
+    want = rows(C.encode(docs, vocabulary, 64, stored=True))
+    assert rows(C.encode_in_rows(docs, vocabulary, 64)) == want
+    assert rows(C.encode_in_rows(docs, vocabulary, 64, tokens_at_once=7)) == want
+
+
 def test_phrases_scored_in_rows_equal_joined_ones(spark, rows):
     docs = spark.createDataFrame([(i, text, topic) for i, text, topic in documents(120, 3)] + [(500, "", 0), (501, None, 1)], "doc_id bigint, text string, topic int")
     for options in ({}, {"words_apart": True, "max_features": 6}):

@@ -63,11 +63,13 @@ def whitespace_tokens(text: Column) -> Column:
 
 
 def word_tokens(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), NON_WORD), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(text), NON_WORD), "")
 
 
 def without(tokens: Column, words: list[str], min_chars: int = 1) -> Column:
     """Tokens of at least ``min_chars`` characters that are not in a fixed word list."""
+    if not words and min_chars == 1:
+        return F.array_remove(tokens, "")
     return F.filter(tokens, lambda w: (F.length(w) >= min_chars) & ~w.isin(list(words)))
 
 

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -15,10 +16,11 @@ from pyspark.sql import functions as F
 from topicloom.functions import text as T
 from topicloom.functions import vectors as V
 from topicloom.operators.similarity import nearest, stored_centroids
-from topicloom.operators.terms import counted, document_terms
+from topicloom.operators.terms import document_terms
 from topicloom.plans.execution import lookup_join, materialise
 
 ENCODER_TERMS = 4_000_000  # 20 bytes each
+TOKENS_AT_ONCE = 1 << 20  # tokens of a batch that are counted together
 DIGITS = 7  # entries are rounded so that equal texts have equal vectors
 
 
@@ -33,7 +35,8 @@ def fit_encoder(docs: DataFrame, dim: int = 64, seed: int = 42, stop_words: list
                 counts: DataFrame | None = None) -> DataFrame:
     """(term, idf, slot, sign, hot): the encoder's vocabulary.  Smooth idf over the given documents."""
     if counts is None:
-        counts = document_terms(docs, stop_words=list(stop_words), min_chars=1)
+        terms = F.array_distinct(T.without(T.word_tokens(F.col("text")), list(stop_words), 1))  # only the documents of a term are counted
+        counts = docs.select(F.explode(terms).alias("term"))
     total = docs.count()
     slot, sign = _hash_slot(F.col("term"), seed, dim)
     return (
@@ -59,7 +62,7 @@ def encode(docs: DataFrame, vocabulary: DataFrame, dim: int = 64, stop_words: li
     return docs.select("doc_id").join(encoded, "doc_id", "left").select("doc_id", F.coalesce("embedding", zero).alias("embedding"))
 
 
-def encode_in_rows(docs: DataFrame, vocabulary: DataFrame, dim: int) -> DataFrame:
+def encode_in_rows(docs: DataFrame, vocabulary: DataFrame, dim: int, tokens_at_once: int = TOKENS_AT_ONCE) -> DataFrame:
     """As ``encode``, one projection without an exchange: the vocabulary goes to the tasks as sorted (hash, weight, slot)."""
     spark = docs.sparkSession
     packed = vocabulary.select(F.xxhash64("term").alias("h"), (F.col("idf") * F.col("sign")).alias("w"), "slot").orderBy("h").toArrow()
@@ -70,22 +73,28 @@ def encode_in_rows(docs: DataFrame, vocabulary: DataFrame, dim: int) -> DataFram
         known, weight, slot = shared.value
         for batch in batches:
             rows, total = batch.num_rows, np.zeros((batch.num_rows, dim))
-            terms, counts = batch.column(1), batch.column(2)
-            flat, n = terms.flatten().to_numpy(), counts.flatten().to_numpy()
-            owner = np.repeat(np.arange(rows), np.diff(terms.offsets.to_numpy()))
-            if len(known):
-                at = np.minimum(np.searchsorted(known, flat), len(known) - 1)
-                hit = known[at] == flat
-                value = np.bincount(owner[hit] * dim + slot[at[hit]], n[hit] * weight[at[hit]], rows * dim)
-                total = value.reshape(rows, dim).astype("float64")  # of no hits the counts are whole numbers
+            ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))])
+            flat, start = batch.column(1).flatten().to_numpy(), 0
+            while start < rows and len(known):
+                stop = max(start + 1, int(np.searchsorted(ends, ends[start] + tokens_at_once, "right")) - 1)
+                owner = np.repeat(np.arange(stop - start), np.diff(ends[start:stop + 1]))
+                token = flat[ends[start]:ends[stop]]
+                order = np.lexsort((token, owner))
+                owner, token = owner[order], token[order]
+                first = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (token[1:] != token[:-1])]) if len(token) else np.zeros(0, int)
+                n, owner, token = np.diff(np.append(first, len(token))), owner[first], token[first]
+                at = np.minimum(np.searchsorted(known, token), len(known) - 1)
+                hit = known[at] == token
+                value = np.bincount(owner[hit] * dim + slot[at[hit]], n[hit] * weight[at[hit]], (stop - start) * dim)
+                total[start:stop] = value.reshape(stop - start, dim)
+                start = stop
             length = np.sqrt((total * total).sum(axis=1, keepdims=True))
             unit = np.round(np.divide(total, length, out=np.zeros_like(total), where=length > 0), DIGITS).astype("float32")
             vectors = pa.ListArray.from_arrays(pa.array(np.arange(0, rows * dim + 1, dim), pa.int32()), pa.array(unit.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(0), vectors], names=["doc_id", "embedding"])
 
-    counted_rows = docs.select("doc_id", counted(T.without(T.word_tokens(F.col("text")), [], 1)).alias("c")).select(
-        "doc_id", F.transform("c", lambda x: F.xxhash64(x["term"])).alias("h"), F.transform("c", lambda x: x["n"]).alias("n"))
-    return counted_rows.mapInArrow(run, "doc_id bigint, embedding array<float>")
+    hashed = docs.select("doc_id", F.transform(T.word_tokens(F.col("text")), lambda w: F.xxhash64(w)).alias("h"))
+    return hashed.mapInArrow(run, "doc_id bigint, embedding array<float>")
 
 
 def encode_known(docs: DataFrame, vocabulary: DataFrame, dim: int = 64) -> DataFrame:

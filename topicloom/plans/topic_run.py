@@ -120,11 +120,12 @@ def chunk_items(docs: DataFrame, assignment: DataFrame, encode: Callable[[DataFr
     The topic is a folder, so a search bound to topics reads the chunks of these only.  ``encode`` turns (doc_id, text) into (doc_id, embedding);
     items are numbered by document and chunk.
     """
-    numbered = running_totals(P.chunk_documents(docs.select("doc_id", "text"), size, overlap).select("doc_id", "chunk_no", "text"), ["doc_id", "chunk_no"])
-    chunks = materialise(numbered.withColumnRenamed("row", "item_id"), "chunks")
+    cut = materialise(P.chunk_documents(docs.select("doc_id", "text"), size, overlap).select("doc_id", "chunk_no", "text"), "chunks")
+    chunks = running_totals(cut, ["doc_id", "chunk_no"]).withColumnRenamed("row", "item_id")  # the numbered rows are stored
     vectors = encode(chunks.select(F.col("item_id").alias("doc_id"), "text")).withColumnRenamed("doc_id", "item_id")
     topics = assignment.select("doc_id", "topic")
-    IO.write_by_topic(chunks.join(vectors, "item_id").join(topics, "doc_id"), path)
+    # the writer reads its rows three times: for their bytes, their ranges and the files
+    IO.write_by_topic(materialise(chunks.join(vectors, "item_id").join(topics, "doc_id"), "chunk-vectors"), path)
     return docs.sparkSession.read.parquet(path).select("item_id", "doc_id", "chunk_no", "text", "embedding", "topic")
 
 
