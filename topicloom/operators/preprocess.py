@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from topicloom.constants import COMMON_WORDS, WHITESPACE
 from topicloom.functions import text as T
 from topicloom.functions.vectors import nonzero
-from topicloom.plans.execution import top_k
+from topicloom.plans.execution import spread_parts, top_k
 
 
 def text_column(df: DataFrame, name: str = "text") -> Column:
@@ -111,15 +112,123 @@ def remove_stopwords(tokens: DataFrame, extra: DataFrame | None = None, min_char
     return kept if extra is None else kept.join(extra.select("token").distinct(), "token", "left_anti")
 
 
+GRAM_TOKENS = 1 << 20  # tokens of a chunk whose n-grams are counted together
+
+
+def _packed_terms(terms: pa.Array, n: np.ndarray) -> bytes:
+    """Sorted terms and their counts, compressed; terms that stand together share their beginnings."""
+    terms = pa.concat_arrays([terms])
+    offsets = np.frombuffer(terms.buffers()[1], np.int32, len(terms) + 1, 4 * terms.offset)
+    planes = [np.asarray(x, kind).view(np.uint8).reshape(len(terms), -1).T.tobytes() for x, kind in ((np.diff(offsets), "<u4"), (n, "<u8"))]
+    texts = terms.buffers()[2].slice(int(offsets[0]), int(offsets[-1] - offsets[0])).to_pybytes() if offsets[-1] > offsets[0] else b""
+    return pa.compress(b"".join([*planes, texts]), codec="zstd", asbytes=True)
+
+
+def _unpacked_terms(data: bytes, rows: int, size: int) -> tuple[pa.Array, np.ndarray]:
+    """Terms and counts of ``rows`` terms in ``size`` bytes."""
+    raw = np.frombuffer(pa.decompress(data, size, codec="zstd", asbytes=True), np.uint8)
+    lengths = np.ascontiguousarray(raw[:4 * rows].reshape(4, rows).T).view("<u4").ravel()
+    n = np.ascontiguousarray(raw[4 * rows:12 * rows].reshape(8, rows).T).view("<u8").ravel()
+    offsets = np.r_[0, np.cumsum(lengths, dtype=np.int64)].astype(np.int32)
+    return pa.StringArray.from_buffers(rows, pa.py_buffer(offsets), pa.py_buffer(raw[12 * rows:].tobytes())), n.astype(np.int64)
+
+
+def _windows(tokens: pa.ListArray, high: int) -> tuple[pa.Array, np.ndarray]:
+    """(sorted words, windows): for each token of the rows its number and those of the next ``high`` - 1 tokens of its row, from 1; 0 is none."""
+    coded = tokens.flatten().dictionary_encode()
+    words = coded.dictionary.cast(pa.string())
+    order = pc.array_sort_indices(words).to_numpy()
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(1, len(order) + 1)
+    codes = rank[coded.indices.to_numpy(zero_copy_only=False)]
+    row = np.repeat(np.arange(len(tokens)), pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False))
+    columns = np.zeros((len(codes), high), np.int64)
+    for k in range(min(high, len(codes))):
+        columns[:len(codes) - k, k] = np.where(row[:len(codes) - k] == row[k:], codes[k:], 0)
+    return words.take(pa.array(order)), columns
+
+
+def _joined(words: pa.Array, windows: np.ndarray) -> pa.Array:
+    """The words of each window, with a space between."""
+    sizes = (windows > 0).sum(axis=1)
+    flat = words.take(pa.array(windows[windows > 0] - 1))
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), flat), " ")
+
+
 def ngram_counts(df: DataFrame, low: int = 1, high: int = 3, stop_words: list[str] | None = None,
-                 min_chars: int = 1) -> DataFrame:
-    """(term, n): n-gram counts over all documents; stop words go before n-grams are formed."""
+                 min_chars: int = 1, chunk_tokens: int = GRAM_TOKENS) -> DataFrame:
+    """(term, n): n-gram counts over all documents; stop words go before n-grams are formed.
+
+    What is shuffled are the different longest n-grams of a chunk of documents, sorted and compressed, and its single words; the shorter n-grams are their beginnings and are counted where
+    these meet.  All n-grams that begin with the same two words meet in one bucket; a task holds one chunk or one bucket.
+    """
     tokens = T.without(T.word_tokens(F.col("text")), stop_words or [], min_chars)
-    kept = df.select(tokens.alias("tokens"))
-    return (
-        kept.select(F.explode(T.ngrams(F.col("tokens"), low, high)).alias("term"))
-        .groupBy("term").agg(F.count("*").alias("n"))
-    )
+    buckets, first = spread_parts(df), max(low, min(2, high))  # n-grams with the same ``first`` words meet; shorter ones are counted on their own
+
+    def packed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        words, columns = _windows(pa.concat_arrays([b.column(0) for b in held]), high)
+        hashes = np.r_[0, np.fromiter((zlib.crc32(w.encode()) for w in words.to_pylist()), np.int64, len(words))].astype(np.uint64)
+        rows = [[], [], [], []]
+        for part in [columns[columns[:, first - 1] > 0], *(np.where(np.arange(high) < k, columns, 0)[columns[:, k - 1] > 0] for k in range(low, first))]:
+            if not len(part):
+                continue
+            key = part[:, 0]
+            for k in range(1, high):  # numbers of the different windows, in the order of their words
+                key = np.unique(key, return_inverse=True)[1] * (len(words) + 1) + part[:, k]
+            _, at, n = np.unique(key, return_index=True, return_counts=True)
+            part, hashed = part[at], np.zeros(len(at), np.uint64)
+            for k in range(first):
+                hashed = (hashed * np.uint64(0x9E3779B97F4A7C15) + hashes[part[:, k]]) * np.uint64(0xBF58476D1CE4E5B9)
+                hashed ^= hashed >> np.uint64(31)
+            bucket = (hashed % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            bucket, n, terms = bucket[order], n[order], _joined(words, part[order])
+            cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
+            sizes = pc.binary_length(terms).to_numpy().astype(np.int64)
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                for row, value in zip(rows, (bucket[a], b - a, 12 * (b - a) + sizes[a:b].sum(), _packed_terms(terms.slice(a, b - a), n[a:b]))):
+                    row.append(value)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.int32(), pa.int32(), pa.int64(), pa.binary()))], names=["bucket", "rows", "size", "data"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for whole in batches:
+            for batch in (whole.slice(i, 256) for i in range(0, whole.num_rows, 256)):
+                held.append(batch)
+                n += len(batch.column(0).flatten())
+                if n >= chunk_tokens:
+                    yield packed(held)
+                    held, n = [], 0
+        if n:
+            yield packed(held)
+
+    def summed(held: list[tuple[pa.Array, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        table = pa.table([pa.concat_arrays([t for t, _ in held]), pa.array(np.concatenate([n for _, n in held]))], names=["term", "n"])
+        table = table.group_by("term").aggregate([("n", "sum")]).select(["term", "n_sum"]).rename_columns(["term", "n"]).combine_chunks()
+        sizes = pc.add(pc.count_substring(table["term"], " "), 1).to_numpy()
+        for k in range(low, high + 1):
+            if k < first or k == high:
+                found = table.filter(pa.array(sizes == k))
+            else:
+                longer = table.filter(pa.array(sizes >= k))
+                begins = pc.binary_join(pc.list_slice(pc.split_pattern(longer["term"].combine_chunks(), " "), 0, k), " ")
+                found = pa.table([begins, longer["n"]], names=["term", "n"]).group_by("term").aggregate([("n", "sum")]).select(["term", "n_sum"]).rename_columns(["term", "n"])
+            yield from found.to_batches(max_chunksize=1 << 16)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, of = [], None
+        for batch in batches:
+            for bucket, rows, size, data in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if bucket != of and held:
+                    yield from summed(held)
+                    held = []
+                of = bucket
+                held.append(_unpacked_terms(data, rows, size))
+        if held:
+            yield from summed(held)
+
+    shuffled = df.select(tokens.alias("tokens")).mapInArrow(pack, "bucket int, rows int, size long, data binary").repartition(buckets, "bucket")
+    return shuffled.sortWithinPartitions("bucket").mapInArrow(count, "term string, n long")
 
 
 def chunk_documents(df: DataFrame, size: int = 512, overlap: int = 128) -> DataFrame:
